@@ -91,20 +91,19 @@ def service_desert(
     )
 
 
-def origination_desert(
-    df: DataFrame, cohort: list[str], originated: str, population: str, year: str = "year",
-    first_year: int = 2018, probability: float = 0.10,
+def desert_labels(
+    panel: DataFrame, cohort: list[str], lenders: str, originated: str, population: str, year: str = "year",
+    first_year: int = 2018,
 ) -> DataFrame:
-    """Bottom-decile flag on originations per 1,000 residents, for years with application data only."""
+    """All desert flags of a panel. Give it a stored panel: thresholds are read from it and joined back to it."""
+    out = service_desert(panel, cohort, lenders)
     rate = F.when(F.col(year) >= first_year, per_thousand(F.col(originated), population))
-    rated = df.withColumn("originations_per_1k", rate)
-    cuts = quantile_columns(rated, cohort, "originations_per_1k", {"origination_threshold": probability})
-    return _match(rated, cuts, cohort, "left").select(
-        *rated.columns,
-        "origination_threshold",
-        flag(F.col("originations_per_1k") <= F.col("origination_threshold")).alias("is_origination_desert"),
-        (-F.col("originations_per_1k")).alias("origination_desert_score"),
-    )
+    rated = panel.select(*cohort, rate.alias("originations_per_1k"))
+    cuts = quantile_columns(rated, cohort, "originations_per_1k", {"origination_threshold": 0.10})
+    flagged = _match(out.withColumn("originations_per_1k", rate), cuts, cohort, "left")
+    return flagged.withColumn(
+        "is_origination_desert", flag(F.col("originations_per_1k") <= F.col("origination_threshold"))
+    ).withColumn("origination_desert_score", -F.col("originations_per_1k")).withColumn("is_any_desert", any_desert())
 
 
 def any_desert(service: str = "is_service_desert", origination: str = "is_origination_desert") -> Column:

@@ -60,7 +60,7 @@ def scores(df: DataFrame, by: list[str], label: str = "y_true", score: str = "y_
     labelled = df.where(F.col(label).isNotNull()).select(
         *by, F.col(score).cast("double").alias("s"), F.col(label).cast("long").alias("pos")
     )
-    r = ranked_values(labelled, by, "s", ["pos"], bounds=(0.0, 1.0))
+    r = ranked_values(labelled, by, "s", ["pos"], unit_interval=True)
     neg = F.col("n") - F.col("pos")
     neg_before = F.col("n_before") - F.col("pos_before")
     precision = (F.col("pos_total") - F.col("pos_before")) / (F.col("n_total") - F.col("n_before"))

@@ -1,11 +1,13 @@
 """Exact order statistics that never place one group in one task.
 
 Ranks, AUC, average precision and quantiles all need "how much lies before this value". A window over the whole group
-would sort it in one task. Instead the distinct values of each group are cut twice into at most ``CELLS`` value
-ranges, running totals are taken over the ranges (at most ``CELLS`` rows per window), and only the values inside one
-small range are ordered. The second cut re-scales to the minimum and maximum found inside each first-level range, so a
-few outliers cannot push everything into one range. Equal values are merged before the first shuffle completes, so a
-value held by a third of all rows is one row here.
+would sort it in one task. Instead equal values are merged first (with map-side combine, so a value held by a third of
+all rows is one row), and the distinct values are laid out in value ranges: coarse ranges split into fine ranges.
+Running totals are taken over the few thousand coarse ranges of a group, then over the at most ``SPLIT`` fine ranges
+of one coarse range, and only the values inside one fine range are ordered.
+
+A value's ranges depend on nothing but the value, so all branches below start from one identical shuffle of the merged
+values, which Spark computes once and reuses.
 """
 
 from __future__ import annotations
@@ -15,13 +17,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+SPLIT = 1024
+
 
+def _position(value: Column, unit_interval: bool) -> Column:
+    """Monotone map of a value to a position; one unit of position is one coarse range.
 
-def _cell(value: Column, low: Column, high: Column) -> Column:
-    """Range number of ``value`` in [low, high]; monotone in ``value``, which is all that exactness needs."""
-    share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-    return F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
+    Probabilities are laid out evenly. Other numbers are laid out by magnitude, so that every coarse range spans about
+    two percent of a value; order is kept because each step is monotone in floating point as well.
+    """
+    if unit_interval:
+        return value * SPLIT
+    return F.signum(value) * F.log2(F.abs(value) * float(2**40) + 1.0) * 32
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -34,67 +41,45 @@ def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 
 
 def ranked_values(
-    df: DataFrame, by: list[str], value: str, sums: list[str] | None = None, bounds: tuple[float, float] | None = None
+    df: DataFrame, by: list[str], value: str, sums: list[str] | None = None, unit_interval: bool = False
 ) -> DataFrame:
     """One row per distinct (by, value) with counts at, before and overall.
 
     Output: ``by``, ``value``, ``n``, ``n_before``, ``n_total`` and the same three columns for each column in ``sums``.
-    NULL values take no rank and are left out. ``bounds`` skips the min/max pass when the range is known
-    (probabilities); values outside it only make the first cut less even.
+    NULL values take no rank and are left out. Set ``unit_interval`` for values known to lie in [0, 1].
     """
-    sums = sums or []
-    measures = ["n", *sums]
-    base = (
+    measures = ["n", *(sums or [])]
+    merged = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums])
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in measures[1:]])
     )
-    v = F.col(value).cast("double")
-    keys = [*by, "__c1", "__c2"]
-
-    if bounds is not None:
-        first = base.withColumn("__c1", _cell(v, F.lit(float(bounds[0])), F.lit(float(bounds[1]))))
-    else:
-        if by:
-            span = base.groupBy(*by).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-            spanned = _match(base, span, by)
-            low, high = F.col("__lo"), F.col("__hi")
-        else:
-            spanned, low, high = base, base.agg(F.min(v)).scalar(), base.agg(F.max(v)).scalar()
-        first = spanned.withColumn("__c1", _cell(v, low, high)).drop("__lo", "__hi")
-    first = first.withColumn("__c1", F.greatest(F.col("__c1"), F.lit(0)))
-
-    def running(cells: DataFrame, within: list[str], order: str, suffix: str) -> DataFrame:
-        before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return cells.select(
-            *within, order, *[c for c in cells.columns if c.startswith("__lo") or c.startswith("__hi")],
-            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__{m}{suffix}") for m in measures],
-            *(
-                [F.sum(m).over(Window.partitionBy(*within)).alias(f"{m}_total") for m in measures]
-                if suffix == "_b1"
-                else []
-            ),
-        )
-
-    level1 = first.groupBy(*by, "__c1").agg(
-        F.min(v).alias("__lo"), F.max(v).alias("__hi"), *[F.sum(m).alias(m) for m in measures]
+    at = _position(F.col(value).cast("double"), unit_interval)
+    coarse, fine = [*by, "__c1"], [*by, "__c1", "__c2"]
+    placed = merged.withColumn("__c1", F.floor(at)).withColumn("__c2", F.floor(at * SPLIT))
+
+    fine_cells = placed.groupBy(*fine).agg(*[F.sum(m).alias(m) for m in measures])
+    coarse_cells = fine_cells.groupBy(*coarse).agg(*[F.sum(m).alias(m) for m in measures])
+
+    def before(m: str, within: list[str], order: str) -> Column:
+        frame = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(m).over(frame), F.lit(0))
+
+    group = Window.partitionBy(*by)
+    coarse_offsets = coarse_cells.select(
+        *coarse,
+        *[before(m, by, "__c1").alias(f"__{m}1") for m in measures],
+        *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
     )
-    offsets1 = running(level1, by, "__c1", "_b1")
-    second = (
-        _match(first, offsets1, [*by, "__c1"])
-        .withColumn("__c2", _cell(v, F.col("__lo"), F.col("__hi")))
-        .drop("__lo", "__hi")
+    fine_offsets = _match(
+        fine_cells.select(*fine, *[before(m, coarse, "__c2").alias(f"__{m}2") for m in measures]), coarse_offsets, coarse
+    ).select(
+        *fine, *[(F.col(f"__{m}1") + F.col(f"__{m}2")).alias(f"__{m}0") for m in measures],
+        *[f"{m}_total" for m in measures],
     )
-    level2 = second.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    offsets2 = running(level2, [*by, "__c1"], "__c2", "_b2")
-    joined = _match(second, offsets2, keys)
-    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(
+    return _match(placed, fine_offsets, fine).select(
         *by, value, *measures,
-        *[
-            (F.col(f"__{m}_b1") + F.col(f"__{m}_b2") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"{m}_before")
-            for m in measures
-        ],
+        *[(F.col(f"__{m}0") + before(m, fine, value)).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],
     )
 

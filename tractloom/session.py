@@ -42,6 +42,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{token}"
 
 
+def stored(df, name: str, partition_by: str | None = None):
+    """Write an intermediate table once to the shared folder and read it back.
+
+    For tables that several later steps use: each step then reads only its columns, and lost executors cost a re-read
+    instead of the whole lineage.
+    """
+    path = fresh_path(df.sparkSession, name)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df):
     """Cut lineage with a reliable checkpoint in the shared folder (survives the loss of executors)."""
     spark = df.sparkSession
