@@ -14,6 +14,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``.
+
+    Substituting a costly expression into itself several times makes the optimizer copy it; a lambda variable is
+    evaluated once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """``numerator / denominator``, NULL when the denominator is missing, zero or negative."""
     d = col(denominator)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .guards import col
+from .guards import col, let
 
 # Tokens that carry no identity in bank names.
 DROP_TOKENS = [
@@ -29,7 +29,7 @@ def normalize_name(raw: Column | str) -> Column:
 
 def token_set(name: Column | str) -> Column:
     """Sorted distinct tokens of a normalised name."""
-    return F.sort_array(F.array_distinct(F.filter(F.split(col(name), " "), lambda t: t != "")))
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(col(name), " "), "")))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -44,13 +44,23 @@ def token_set_score(tokens_a: Column | str, tokens_b: Column | str) -> Column:
     With the shared tokens S, compare the strings S, S+restA and S+restB pairwise and keep the best. The shared
     part alone only takes part when it is not empty.
     """
-    a, b = col(tokens_a), col(tokens_b)
-    shared = F.array_join(F.sort_array(F.array_intersect(a, b)), " ")
-    rest_a = F.array_join(F.sort_array(F.array_except(a, b)), " ")
-    rest_b = F.array_join(F.sort_array(F.array_except(b, a)), " ")
-    with_a = F.trim(F.concat_ws(" ", shared, rest_a))
-    with_b = F.trim(F.concat_ws(" ", shared, rest_b))
-    both = similarity(with_a, with_b)
-    return F.when(
-        shared != "", F.greatest(both, similarity(shared, with_a), similarity(shared, with_b))
-    ).otherwise(both)
+    def parts(t: Column) -> Column:
+        shared = F.array_join(F.sort_array(F.array_intersect(t["a"], t["b"])), " ")
+        only_a = F.array_join(F.sort_array(F.array_except(t["a"], t["b"])), " ")
+        only_b = F.array_join(F.sort_array(F.array_except(t["b"], t["a"])), " ")
+        return F.struct(shared.alias("s"), only_a.alias("a"), only_b.alias("b"))
+
+    def strings(p: Column) -> Column:
+        return F.struct(
+            p["s"].alias("s"),
+            F.trim(F.concat_ws(" ", p["s"], p["a"])).alias("a"),
+            F.trim(F.concat_ws(" ", p["s"], p["b"])).alias("b"),
+        )
+
+    def best(x: Column) -> Column:
+        both = similarity(x["a"], x["b"])
+        contained = F.greatest(both, similarity(x["s"], x["a"]), similarity(x["s"], x["b"]))
+        return F.when(x["s"] != "", contained).otherwise(both)
+
+    sets = F.struct(col(tokens_a).alias("a"), col(tokens_b).alias("b"))
+    return let(let(let(sets, parts), strings), best)

@@ -125,9 +125,9 @@ def precision_at(
         label, F.struct(-F.col(score), *key).alias("__o")
     )
     ranked = best.agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", label))), lambda r: r[label]).alias("y"))
-    wanted = F.filter(F.array(*[F.lit(n).cast("long") for n in sizes]), lambda n: n <= total)
+    wanted = F.filter(F.array(*[F.lit(n).cast("long") for n in sizes]), lambda n: n <= F.col("total"))
     hits = F.aggregate(F.slice("y", F.lit(1), F.col("top_n").cast("int")), F.lit(0).cast("long"), lambda a, v: a + v.cast("long"))
-    return ranked.select("y", F.explode(wanted).alias("top_n")).select(
+    return ranked.withColumn("total", total).select("y", F.explode(wanted).alias("top_n")).select(
         "top_n", hits.alias("n_true_positives"), (hits / F.col("top_n")).alias("precision")
     )
 

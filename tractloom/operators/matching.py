@@ -19,105 +19,108 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import token_set, token_set_score
+from ..session import stored
 
 
-def _bigrams(tokens: Column) -> Column:
-    """Padded bigrams of all tokens; repeats are numbered so that the array behaves as a multiset."""
+def _with_bigrams(df: DataFrame, tokens: str) -> DataFrame:
+    """Add ``grams``: padded bigrams of all tokens; repeats are numbered so that the array behaves as a multiset."""
+    padded = F.transform(tokens, lambda t: F.concat(F.lit("^"), t, F.lit("$")))
     per_token = F.transform(
-        tokens,
-        lambda t: F.transform(
-            F.sequence(F.lit(1), F.length(t) + 1), lambda i: F.substr(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(2))
-        ),
+        "__padded",
+        lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2))),
     )
-    flat = F.flatten(per_token)
-    return F.transform(
-        flat,
+    numbered = F.transform(
+        "__flat",
         lambda g, i: F.concat(
-            g, F.lit("#"), F.size(F.filter(F.slice(flat, F.lit(1), i + 1), lambda h: h == g)).cast("string")
+            g, F.lit("#"), F.size(F.filter(F.slice("__flat", F.lit(1), i + 1), lambda h: h == g)).cast("string")
         ),
     )
+    flat = df.withColumn("__padded", padded).withColumn("__flat", F.flatten(per_token))
+    return flat.withColumn("grams", numbered).drop("__padded", "__flat")
 
 
 def _described(names: DataFrame, block: list[str], name: str) -> DataFrame:
-    return (
-        names.select(*block, name)
-        .where(F.col(name) != "")
-        .distinct()
-        .withColumn("tokens", token_set(name))
-        .withColumn("length", F.length(F.array_join("tokens", " ")))
-        .withColumn("grams", _bigrams(F.col("tokens")))
+    """Distinct names with their length and search keys: tokens (``t``) and padded bigrams (``g``)."""
+    tokens = _with_bigrams(
+        names.select(*block, name).where(F.col(name) != "").distinct().withColumn("tokens", token_set(name)), "tokens"
     )
+    keys = F.concat(
+        F.transform("tokens", lambda t: F.struct(F.lit("t").alias("kind"), t.alias("key"))),
+        F.transform("grams", lambda g: F.struct(F.lit("g").alias("kind"), g.alias("key"))),
+    )
+    return tokens.select(*block, name, F.length(F.array_join("tokens", " ")).alias("length"), keys.alias("keys"))
 
 
-def _with_rarity(side: DataFrame, counts: DataFrame, block: list[str], name: str, keys: str) -> DataFrame:
-    """Keys of each name, rarest first (global order: count in the block, then the key itself)."""
-    exploded = side.select(*block, name, "length", F.explode(keys).alias("key"))
+def _by_rarity(side: DataFrame, counts: DataFrame, block: list[str], name: str) -> DataFrame:
+    """Each name's keys, rarest first (a global order: frequency in the block, then the key itself)."""
+    exploded = side.select(*block, name, "length", F.explode("keys").alias("k")).select(*block, name, "length", "k.*")
     return (
-        exploded.join(counts, [*block, "key"])
+        exploded.join(counts, [*block, "kind", "key"])
         .groupBy(*block, name)
-        .agg(F.first("length").alias("length"), F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("ranked"))
+        .agg(
+            F.first("length").alias("length"),
+            F.array_sort(F.collect_list(F.struct("freq", "kind", "key"))).alias("ranked"),
+        )
     )
 
 
-def _key_counts(left: DataFrame, right: DataFrame, block: list[str], keys: str) -> DataFrame:
-    both = left.select(*block, F.explode(keys).alias("key")).unionAll(right.select(*block, F.explode(keys).alias("key")))
-    return both.groupBy(*block, "key").agg(F.count(F.lit(1)).alias("freq"))
+def _probes(side: DataFrame, block: list[str], name: str, similarity: float, rare_role: str, full_role: str) -> DataFrame:
+    """Lookup rows (role, key) of each name: rare tokens, all tokens, and rare bigrams."""
+    tokens = F.filter("ranked", lambda r: r["kind"] == "t")
+    grams = F.filter("ranked", lambda r: r["kind"] == "g")
+    sized = side.withColumns({"t": F.transform(tokens, lambda r: r["key"]), "g": F.transform(grams, lambda r: r["key"])})
+    may_miss = (1.0 - similarity) * F.col("length") + 1e-9
+    with_before = F.transform("t", lambda k, i: F.struct(
+        k.alias("key"),
+        F.aggregate(F.slice("t", F.lit(1), i), F.lit(0), lambda acc, q: acc + F.length(q)).alias("before"),
+    ))
+    rare = F.transform(F.filter(with_before, lambda r: r["before"] <= may_miss), lambda r: r["key"])
+    edits = F.floor((1.0 - similarity) / similarity * F.col("length") + 1e-9)
+
+    def tagged(keys: Column, role: str) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(role).alias("role"), k.alias("key")))
+
+    probes = F.concat(
+        tagged(rare, rare_role), tagged(F.col("t"), full_role),
+        tagged(F.slice("g", F.lit(1), (edits * 2 + 1).cast("int")), "bigram"),
+    )
+    return sized.select(*block, name, F.explode(probes).alias("p")).select(*block, name, "p.role", "p.key")
 
 
 def candidate_pairs(
     left: DataFrame, right: DataFrame, block: list[str], name: str, threshold: float
 ) -> DataFrame:
-    """All distinct name pairs of a block whose token-set score can reach ``threshold`` (0..100)."""
+    """All distinct name pairs of a block whose token-set score can reach ``threshold`` (0..100).
+
+    One equi-join on (block, role, key): the left's rare tokens meet all tokens of the right, the right's rare tokens
+    meet all tokens of the left, and rare bigrams meet rare bigrams.
+    """
     s = threshold / 100.0
     a, b = _described(left, block, name), _described(right, block, name)
-
-    token_counts = _key_counts(a, b, block, "tokens")
-    allowed = (1.0 - s) * F.col("length") + 1e-9
-
-    def rare_tokens(side: DataFrame) -> DataFrame:
-        ranked = _with_rarity(side, token_counts, block, name, "tokens")
-        lengths = F.transform(
-            "ranked",
-            lambda r, i: F.struct(
-                r["key"].alias("key"),
-                F.aggregate(F.slice("ranked", F.lit(1), i), F.lit(0), lambda acc, q: acc + F.length(q["key"])).alias("before"),
-            ),
-        )
-        prefix = F.filter(lengths, lambda r: r["before"] <= allowed)
-        return ranked.select(*block, name, F.explode(F.transform(prefix, lambda r: r["key"])).alias("key"))
-
-    def all_tokens(side: DataFrame) -> DataFrame:
-        return side.select(*block, name, F.explode("tokens").alias("key"))
-
-    gram_counts = _key_counts(a, b, block, "grams")
-    edits = F.floor((1.0 - s) / s * F.col("length") + 1e-9)
-
-    def rare_grams(side: DataFrame) -> DataFrame:
-        ranked = _with_rarity(side, gram_counts, block, name, "grams")
-        prefix = F.slice("ranked", F.lit(1), (edits * 2 + 1).cast("int"))
-        return ranked.select(*block, name, F.explode(F.transform(prefix, lambda r: r["key"])).alias("key"))
-
-    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
-        other = y.withColumnRenamed(name, "other")
-        return x.join(other, [*block, "key"]).select(*block, name, "other")
-
-    pairs = (
-        meet(rare_tokens(a), all_tokens(b))
-        .unionByName(meet(all_tokens(a), rare_tokens(b)))
-        .unionByName(meet(rare_grams(a), rare_grams(b)))
+    both = a.select(*block, F.explode("keys").alias("k")).unionAll(b.select(*block, F.explode("keys").alias("k")))
+    counts = both.groupBy(*block, F.col("k.kind").alias("kind"), F.col("k.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("freq")
+    )
+    x = _probes(_by_rarity(a, counts, block, name), block, name, s, "left_rare", "right_rare")
+    y = _probes(_by_rarity(b, counts, block, name), block, name, s, "right_rare", "left_rare")
+    return x.join(y.withColumnRenamed(name, "other"), [*block, "role", "key"]).select(*block, name, "other").distinct()
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, block: list[str], name: str, threshold: float) -> DataFrame:
+    """Distinct name pairs (name, other) of a block scoring at least ``threshold``."""
+    score = token_set_score(token_set(name), token_set("other"))
+    # the filter sits inside the generator so that the score is computed once per pair
+    reached = F.filter(F.array(score), lambda s: s >= threshold - 1e-9)
+    return candidate_pairs(left, right, block, name, threshold).select(
+        *block, name, "other", F.explode(reached).alias("score")
     )
-    return pairs.distinct()
 
 
 def fuzzy_best(
     left: DataFrame, right: DataFrame, block: list[str], name: str, right_id: str, threshold: float
 ) -> DataFrame:
     """Best right entity per distinct (block, name) at or above ``threshold``; the smallest id wins a tie."""
-    scored = (
-        candidate_pairs(left, right, block, name, threshold)
-        .withColumn("score", token_set_score(token_set(name), token_set("other")))
-        .where(F.col("score") >= threshold - 1e-9)
-    )
+    scored = scored_pairs(left, right, block, name, threshold)
     ids = right.where(F.col(name) != "").groupBy(*block, F.col(name).alias("other")).agg(F.min(right_id).alias(right_id))
     best = F.max_by(F.struct(right_id, "score"), F.struct(F.col("score"), -F.col(right_id)))
     return (
@@ -145,7 +148,8 @@ def match_entities(
     )
     rest = left.join(exact_ids, [state, name], "left_anti")
 
-    by_state = fuzzy_best(rest, pick, [state], name, right_id, state_threshold)
+    # stored once: the matches and the rest of the search both use it
+    by_state = stored(fuzzy_best(rest, pick, [state], name, right_id, state_threshold), "matches")
     second = rest.join(by_state, [state, name]).select(
         left_id, right_id, F.lit("fuzzy_state").alias("match_method"), "score", F.lit(0.90).alias("confidence")
     )

@@ -17,11 +17,11 @@ def bucket_totals(rows: DataFrame, keys: list[str], measures: list[str] = BUCKET
 
 def apportion(
     presence: DataFrame, totals: DataFrame, county: str = "county_fips", lender: str = "lender_id", year: str = "year",
-    place: str = "tract_fips",
+    place: str = "tract_fips", digits: tuple[int, int] = (4, 2),
 ) -> DataFrame:
     """Spread each county-lender total equally over the distinct tracts where the lender is present.
 
-    A lender present without totals gets zeros. Counting tracts is an aggregate joined back, not a window, so one
+    A lender present without totals gets zeros. ``digits`` rounds counts and amounts. Counting tracts is an aggregate joined back, not a window, so one
     lender-county never sits in one task.
     """
     keys = [county, lender, year]
@@ -40,8 +40,8 @@ def apportion(
 
     return where.join(per_tract, keys).select(
         place, county, lender, year,
-        F.round(total(counts), 4).alias("n_loans"), F.round(total(amounts), 2).alias("amount_k"),
-        *[F.round(m, 4 if m in counts else 2).alias(m) for m in BUCKETS],
+        F.round(total(counts), digits[0]).alias("n_loans"), F.round(total(amounts), digits[1]).alias("amount_k"),
+        *[F.round(m, digits[0] if m in counts else digits[1]).alias(m) for m in BUCKETS],
     )
 
 

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import chord_miles, haversine_miles, unit_vector
+from ..session import stored
 
 AXES = ("x", "y", "z")
 # Relative slack on straight-line tests; the final decision on an edge case is always the exact great-circle formula.
@@ -133,38 +134,41 @@ def nearest(
     """Great-circle distance to the nearest point, per group; NULL where the group has no points.
 
     Searches in growing radii; a hit no farther than the radius is final, the rest goes on. The last tier covers the
-    whole globe. Within a tier only sub-cells that can still beat the best guaranteed distance are opened.
+    whole globe. Within a tier only sub-cells that can still beat the best guaranteed distance are opened. Each
+    tier's hits are stored once, because both the result and the next tier need them; the search ends as soon as no
+    site is open.
     """
     by = by or []
+    site = ["lat", "lon", *by]
     located = _distinct_points(points, lat, lon, by)
-    sites = _distinct_sites(places, lat, lon)
-    open_sites = spine(sites, points, by, ["lat", "lon", *AXES])
+    open_sites = spine(_distinct_sites(places, lat, lon), points, by, ["lat", "lon", *AXES])
     results = []
     for i, (miles, parts) in enumerate(tiers):
-        last = i == len(tiers) - 1
         edge = chord_miles(miles) * (1 + SLACK)
         cells = _subcelled(_cubed(located, edge), edge, parts)
         near, far = _box_distances()
         met = (
             _around(_cubed(open_sites, edge))
             .join(_subcell_summary(cells, by), [*by, *CUBE])
-            .select("lat", "lon", *by, *SUB, near.alias("__near"), far.alias("__far"))
-        )
-        best = met.groupBy("lat", "lon", *by).agg(F.min("__far").alias("__bound"))
-        candidates = met.join(best, ["lat", "lon", *by]).where(
-            F.col("__near") <= F.col("__bound") * (1 + SLACK) + SLACK
+            .select(*site, *SUB, near.alias("__near"), far.alias("__far"))
         )
+        # a site meets at most 27 * parts^3 sub-cells, so this window is small for every site
+        bound = F.min("__far").over(Window.partitionBy(*site))
+        candidates = met.withColumn("__bound", bound).where(F.col("__near") <= F.col("__bound") * (1 + SLACK) + SLACK)
         exact = cells.select(*by, *SUB, F.col("lat").alias("__la"), F.col("lon").alias("__lo"))
         hits = (
-            candidates.select("lat", "lon", *by, *SUB)
+            candidates.select(*site, *SUB)
             .join(exact, [*by, *SUB])
-            .groupBy("lat", "lon", *by)
+            .groupBy(*site)
             .agg(F.min(haversine_miles("lat", "lon", "__la", "__lo")).alias(output))
         )
-        if not last:
-            hits = hits.where(F.col(output) <= miles)
-            open_sites = open_sites.join(hits, ["lat", "lon", *by], "left_anti")
-        results.append(hits)
+        if i == len(tiers) - 1:
+            results.append(hits)
+            break
+        results.append(stored(hits.where(F.col(output) <= miles), "nearest"))
+        open_sites = open_sites.join(results[-1], site, "left_anti")
+        if open_sites.isEmpty():
+            break
     found = reduce(lambda a, b: a.unionByName(b), results).withColumnsRenamed({"lat": lat, "lon": lon})
     return spine(places, points, by, [place, lat, lon]).join(found, [lat, lon, *by], "left").select(place, *by, output)
 

@@ -61,9 +61,10 @@ def asof_vintage(
     shuffle is the equi-join on (place, vintage).
     """
     known = vintages.agg(F.sort_array(F.collect_set(vintage))).scalar()
-    chosen = F.array_max(F.filter(known, lambda v: v <= F.col(year) - min_lag))
+    chosen = F.array_max(F.filter("__known", lambda v: v <= F.col(year) - min_lag))
     unique = guarded_unique(vintages, [place, vintage], "vintages")
-    return panel.withColumn(vintage, chosen).join(unique, [place, vintage], "left")
+    dated = panel.withColumn("__known", known).withColumn(vintage, chosen).drop("__known")
+    return dated.join(unique, [place, vintage], "left")
 
 
 def forward_labels(
