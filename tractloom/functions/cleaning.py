@@ -99,4 +99,4 @@ def address_key(*parts: Column | str) -> Column:
 
 def is_html_stub(raw: Column | str) -> Column:
     """True when a download is an HTML page instead of data (first 64 characters start with ``<``)."""
-    return F.ltrim(F.substring(col(raw), 1, 64)).startswith("<")
+    return F.substring(col(raw), 1, 64).rlike(r"^\s*<")
