@@ -1 +1,135 @@
-"""Queries."""
+"""Queries that fit models (rows only) and attributions (SQL for the linear form)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as E
+from ..operators import learning as L
+from ..operators import serving, temporal
+from ..plans.domain import Domain
+from ..session import stored
+from .registry import query, rounded
+
+FEATURES = ["n_loans", "amount_k", "n_small", "is_rural", "population"]
+LABEL = "becomes_low"
+FOLDS = E.shifted(E.build_folds(6)[:2], 1995 - 2009)
+# small boosting runs: these queries show the operator, ``learning.Settings`` holds the full ones
+QUICK = L.Settings(rounds=4, depth=3, rate=0.3)
+KEYS = ["tract_fips", "year"]
+
+
+def study_panel(d: Domain):
+    """Panel with the label "at most two lenders next year, more than two now" (NULL where it is low already)."""
+    p = d.panel().withColumn("is_low", (F.col("n_lenders") <= 2).cast("int"))
+    ahead = temporal.forward_labels(p, "tract_fips", "year", ["is_low"], [1])
+    return stored(ahead.withColumn(LABEL, F.col("becomes_is_low_h1")).drop("state_is_low_h1", "becomes_is_low_h1"), "study")
+
+
+@query("m03_boosted_walk_forward")
+def _(d: Domain):
+    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, QUICK)
+    return rounded(L.study_metrics({"full": study}))
+
+
+@query("m04_calibrated_walk_forward")
+def _(d: Domain):
+    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, QUICK)
+    return rounded(L.study_metrics({"full": study}, "y_prob_calibrated"))
+
+
+@query("m10_group_ablation")
+def _(d: Domain):
+    return rounded(L.ablate(study_panel(d), FEATURES, {"volume": ["n_loans", "n_small"], "place": ["is_rural", "population"]}, LABEL, FOLDS[:1], QUICK))
+
+
+@query("m11_family_ablation")
+def _(d: Domain):
+    families = {"place_rural": ["is_rural"], "acs_demographics": ["population"]}
+    return rounded(L.ablate(study_panel(d), FEATURES, families, LABEL, FOLDS[:1], QUICK, "y_prob_calibrated"))
+
+
+@query("m12_pruning_sweep")
+def _(d: Domain):
+    return rounded(L.prune(study_panel(d), FEATURES, [1, 3], LABEL, FOLDS[:1], QUICK))
+
+
+@query("m13_regime_split")
+def _(d: Domain):
+    regimes = [("pre", 1995, 1996, 1997, 1997, 1998), ("post", 1997, 1998, 1999, 1999, 2000)]
+    return rounded(L.study_metrics({"regimes": L.walk_forward(study_panel(d), FEATURES, LABEL, regimes, QUICK)}))
+
+
+@query("m14_fold_importance")
+def _(d: Domain):
+    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, QUICK)
+    return rounded(serving.normalized_gain(study.importance))
+
+
+@query("m15_permutation_importance")
+def _(d: Domain):
+    panel = study_panel(d)
+    study = L.walk_forward(panel, FEATURES, LABEL, FOLDS[:1], QUICK)
+    test = panel.where(F.col("year").between(1998, 1999))
+    return rounded(L.permutation_importance(study.models["F1"], test, FEATURES, LABEL, KEYS, repeats=2))
+
+
+@query("m16_bolt_on")
+def _(d: Domain):
+    panel = study_panel(d)
+    runs = {"base": L.walk_forward(panel, ["is_rural", "population"], LABEL, FOLDS[:1], QUICK),
+            "bolt_on": L.walk_forward(panel, FEATURES, LABEL, FOLDS[:1], QUICK)}
+    return rounded(L.study_metrics(runs))
+
+
+@query("m18_spatial_robustness")
+def _(d: Domain):
+    panel = study_panel(d)
+    splits = L.spatial_splits(panel.where(F.col(LABEL).isNotNull()), "state_fips", KEYS, folds=2)
+    runs = {name: L.walk_forward(panel, FEATURES, LABEL, [], QUICK, splits=rows) for name, rows in splits.items()}
+    return rounded(L.study_metrics(runs))
+
+
+@query("m19_tuning")
+def _(d: Domain):
+    return rounded(L.tune(study_panel(d), FEATURES, LABEL, FOLDS[0], trials=3, base=QUICK))
+
+
+@query("m20_partial_dependence")
+def _(d: Domain):
+    panel = study_panel(d)
+    model, _ = L.final_model(panel, FEATURES, LABEL, 2001, 1, QUICK)
+    return rounded(L.partial_dependence(model, panel, FEATURES, {"n_loans": "down", "n_small": "down"}, KEYS), 9)
+
+
+@query("m21_final_model_scores")
+def _(d: Domain):
+    panel = study_panel(d)
+    model, iso = L.final_model(panel, FEATURES, LABEL, 2001, 1, QUICK)
+    return rounded(L.calibrated(iso, L.predict(model, panel.where("year = 2000"), FEATURES)).select(*KEYS, "y_prob", "y_prob_calibrated"))
+
+
+@query("m23_score_latest_year")
+def _(d: Domain):
+    panel = study_panel(d)
+    study = L.walk_forward(panel, FEATURES, LABEL, FOLDS[-1:], QUICK)
+    fold = FOLDS[-1][0]
+    latest = panel.where("year = 2001")
+    return rounded(L.calibrated(study.calibrations[fold], L.predict(study.models[fold], latest, FEATURES)).select(*KEYS, "y_prob", "y_prob_calibrated"))
+
+
+@query("m22_linear_attribution", """
+    WITH m AS (SELECT avg(n_loans) AS a, avg(n_small) AS b, avg(is_rural) AS c FROM d_panel)
+    SELECT tract_fips, year, 'n_loans' AS feature, round((n_loans - a) * -0.05::DOUBLE, 9) + 0.0 AS attribution FROM d_panel, m
+    UNION ALL SELECT tract_fips, year, 'n_small', round((n_small - b) * 0.11::DOUBLE, 9) + 0.0 FROM d_panel, m
+    UNION ALL SELECT tract_fips, year, 'is_rural', round((is_rural - c) * 0.4::DOUBLE, 9) + 0.0 FROM d_panel, m""")
+def _(d: Domain):
+    return rounded(L.linear_attributions(d.panel(), KEYS, {"n_loans": -0.05, "n_small": 0.11, "is_rural": 0.4}), 9)
+
+
+@query("m22_tree_attribution")
+def _(d: Domain):
+    panel = study_panel(d)
+    model, _ = L.final_model(panel, FEATURES, LABEL, 2001, 1, QUICK)
+    long = L.tree_attributions(model, panel.where("year = 2001"), FEATURES, KEYS)
+    return rounded(serving.top_attributions(long.withColumn("attribution", F.round("attribution", 9)), KEYS, 3))
