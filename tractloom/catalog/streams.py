@@ -1 +1,67 @@
-"""Queries."""
+"""Queries that run a stream over everything that is there and compare its final state with SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.cleaning import address_key
+from ..plans.domain import Domain, applications_from_events
+from ..session import fresh_path
+from ..streaming import incremental as S
+from .registry import query, rounded
+
+COUNTS = """
+    SELECT period, tract_fips, count(*) AS n_applications, count(*) FILTER (action = 1) AS n_originated, count(*) FILTER (action = 3) AS n_denied, count(*) FILTER (action = 4) AS n_withdrawn,
+      count(*) FILTER (action = 6) AS n_purchased, round(sum(amount) FILTER (amount > 0), 2) AS sum_amount, count(*) FILTER (amount > 0) AS n_with_amount,
+      count(*) FILTER (race = 'White') AS n_white, count(*) FILTER (race = 'Black or African American') AS n_black, count(*) FILTER (race = 'Asian') AS n_asian,
+      count(*) FILTER (race = 'Other') AS n_other_race, count(*) FILTER (ethnicity = 'Hispanic or Latino') AS n_hispanic, count(DISTINCT nullif(lender, '')) AS n_distinct_lenders
+    FROM d_applications GROUP BY ALL"""
+
+
+def _landing(d: Domain) -> str:
+    days = d.table("events").withColumn("day", F.to_date("ts"))
+    return S.split_files(days, "day", 4)
+
+
+@query("t01_incremental_rollup", COUNTS)
+def _(d: Domain):
+    stream = applications_from_events(S.read_stream(d.spark, _landing(d), "*.parquet", files_per_batch=2))
+    # files are replayed in no particular order of event time, so the watermark spans the whole replay
+    return rounded(S.application_stream(stream, fresh_path(d.spark, "rollup"), watermark="60 days"), 2)
+
+
+@query("t02_idempotent_rerun", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def _(d: Domain):
+    landing, path = _landing(d), fresh_path(d.spark, "rerun")
+    for attempt in range(2):  # the second run finds every file done
+        stream = S.read_stream(d.spark, landing, "*.parquet", files_per_batch=2).select("event_type", "value")
+        S.run_available(stream, f"{path}/checkpoint", lambda df, i: S.write_batch(df, i, f"{path}/rows"))
+    rows = d.spark.read.parquet(f"{path}/rows")
+    return rounded(rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 2)
+
+
+@query("t03_cached_lookup", """
+    SELECT o_orderkey, sha1('CUSTOMER ' || o_custkey || ', ' || o_orderpriority) AS key, CASE WHEN c_mktsegment = 'BUILDING' THEN 'cache' ELSE 'service' END AS source
+    FROM orders JOIN customer ON c_custkey = o_custkey""")
+def _(d: Domain):
+    def keyed(df):
+        return df.withColumn("key", address_key(F.concat(F.lit("Customer "), F.col("o_custkey")), F.col("o_orderpriority")))
+
+    orders = keyed(d.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    known = orders.join(d.table("customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    cache = known.select("key", F.lit("cache").alias("source")).distinct()
+    answers, _new = S.cached_lookup(orders, cache, "key", lambda pending: pending.withColumn("source", F.lit("service")))
+    return answers.select("o_orderkey", "key", "source")
+
+
+@query("t04_running_churn", """
+    WITH e AS (SELECT event_type, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day FROM events),
+    s AS (SELECT event_type, day, list(DISTINCT user_id) AS l FROM e GROUP BY ALL),
+    j AS (SELECT c.event_type, c.day, c.l, coalesce(p.l, []) AS p FROM s c LEFT JOIN s p ON p.event_type = c.event_type AND p.day = c.day - 1)
+    SELECT event_type, day, len(l) AS n_lenders, len(l) - len(list_intersect(l, p)) AS entries_1yr, len(p) - len(list_intersect(l, p)) AS exits_1yr,
+      len(l) + len(p) - 2 * len(list_intersect(l, p)) AS churn_1yr, CASE WHEN len(p) > 0 THEN round(len(list_intersect(l, p)) / len(p), 6) END AS retention_1yr FROM j""")
+def _(d: Domain):
+    landing = _landing(d)
+    stream = S.read_stream(d.spark, landing, "*.parquet", files_per_batch=1)
+    presence = stream.select("event_type", "user_id", F.datediff("ts", F.lit("2024-01-01")).alias("day"))
+    return rounded(S.churn_stream(presence, fresh_path(d.spark, "churn"), "event_type", "user_id", "day"))
