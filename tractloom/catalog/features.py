@@ -315,28 +315,28 @@ def _(d: Domain):
 
 
 BRANCH_MARKET = """
-    market AS (SELECT county_fips, year, CAST(sum(b) AS BIGINT) AS branch_count, count(*) AS bank_count, round(sum(dep), 0) AS total_deposits,
-        CAST(round(CAST(sum(dep) / sum(b) AS DECIMAL(38, 8)), 2) AS DOUBLE) AS avg_deposits, round(sum(dep * dep) / (sum(dep) * sum(dep)), 6) AS deposit_hhi,
+    market AS (SELECT county_fips, year, CAST(sum(b) AS BIGINT) AS branch_count, count(*) AS bank_count, round(round(sum(dep), 2), 0) AS total_deposits,
+        round(sum(dep), 2) / CAST(sum(b) AS BIGINT) AS avg_deposits, round(sum(dep * dep) / (sum(dep) * sum(dep)), 6) AS deposit_hhi,
         round(max(dep) / sum(dep), 6) AS top_bank_share
       FROM (SELECT county_fips, year, bank_id, count(*) AS b, sum(deposits) AS dep FROM d_branches GROUP BY ALL) GROUP BY ALL)"""
 
 
 @query("a09_branch_market", f"WITH {BRANCH_MARKET} SELECT * FROM market")
 def _(d: Domain):
-    return rollups.branch_market(d.branches())
+    return rollups.branch_market(d.branches(), average_digits=None)
 
 
 @query("j14_calendar_change", f"""WITH {BRANCH_MARKET}
-    SELECT c.*, c.branch_count - p.branch_count AS branch_count_chg1yr, c.branch_count - q.branch_count AS branch_count_chg3yr,
+    SELECT c.* EXCLUDE (avg_deposits), c.branch_count - p.branch_count AS branch_count_chg1yr, c.branch_count - q.branch_count AS branch_count_chg3yr,
       round(c.deposit_hhi - p.deposit_hhi, 4) + 0.0 AS deposit_hhi_chg1yr, round(c.deposit_hhi - q.deposit_hhi, 4) + 0.0 AS deposit_hhi_chg3yr,
       round((c.total_deposits - p.total_deposits) / p.total_deposits * 100.0::DOUBLE, 4) AS total_deposits_pctchg1yr,
       round((c.total_deposits - q.total_deposits) / q.total_deposits * 100.0::DOUBLE, 4) AS total_deposits_pctchg3yr
     FROM market c LEFT JOIN market p ON p.county_fips = c.county_fips AND p.year = c.year - 1
                   LEFT JOIN market q ON q.county_fips = c.county_fips AND q.year = c.year - 3""")
 def _(d: Domain):
-    m = rollups.branch_market(d.branches())
+    m = rollups.branch_market(d.branches(), average_digits=None)
     out = temporal.calendar_change(m, "county_fips", "year", ["branch_count", "deposit_hhi", "total_deposits"], (1, 3), ("total_deposits",))
-    return rounded(out.drop("total_deposits_chg1yr", "total_deposits_chg3yr"), deposit_hhi_chg1yr=4, deposit_hhi_chg3yr=4,
+    return rounded(out.drop("avg_deposits", "total_deposits_chg1yr", "total_deposits_chg3yr"), deposit_hhi_chg1yr=4, deposit_hhi_chg3yr=4,
                    total_deposits_pctchg1yr=4, total_deposits_pctchg3yr=4)
 
 

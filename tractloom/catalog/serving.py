@@ -179,8 +179,9 @@ def _(d: Domain):
             row_number() OVER (PARTITION BY v.county_fips, v.model ORDER BY abs(round(points / total, 6)) DESC, feature) AS rank FROM v JOIN t ON t.county_fips = v.county_fips AND t.model = v.model WHERE total > 0)
     SELECT county_fips, model, feature, round(value, 5) + 0.0 AS value, round(points, 5) + 0.0 AS points, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 3""")
 def _(d: Domain):
-    tracts = d.risks().select("tract_fips", "model", "county_fips", "risk", "population")
-    return rounded(serving.county_drivers(d.drivers().drop("county_fips", "state_fips"), tracts, "county_fips", "tract_fips", k=3), 5)
+    tracts = stored(d.risks().select("tract_fips", "model", "county_fips", "risk", "population"), "risks")
+    drivers = stored(d.drivers().drop("county_fips", "state_fips"), "drivers")
+    return rounded(serving.county_drivers(drivers, tracts, "county_fips", "tract_fips", k=3), 5)
 
 
 @query("a27_feature_summary", f"""WITH {LONG} SELECT feature, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max,
@@ -320,7 +321,7 @@ EFFECT = STRENGTH + """,
 
 
 def _strengths(d: Domain):
-    importance = d.drivers().groupBy("feature").agg(F.avg(F.abs("attribution")).alias("importance"))
+    importance = stored(d.drivers().groupBy("feature").agg(F.avg(F.abs("attribution")).alias("importance")), "importance")
     ablation = d.spark.createDataFrame(ABLATION, "lever_group string, delta_ap double")
     return stored(scenario.lever_strengths(scenario.levers_frame(d.spark), importance, ablation), "levers")
 

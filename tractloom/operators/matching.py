@@ -84,7 +84,7 @@ def _probes(side: DataFrame, block: list[str], name: str, similarity: float, rar
         tagged(rare, rare_role), tagged(F.col("t"), full_role),
         tagged(F.slice("g", F.lit(1), (edits * 2 + 1).cast("int")), "bigram"),
     )
-    return sized.select(*block, name, F.explode(probes).alias("p")).select(*block, name, "p.role", "p.key")
+    return sized.select(*block, name, "length", F.explode(probes).alias("p")).select(*block, name, "length", "p.role", "p.key")
 
 
 def candidate_pairs(
@@ -96,14 +96,23 @@ def candidate_pairs(
     meet all tokens of the left, and rare bigrams meet rare bigrams.
     """
     s = threshold / 100.0
-    a, b = _described(left, block, name), _described(right, block, name)
+    # stored once: the key counts and the lookups both read the described names
+    a, b = stored(_described(left, block, name), "names"), stored(_described(right, block, name), "names")
     both = a.select(*block, F.explode("keys").alias("k")).unionAll(b.select(*block, F.explode("keys").alias("k")))
     counts = both.groupBy(*block, F.col("k.kind").alias("kind"), F.col("k.key").alias("key")).agg(
         F.count(F.lit(1)).alias("freq")
     )
     x = _probes(_by_rarity(a, counts, block, name), block, name, s, "left_rare", "right_rare")
     y = _probes(_by_rarity(b, counts, block, name), block, name, s, "right_rare", "left_rare")
-    return x.join(y.withColumnRenamed(name, "other"), [*block, "role", "key"]).select(*block, name, "other").distinct()
+    # The join makes many rows out of few: spread it by key over all shuffle partitions, because sizing its tasks by
+    # the bytes that go in would leave everything to one of them.
+    keys = [*block, "role", "key"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = x.repartition(tasks, *keys), y.repartition(tasks, *keys)
+    met = x.join(y.withColumnsRenamed({name: "other", "length": "other_length"}), keys)
+    # whole names that are alike have about the same length
+    alike = F.least("length", "other_length") >= F.greatest("length", "other_length") * s - 1e-9
+    return met.where((F.col("role") != "bigram") | alike).select(*block, name, "other").distinct()
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, block: list[str], name: str, threshold: float) -> DataFrame:

@@ -99,16 +99,23 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[floa
     every probability whose lower or upper neighbour position falls in its run.
     """
     ranked = ranked_values(df, by, value)
-    positions = F.transform(
-        F.array(*[F.lit(float(p)) for p in probabilities]),
-        lambda p: F.struct(p.alias("p"), (p * (F.col("n_total") - 1)).alias("at")),
-    )
+    wanted = sorted(float(p) for p in set(probabilities))
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    # Most values answer for no probability. A table of where each hundredth starts in the sorted list cuts the
+    # candidates to the few between the value's own shares; the exact test then decides.
+    starts = F.array(*[F.lit(sum(1 for p in wanted if p < c / 100 - 1e-12)) for c in range(103)])
+    steps = F.greatest(F.col("n_total") - 1, F.lit(1))
+    low_share = F.greatest(F.floor((first - 1) / steps * 100.0), F.lit(0))
+    high_share = F.least(F.floor((last + 1) / steps * 100.0), F.lit(100))
+    start = F.get(starts, low_share)
+    near = F.slice(F.array(*[F.lit(p) for p in wanted]), start + 1, F.greatest(F.get(starts, high_share + 2) - start, F.lit(0)))
+    placed = ranked.withColumn("__near", near).where(F.size("__near") > 0)
+    positions = F.transform("__near", lambda p: F.struct(p.alias("p"), (p * (F.col("n_total") - 1)).alias("at")))
 
     def answers(x: Column) -> Column:
         return F.floor(x["at"]).between(first, last) | F.ceil(x["at"]).between(first, last)
 
-    hits = ranked.select(
+    hits = placed.select(
         *by, F.col(value).cast("double").alias("__v"), "n_before", "n", "n_total",
         F.explode(F.filter(positions, answers)).alias("__q"),
     )

@@ -45,17 +45,19 @@ def apportion(
     )
 
 
-def branch_market(branches: DataFrame, county: str = "county_fips", bank: str = "bank_id", deposits: str = "deposits") -> DataFrame:
+def branch_market(branches: DataFrame, county: str = "county_fips", bank: str = "bank_id", deposits: str = "deposits",
+                  average_digits: int | None = 2) -> DataFrame:
     """Branches, banks, deposits and deposit concentration per county-year, rounded as published."""
     per_bank = branches.groupBy(county, "year", bank).agg(
         F.count(F.lit(1)).alias("__b"), F.sum(deposits).cast("double").alias("__d")
     )
     d, b = F.sum("__d"), F.sum("__b")
+    average = F.round(d, 2) / b
     return per_bank.groupBy(county, "year").agg(
         b.alias("branch_count"),
         F.count(F.lit(1)).alias("bank_count"),
-        F.round(d, 0).alias("total_deposits"),
-        F.round(d / b, 2).alias("avg_deposits"),
+        F.round(F.round(d, 2), 0).alias("total_deposits"),
+        (average if average_digits is None else F.round(average, average_digits)).alias("avg_deposits"),
         F.round(F.when(d > 0, F.sum(F.col("__d") * F.col("__d")) / (d * d)).otherwise(F.lit(0.0)), 6).alias("deposit_hhi"),
         F.round(F.when(d > 0, F.max("__d") / d).otherwise(F.lit(0.0)), 6).alias("top_bank_share"),
     )

@@ -27,7 +27,8 @@ def state_documents(d: Domain, k: int = 5) -> DataFrame:
 
 def county_documents(d: Domain, k: int = 8) -> DataFrame:
     """Per county: top drivers per model as one nested record."""
-    tracts = d.risks().select("tract_fips", "model", "county_fips", "risk", "population")
-    drivers = serving.county_drivers(d.drivers().drop("county_fips", "state_fips"), tracts, "county_fips", "tract_fips", k)
+    tracts = stored(d.risks().select("tract_fips", "model", "county_fips", "risk", "population"), "risks")
+    attributions = stored(d.drivers().drop("county_fips", "state_fips"), "drivers")
+    drivers = serving.county_drivers(attributions, tracts, "county_fips", "tract_fips", k)
     entry = F.struct("model", "rank", "feature", F.round("value", 4).alias("value"), F.round("points", 3).alias("points"))
     return drivers.groupBy("county_fips").agg(F.sort_array(F.collect_list(entry)).alias("drivers"))

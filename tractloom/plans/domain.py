@@ -40,6 +40,9 @@ class Domain:
 
     def fact(self) -> DataFrame:
         """Tract x lender x year: loan counts and amounts by size bucket."""
+        return self._lender_years().join(self.places().select("tract_fips", "county_fips", "state_fips"), "tract_fips")
+
+    def _lender_years(self) -> DataFrame:
         price = F.col("l_extendedprice")
         buckets = {
             "lt_100": price < 25000, "100_250": (price >= 25000) & (price < 60000), "250_1m": price >= 60000,
@@ -52,19 +55,19 @@ class Domain:
             )
         )
         # aggregate before attaching place attributes: they depend on the tract only
-        grouped = loans.groupBy(
+        return loans.groupBy(
             F.col("o_custkey").alias("tract_fips"), F.col("l_suppkey").alias("lender_id"), "year"
         ).agg(
             F.count(F.lit(1)).alias("n_loans"), F.sum(price).alias("amount_k"),
             *[F.count_if(c).alias(f"count_{b}") for b, c in buckets.items()],
             *[F.coalesce(F.sum(F.when(c, price)), F.lit(0.0)).alias(f"amount_{b}") for b, c in buckets.items()],
         )
-        return grouped.join(self.places().select("tract_fips", "county_fips", "state_fips"), "tract_fips")
 
     def panel(self) -> DataFrame:
         """Tract x year: distinct lenders, loans, amount and place attributes; (tract, year) is unique."""
-        grouped = self.fact().groupBy("tract_fips", "year").agg(
-            F.count_distinct("lender_id").alias("n_lenders"), F.sum("n_loans").alias("n_loans"),
+        # the fact has one row per lender, so counting rows counts lenders
+        grouped = self._lender_years().groupBy("tract_fips", "year").agg(
+            F.count(F.lit(1)).alias("n_lenders"), F.sum("n_loans").alias("n_loans"),
             F.sum("amount_k").alias("amount_k"), F.sum("count_lt_100").alias("n_small"),
         )
         return grouped.join(self.places().drop("lat", "lon"), "tract_fips")
