@@ -605,3 +605,30 @@ def _(d: Domain):
     SELECT branch_id, year, lat, lon FROM d_branches QUALIFY row_number() OVER (PARTITION BY branch_id ORDER BY year) = 1""")
 def _(d: Domain):
     return temporal.first_per_key(d.branches(), ["branch_id"], ["year"], ["year", "lat", "lon"])
+
+
+# ---------------------------------------------------------------- the whole build
+
+
+@query("panel_build", f"""WITH {CONCENTRATION},
+    cuts AS (SELECT year, is_rural, quantile_cont(n_lenders::DOUBLE, 0.1) AS t FROM d_panel GROUP BY ALL),
+    lab AS (SELECT p.tract_fips, p.year, p.is_rural, p.county_fips, p.n_lenders, CAST(p.n_lenders <= c.t AS INTEGER) AS is_service_desert
+      FROM d_panel p JOIN cuts c ON p.year = c.year AND p.is_rural = c.is_rural),
+    w AS (SELECT l.*, g.lender_hhi_tract AS y, ln(1 + n_lenders::DOUBLE) AS x1, n_lenders::DOUBLE AS x2 FROM lab l JOIN g ON g.tract_fips = l.tract_fips AND g.year = l.year),
+    m AS (SELECT year, is_rural, count(y) AS n, avg(x1) FILTER (y IS NOT NULL) AS a1, avg(x2) FILTER (y IS NOT NULL) AS a2, avg(y) AS ay,
+        var_pop(x1) FILTER (y IS NOT NULL) AS s11, var_pop(x2) FILTER (y IS NOT NULL) AS s22, covar_pop(x1, x2) FILTER (y IS NOT NULL) AS s12,
+        covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM w GROUP BY ALL),
+    v AS (SELECT y.year, max(d.vintage) AS vintage FROM (SELECT DISTINCT year FROM d_panel) y LEFT JOIN (SELECT DISTINCT vintage FROM d_demographics) d ON d.vintage <= y.year - 2 GROUP BY 1)
+    SELECT w.tract_fips, w.year, w.n_lenders, round(g.top3_lender_share_tract, 6) AS top3_lender_share_tract, b.branch_count, v.vintage, i.households, w.is_service_desert,
+      CASE WHEN w.is_service_desert = 0 THEN f.is_service_desert END AS becomes_is_service_desert_h1,
+      CASE WHEN n >= 50 THEN round(y - ay - (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) * (x1 - a1) - (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) * (x2 - a2), 6) + 0.0 END AS lender_hhi_tract_resid
+    FROM w JOIN g ON g.tract_fips = w.tract_fips AND g.year = w.year JOIN m ON m.year = w.year AND m.is_rural = w.is_rural JOIN v ON v.year = w.year
+      LEFT JOIN lab f ON f.tract_fips = w.tract_fips AND f.year = w.year + 1
+      LEFT JOIN (SELECT county_fips, year, count(*) AS branch_count FROM d_branches GROUP BY ALL) b ON b.county_fips = w.county_fips AND b.year = w.year
+      LEFT JOIN d_demographics i ON i.tract_fips = w.tract_fips AND i.vintage = v.vintage""")
+def _(d: Domain):
+    from ..plans.panel import build_panel
+
+    return rounded(build_panel(d).select(
+        "tract_fips", "year", "n_lenders", "top3_lender_share_tract", "branch_count", "vintage", "households", "is_service_desert",
+        "becomes_is_service_desert_h1", "lender_hhi_tract_resid"))

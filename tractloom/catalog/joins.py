@@ -261,15 +261,15 @@ def _(d: Domain):
 
 
 @query("j21_renderable_only", """
-    WITH l AS (SELECT o_custkey AS tract_fips, list(o_orderkey % 2000 ORDER BY o_orderkey) AS peers FROM orders GROUP BY 1),
-    e AS (SELECT tract_fips, unnest(peers) AS item, generate_subscripts(peers, 1) AS pos FROM l)
-    SELECT tract_fips, array_to_string(list(item ORDER BY pos), ',') AS peers FROM e WHERE item IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""")
+    WITH l AS (SELECT o_orderkey, [o_orderkey % 2000, o_custkey, (o_orderkey * 7) % 2000] AS peers FROM orders),
+    e AS (SELECT o_orderkey, unnest(peers) AS item, generate_subscripts(peers, 1) AS pos FROM l)
+    SELECT o_orderkey, array_to_string(list(item ORDER BY pos), ',') AS peers FROM e WHERE item IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""")
 def _(d: Domain):
-    orders = d.table("orders").groupBy(F.col("o_custkey").alias("tract_fips")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("o"))
-    lists = orders.select("tract_fips", F.transform("o", lambda x: x % 2000).alias("peers"))
+    k = F.col("o_orderkey")
+    lists = d.table("orders").select("o_orderkey", F.array(k % 2000, F.col("o_custkey"), k * 7 % 2000).alias("peers"))
     known = d.table("customer").where("c_acctbal > 0").select("c_custkey")
-    out = serving.renderable_only(lists, "tract_fips", "peers", known, "c_custkey")
-    return out.select("tract_fips", F.array_join("peers", ",").alias("peers"))
+    out = serving.renderable_only(lists, "o_orderkey", "peers", known, "c_custkey")
+    return out.select("o_orderkey", F.array_join("peers", ",").alias("peers"))
 
 
 # ---------------------------------------------------------------- entity matching

@@ -4,7 +4,9 @@ Points are placed in a three-dimensional cube grid whose edge is the straight-li
 everything within the radius lies in the 27 cubes around a site, with no special case at poles or the date line.
 A cube may hold a large part of all points, so sites never meet its points directly: each cube is summarised into
 small sub-cells (count and bounding box). Sub-cells wholly inside the radius add their count, those wholly outside
-are skipped, and only points of sub-cells the circle's edge crosses are compared one by one.
+are skipped, and only points of sub-cells the circle's edge crosses are compared one by one. A sub-cell that still
+holds more than ``CROWDED`` positions is cut once more before its points are opened, so a dense spot costs a thin rim
+of comparisons instead of sites times points.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from ..functions.geo import chord_miles, haversine_miles, unit_vector
 from ..session import stored
 
 AXES = ("x", "y", "z")
+CROWDED = 64
+FINER = 8
 # Relative slack on straight-line tests; the final decision on an edge case is always the exact great-circle formula.
 SLACK = 1e-7
 
@@ -36,7 +40,10 @@ def _subcelled(df: DataFrame, edge: float, parts: int) -> DataFrame:
 
 
 CUBE = [f"c{a}" for a in AXES]
-SUB = [f"s{a}" for a in AXES]
+# A position belongs to exactly one cell of each list; the lists name the whole path from the cube down, because
+# rounding can put a position on a border into a cube and a sub-cell that do not nest.
+PATH = [*CUBE, *[f"s{a}" for a in AXES]]
+FULL = [*PATH, *[f"f{a}" for a in AXES]]
 
 
 def _around(sites: DataFrame) -> DataFrame:
@@ -49,13 +56,17 @@ def _around(sites: DataFrame) -> DataFrame:
     return near.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"__d.{a}") for a in AXES}).drop("__d")
 
 
-def _subcell_summary(points: DataFrame, by: list[str]) -> DataFrame:
-    return points.groupBy(*by, *CUBE, *SUB).agg(
-        F.sum("copies").alias("copies"),
+def _summary(points: DataFrame, keys: list[str]) -> DataFrame:
+    return points.groupBy(*keys).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("positions"),
         *[F.min(a).alias(f"lo{a}") for a in AXES], *[F.max(a).alias(f"hi{a}") for a in AXES],
     )
 
 
+def _finer(df: DataFrame, edge: float, parts: int) -> DataFrame:
+    return df.withColumns({f"f{a}": F.floor(F.col(a) / (edge / parts / FINER)) for a in AXES})
+
+
 def _box_distances() -> tuple[Column, Column]:
     """Smallest and largest straight-line distance from a site to a sub-cell's bounding box."""
     near, far = [], []
@@ -104,21 +115,33 @@ def count_within(
     edge = chord * (1 + SLACK)
     located = _subcelled(_cubed(_distinct_points(points, lat, lon, by), edge), edge, parts)
     sites = _around(_cubed(_distinct_sites(places, lat, lon), edge))
+    site = ["lat", "lon", *by]
     near, far = _box_distances()
-    met = sites.join(_subcell_summary(located, by), CUBE).withColumns({"__near": near, "__far": far})
-    met = met.where(F.col("__near") <= chord * (1 + SLACK))
-    inside = met.where(F.col("__far") <= chord * (1 - SLACK)).groupBy("lat", "lon", *by).agg(
-        F.sum("copies").alias("__n")
-    )
-    edge_cells = met.where(F.col("__far") > chord * (1 - SLACK)).select("lat", "lon", *by, *SUB)
-    exact = located.select(*by, *SUB, F.col("lat").alias("__la"), F.col("lon").alias("__lo"), "copies")
-    crossing = (
-        edge_cells.join(exact, [*by, *SUB])
-        .where(haversine_miles("lat", "lon", "__la", "__lo") <= miles)
-        .groupBy("lat", "lon", *by)
-        .agg(F.sum("copies").alias("__n"))
-    )
-    counted = inside.unionByName(crossing).groupBy("lat", "lon", *by).agg(F.sum("__n").alias("__n"))
+
+    def sorted_out(met: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Counts of cells wholly inside, and the (site, cell) pairs the edge crosses."""
+        tested = met.withColumns({"__near": near, "__far": far}).where(F.col("__near") <= chord * (1 + SLACK))
+        inside = tested.where(F.col("__far") <= chord * (1 - SLACK)).groupBy(*site).agg(F.sum("copies").alias("__n"))
+        crossed = tested.where(F.col("__far") > chord * (1 - SLACK)).select(*site, *AXES, *cell, "positions")
+        return inside, crossed
+
+    def point_by_point(pairs: DataFrame, cell: list[str]) -> DataFrame:
+        exact = _finer(located, edge, parts).select(
+            *by, *cell, F.col("lat").alias("__la"), F.col("lon").alias("__lo"), "copies"
+        )
+        return (
+            pairs.select(*site, *cell).join(exact, [*by, *cell])
+            .where(haversine_miles("lat", "lon", "__la", "__lo") <= miles)
+            .groupBy(*site).agg(F.sum("copies").alias("__n"))
+        )
+
+    inside, crossed = sorted_out(sites.join(_summary(located, [*by, *PATH]), CUBE), PATH)
+    sparse = point_by_point(crossed.where(F.col("positions") <= CROWDED), PATH)
+    crowded = crossed.where(F.col("positions") > CROWDED).select(*site, *AXES, *PATH)
+    finer = _summary(_finer(located, edge, parts), [*by, *FULL])
+    fine_inside, fine_crossed = sorted_out(crowded.join(finer, [*by, *PATH]), FULL)
+    parts_found = [inside, sparse, fine_inside, point_by_point(fine_crossed, FULL)]
+    counted = reduce(lambda a, b: a.unionByName(b), parts_found).groupBy(*site).agg(F.sum("__n").alias("__n"))
     all_rows = spine(places, points, by, [place, lat, lon])
     found = counted.withColumnsRenamed({"lat": lat, "lon": lon})
     return all_rows.join(found, [lat, lon, *by], "left").select(
@@ -147,21 +170,27 @@ def nearest(
         edge = chord_miles(miles) * (1 + SLACK)
         cells = _subcelled(_cubed(located, edge), edge, parts)
         near, far = _box_distances()
-        met = (
-            _around(_cubed(open_sites, edge))
-            .join(_subcell_summary(cells, by), [*by, *CUBE])
-            .select(*site, *SUB, near.alias("__near"), far.alias("__far"))
-        )
-        # a site meets at most 27 * parts^3 sub-cells, so this window is small for every site
-        bound = F.min("__far").over(Window.partitionBy(*site))
-        candidates = met.withColumn("__bound", bound).where(F.col("__near") <= F.col("__bound") * (1 + SLACK) + SLACK)
-        exact = cells.select(*by, *SUB, F.col("lat").alias("__la"), F.col("lon").alias("__lo"))
-        hits = (
-            candidates.select(*site, *SUB)
-            .join(exact, [*by, *SUB])
-            .groupBy(*site)
-            .agg(F.min(haversine_miles("lat", "lon", "__la", "__lo")).alias(output))
-        )
+
+        def can_win(met: DataFrame, keep: list[str]) -> DataFrame:
+            """Cells not farther than the nearest one's far side. A site meets a bounded number of cells, so the
+            window is small for every site."""
+            tested = met.withColumns({"__near": near, "__far": far})
+            bound = F.min("__far").over(Window.partitionBy(*site))
+            kept = tested.withColumn("__bound", bound).where(F.col("__near") <= F.col("__bound") * (1 + SLACK) + SLACK)
+            return kept.select(*site, *AXES, *keep)
+
+        def point_by_point(pairs: DataFrame, cell: list[str]) -> DataFrame:
+            exact = _finer(cells, edge, parts).select(*by, *cell, F.col("lat").alias("__la"), F.col("lon").alias("__lo"))
+            away = haversine_miles("lat", "lon", "__la", "__lo")
+            return pairs.select(*site, *cell).join(exact, [*by, *cell]).groupBy(*site).agg(F.min(away).alias(output))
+
+        met = _around(_cubed(open_sites, edge)).join(_summary(cells, [*by, *PATH]), [*by, *CUBE])
+        candidates = can_win(met, [*PATH, "positions"])
+        sparse = point_by_point(candidates.where(F.col("positions") <= CROWDED), PATH)
+        crowded = candidates.where(F.col("positions") > CROWDED).select(*site, *AXES, *PATH)
+        finer = _summary(_finer(cells, edge, parts), [*by, *FULL])
+        dense = point_by_point(can_win(crowded.join(finer, [*by, *PATH]), FULL), FULL)
+        hits = sparse.unionByName(dense).groupBy(*site).agg(F.min(output).alias(output))
         if i == len(tiers) - 1:
             results.append(hits)
             break
