@@ -369,9 +369,9 @@ def _(d: Domain):
 def _(d: Domain):
     chosen = R.Selection(state=2, ranges={"population": (500.0, 10000.0, 10000.0)}).predicate("state_fips", "is_rural", "is_rural", "y_prob")
     sel = stored(d.scored().where(chosen), "selection")
-    basics = sel.agg(F.avg("y_prob").alias("mean_risk"), F.max("y_prob").alias("max_risk")).withColumn("k", F.lit(1))
-    metrics = E.scores(sel, []).select("n", "pos_rate", F.when(F.col("n") > 50, F.col("auc")).alias("auc"), F.lit(1).alias("k"))
-    return rounded(metrics.join(basics, "k").drop("k"))
+    mean, top = (sel.agg(f("y_prob")).scalar() for f in (F.avg, F.max))
+    metrics = E.scores(sel, []).select("n", "pos_rate", F.when(F.col("n") > 50, F.col("auc")).alias("auc"))
+    return rounded(metrics.select("*", mean.alias("mean_risk"), top.alias("max_risk")))
 
 
 @query("v07_state_payload")
