@@ -124,3 +124,12 @@ def test_feature_lists(spark):
     df = spark.createDataFrame([(1, 2.0, "x", 3)], "a int, b double, c string, leak int")
     assert learning.usable_features(df, ["b", "c", "a", "leak", "gone"], {"leak"}) == ["b", "a"]
     assert learning.common_columns([df, df.drop("b")]) == ["a", "c", "leak"]
+
+
+def test_leaks_never_reach_features(spark):
+    from tractloom.operators.feature_lists import INFLUENCEABLE, leaks_label
+
+    leaks = ["tract_fips", "target_becomes_any_desert_h6", "is_any_desert", "n_cra_lenders", "cra_lender_presence_ratio_1yr",
+             "fdic_branch_count", "fdic_total_branch_deposits_k_pctchg3yr", "becomes_is_service_desert_h3", "service_desert_score"]
+    kept = ["fdic_deposit_hhi", "fdic_top_bank_share_chg1yr", "cra_county_count_hhi", "pct_poverty", *INFLUENCEABLE]
+    assert all(map(leaks_label, leaks)) and not any(map(leaks_label, kept))

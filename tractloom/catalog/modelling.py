@@ -26,6 +26,22 @@ def study_panel(d: Domain):
     return stored(ahead.withColumn(LABEL, F.col("becomes_is_low_h1")).drop("state_is_low_h1", "becomes_is_low_h1"), "study")
 
 
+@query("p13_feature_selection", """
+    SELECT year, n_lenders, n_loans, round(amount_k, 2) AS amount_k, n_small, is_rural, population FROM d_panel""")
+def _(d: Domain):
+    labelled = d.panel().withColumns({"peer_group": F.lit("rural"), "is_service_desert": F.lit(1), "target_any_desert_h1": F.lit(0),
+                                      "cra_lender_churn_3yr": F.col("n_loans"), "fdic_bank_count_chg1yr": F.col("n_loans")})
+    return rounded(labelled.select(*L.usable_features(labelled)), 2)
+
+
+@query("u03_common_columns", """
+    SELECT tract_fips, year, n_lenders, n_loans, n_small, county_fips, is_rural, population FROM d_panel""")
+def _(d: Domain):
+    early, late = d.panel().where("year < 1998").drop("amount_k"), d.panel().where("year >= 1998").drop("state_fips")
+    shared = L.common_columns([early, late])
+    return early.select(*shared).unionByName(late.select(*shared))
+
+
 @query("m03_boosted_walk_forward")
 def _(d: Domain):
     study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, QUICK)

@@ -60,6 +60,20 @@ def _(d: Domain):
     return disclosure.parse_transmittal(d.table("supplier").select(line.alias("line"), F.lit(1999).alias("year")))
 
 
+@query("s03_discovery", """
+    SELECT y AS year, CAST(p.kind = 'discl' AS BOOLEAN) AS wanted, count(*) AS n_lines FROM d_fact, (VALUES ('discl')) p(kind), (VALUES (2019), (2020)) g(y) GROUP BY ALL""")
+def _(d: Domain):
+    root = fresh_path(d.spark, "landing")
+    lines = _presence_lines(d).select("line")
+    for year in (2019, 2020):
+        lines.write.text(f"{root}/{year}/discl")
+        d.table("nation").select("n_name").write.text(f"{root}/{year}/trans")
+    found = disclosure.discover(d.spark, root, "discl", [2019, 2020])
+    read = disclosure.read_lines(d.spark, f"{root}/*/discl/*.txt")
+    years = found.select("year").distinct().withColumn("wanted", F.lit(True))
+    return read.join(years, "year").groupBy("year", "wanted").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query("s04_branch_files", """
     SELECT CAST(branch_id AS VARCHAR) AS branch_id, CAST(bank_id AS VARCHAR) AS cert, CAST(NULL AS VARCHAR) AS rssd, lpad(CAST(county_fips AS VARCHAR), 5, '0') AS county_fips,
       round(deposits, 2) AS deposits, round(lat, 6) AS lat, round(lon, 6) AS lon, year FROM d_branches""")

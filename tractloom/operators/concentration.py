@@ -134,21 +134,15 @@ def entity_churn(
 ) -> DataFrame:
     """Entries, exits, churn and retention of a place's entity set against the calendar years ``year - lag``.
 
-    No set is ever built: each (place, entity) knows its own years (one narrow window), so "was also here n years
-    ago" is a 0/1 column; set sizes then follow from counts. entries = now - kept, exits = before - kept.
+    A place's entity set is never built. Each (place, entity) gathers its own years, at most one per calendar year, so
+    "was also here n years ago" is a lookup in that small array and one shuffle suffices; set sizes then follow from
+    counts. entries = now - kept, exits = before - kept.
     """
-    seen = fact.select(place, entity, year).distinct()
-    own = Window.partitionBy(place, entity).orderBy(year)
-    span = max(lags)
-    kept = []
-    for lag in lags:
-        steps = [F.lag(year, i).over(own) == F.col(year) - lag for i in range(1, lag + 1)]
-        hit = steps[0]
-        for s in steps[1:]:
-            hit = hit | F.coalesce(s, F.lit(False))
-        kept.append(F.coalesce(hit, F.lit(False)).cast("bigint").alias(f"__k{lag}"))
+    own = fact.groupBy(place, entity).agg(F.collect_set(year).alias("__years"))
+    seen = own.select(place, "__years", F.explode("__years").alias(year))
+    kept = [F.array_contains("__years", F.col(year) - lag).cast("bigint").alias(f"__k{lag}") for lag in lags]
     counts = (
-        seen.select(place, entity, year, *kept)
+        seen.select(place, year, *kept)
         .groupBy(place, year)
         .agg(F.count(F.lit(1)).alias("n_lenders"), *[F.sum(f"__k{lag}").alias(f"__k{lag}") for lag in lags])
     )

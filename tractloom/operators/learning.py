@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path, stored
 from .evaluation import Fold, assign_folds, scores
+from .feature_lists import leaks_label, numeric_columns
 from .orderstats import quantile_columns
 from .serving import seeded_sample
 
@@ -41,10 +42,10 @@ class Settings:
     seed: int = 42
 
 
-def usable_features(df: DataFrame, allowed: list[str], leaks: set[str] = frozenset()) -> list[str]:
-    """Allowed features that exist, are numeric and are not known to leak the label."""
-    numeric = {n for n, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint", "float", "double") or t.startswith("decimal")}
-    return [c for c in allowed if c in numeric and c not in leaks]
+def usable_features(df: DataFrame, allowed: list[str] | None = None, leaks: set[str] = frozenset()) -> list[str]:
+    """Numeric columns that are allowed (all by default) and neither named leaks nor known to restate the label."""
+    numeric = [c for c in numeric_columns(df.dtypes) if c not in leaks and not leaks_label(c)]
+    return numeric if allowed is None else [c for c in allowed if c in numeric]
 
 
 def common_columns(frames: list[DataFrame]) -> list[str]:
