@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,13 +28,18 @@ def build_session(app: str = "tractloom", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local folder only where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    On a cluster it must be set. In local mode, where all tasks share one disk, an unset folder is set once per session.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    if not hasattr(shared_folder, "local"):
-        shared_folder.local = tempfile.mkdtemp(prefix="tractloom-")
-    return shared_folder.local
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="tractloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -52,11 +58,3 @@ def stored(df, name: str, partition_by: str | None = None):
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df):
-    """Cut lineage with a reliable checkpoint in the shared folder (survives the loss of executors)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
