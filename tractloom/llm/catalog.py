@@ -1,6 +1,6 @@
 """All registered queries of this package: importing the query modules fills the registry."""
 
-from . import query_exact_dedup, query_mixing, query_packing, query_topk  # noqa: F401
+from . import query_chat, query_exact_dedup, query_mixing, query_ngram_join, query_packing, query_topk, query_toxicity  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
