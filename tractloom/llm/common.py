@@ -60,7 +60,7 @@ def aligned(df: DataFrame, name: str, rows_in_bucket: int = 8192) -> tuple[DataF
     (
         df.withColumn("rid", F.monotonically_increasing_id())
         .withColumn("chunk", F.shiftright("rid", CHUNK_BITS))
-        .write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(token)
+        .write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk").option("path", path).saveAsTable(token)
     )
     return spark.table(token), rows
 
