@@ -30,10 +30,13 @@ class WordTokens:
     The tokenizer must drop white space and never join across it. Beyond `limit` chunks the memory starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.reset()
 
     def reset(self):
@@ -42,9 +45,21 @@ class WordTokens:
         self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _learn(self, chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        """Encode new chunks. Plain words go many to a text: each ends in exactly one end-of-word token, or is taken alone."""
+        encoded: list = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if c.isalpha()]
+        lines = [plain[i : i + 128] for i in range(0, len(plain), 128)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(chunks[i] for i in x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(line):
+                for i, start, end in zip(line, [0, *ends.tolist()], ends.tolist(), strict=False):
+                    encoded[i] = ids[start:end]
+        rest = [i for i, e in enumerate(encoded) if e is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            encoded[i] = np.array(e.ids, np.uint32)
         sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
+        flat = np.concatenate(encoded)
         first = len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -59,18 +74,27 @@ class WordTokens:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the row offsets in them."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token, whose case would matter
+            texts = pc.ascii_lower(texts)
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.known) > self.limit:
             self.reset()
-        new = [x for x in names if x not in self.known]
+        # A word and one full stop or comma after it are two pieces to the tokenizer.
+        split = [n[-1:] in (".", ",") and n[:-1].isalpha() and n[:-1].lower().isalpha() for n in names]
+        stems = [n[:-1] if cut else n for n, cut in zip(names, split, strict=True)]
+        new = list(dict.fromkeys(x for x in (*stems, ".", ",") if x not in self.known))
         if new:
             self._learn(new)
-        mine = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.length[mine]
-        ids = self.ids[ranges(self.at[mine], sizes)]
-        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        stem = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(names))
+        mark = np.fromiter((self.known[n[-1]] if cut else -1 for n, cut in zip(names, split, strict=True)), np.int64, len(names))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        both = np.stack([stem[at], mark[at]], axis=1).ravel()
+        sizes = np.where(both >= 0, self.length[both], 0)
+        both = np.where(both >= 0, both, 0)
+        ids = self.ids[ranges(self.at[both], sizes)]
+        offsets = 2 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
         return ids, np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
 
