@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import fresh_path, stored
 from .common import aligned, hashes, mixed, packed, quoted, words
 
-CLASSES, RARE_BITS = 32, 5
+CLASSES, RARE_BITS = 32, 7
 FREQUENT = 1 << RARE_BITS
 SINGLE, END = CLASSES, CLASSES + RARE_BITS
 ALL = END + 1
@@ -201,13 +201,18 @@ def _contexts(bits: int, turn: int):
         word = codes[at].astype(np.int64)
         keys = np.concatenate([word * (2 * ALL) + _before(klass)[at], word * (2 * ALL) + ALL + klass[at + 1]])
         keys, counts = np.unique(keys, return_counts=True)
+        # One byte a count: a larger one is sent in parts, which the owner adds up.
+        parts = -(-counts // 255)
+        last = np.cumsum(parts) - 1
+        keys, sent = np.repeat(keys, parts), np.full(int(parts.sum()), 255, np.uint8)
+        sent[last] = (counts - 255 * (parts - 1)).astype(np.uint8)
         word = keys // (2 * ALL)
         first = np.flatnonzero(np.diff(word, prepend=-1))
         sizes, own = np.diff(np.append(first, len(word))), values[word[first]] if len(first) else values[:0]
         ends, out = np.append(first, len(word)), []
         for o, s, e in _by_owner(_owner(own, bits)):
             lo, hi = ends[s], ends[e]
-            out.append((o, own[s:e].tobytes(), sizes[s:e].astype("<u4").tobytes(), (keys[lo:hi] % (2 * ALL)).astype(np.uint8).tobytes(), counts[lo:hi].astype("<u4").tobytes()))
+            out.append((o, own[s:e].tobytes(), sizes[s:e].astype("<u4").tobytes(), (keys[lo:hi] % (2 * ALL)).astype(np.uint8).tobytes(), sent[lo:hi].tobytes()))
         return _columns(out, schema)
 
     return run
@@ -227,7 +232,7 @@ def _exchange(table: np.ndarray):
         cells: list[tuple[np.ndarray, np.ndarray]] = []
         for h, z, s, c in zip(*(rows.column(x) for x in ("hashes", "sizes", "sides", "counts")), strict=True):
             word = np.repeat(np.searchsorted(values, np.frombuffer(h.as_py(), "<u8")), np.frombuffer(z.as_py(), "<u4"))
-            cells.append((word.astype(np.int64) * (2 * ALL) + np.frombuffer(s.as_py(), np.uint8), np.frombuffer(c.as_py(), "<u4").astype(np.int64)))
+            cells.append((word.astype(np.int64) * (2 * ALL) + np.frombuffer(s.as_py(), np.uint8), np.frombuffer(c.as_py(), np.uint8).astype(np.int64)))
         if cells:
             keys, places = np.unique(np.concatenate([x[0] for x in cells]), return_inverse=True)
             n = np.bincount(places, np.concatenate([x[1] for x in cells]))
