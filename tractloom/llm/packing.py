@@ -30,7 +30,7 @@ class WordTokens:
     The tokenizer must drop white space and never join across it. Beyond `limit` chunks the memory starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -209,8 +209,8 @@ def pack(
             _TOKENS[tokenizer] = WordTokens(tokenizer)
         tokens, packer, part, sequence = _TOKENS[tokenizer], Packer(size, windows, cut_gap), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
                 ids, offsets = tokens.encode(b.column("text"))
                 for row, doc in enumerate(b.column("id").to_pylist()):
                     own = np.append(ids[offsets[row] : offsets[row + 1]], np.uint32(end_id)).astype("<u4", copy=False)
