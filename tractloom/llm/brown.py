@@ -24,14 +24,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import fresh_path, stored
 from .common import aligned, hashes, mixed, packed, quoted, words
 
-CLASSES, RARE_BITS = 32, 7
-FREQUENT = 1 << RARE_BITS
-SINGLE, END = CLASSES, CLASSES + RARE_BITS
-ALL = END + 1
+CLASSES, SINGLE = 32, 32
+#: Words are clustered from this share of all tokens on, so their number is bounded alike at every size of the corpus.
+SHARE_BITS, LEAST_BITS, MOST_BITS = 18, 3, 48
 RARE_CODE = 1 << 31
 SHRINK = 10.0
 
 
+class Layout:
+    """Class numbers: clustered classes, one per power of two of rarer counts, the end mark."""
+
+    def __init__(self, tokens: int):
+        self.bits = max(LEAST_BITS, round(math.log2(max(1, tokens)) - SHARE_BITS))
+        self.frequent, self.end, self.all = 1 << self.bits, CLASSES + self.bits, CLASSES + self.bits + 1
+
+
 def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ordered distinct word hashes of a chunk, the place of each token's word in them, row offsets."""
     codes, offsets, names = words(texts)
@@ -92,15 +99,15 @@ def _answer():
         for chunk, own in zip(rows.column("chunk").to_pylist(), asked, strict=True):
             out.append((owner, chunk, totals[places[at : at + len(own)]].astype("<i8").tobytes(), None, None, None, None, None))
             at += len(own)
-        often = totals >= FREQUENT
-        rare = np.bincount(np.log2(totals[(totals > 0) & ~often]).astype(np.int64), totals[(totals > 0) & ~often], RARE_BITS).astype(np.int64)
+        often, some = totals >= 1 << LEAST_BITS, totals[totals > 0]
+        rare = np.bincount(np.log2(some).astype(np.int64), some, MOST_BITS).astype(np.int64)
         out.append((owner, None, totals[often].astype("<i8").tobytes(), values[often].tobytes(), int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), rare.tolist()))
         return _columns(out, schema)
 
     return run
 
 
-def _encode(out: T.StructType, bits: int, tokens: int, distinct: int, singles: int, rare: list[int], ends: int):
+def _encode(out: T.StructType, lay: Layout, bits: int, tokens: int, distinct: int, singles: int, rare: list[int], ends: int):
     """Texts of a chunk as token codes, with all that depends on counts alone; and the chunk's frequent words, by owner."""
     schema = to_arrow_schema(out)
 
@@ -108,11 +115,11 @@ def _encode(out: T.StructType, bits: int, tokens: int, distinct: int, singles: i
         values, places, offsets = _distinct(rows.column("text").combine_chunks())
         replies = replies.sort_by("owner") if replies.num_rows else replies
         total = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_py(), "<i8") for x in replies.column("counts")]])
-        often = total >= FREQUENT
+        often = total >= lay.frequent
         bucket = np.log2(np.maximum(total, 1)).astype(np.int64)
-        code = np.where(often, np.cumsum(often) - 1, RARE_CODE + SINGLE + np.minimum(bucket, RARE_BITS - 1)).astype(np.uint32)
+        code = np.where(often, np.cumsum(often) - 1, RARE_CODE + SINGLE + np.minimum(bucket, lay.bits - 1)).astype(np.uint32)
         held = np.array([1, *rare[1:]], float)
-        emit = np.log10(np.maximum(total, 1)) - np.where(often, 0.0, np.log10(np.maximum(1, held[np.minimum(bucket, RARE_BITS - 1)])))
+        emit = np.log10(np.maximum(total, 1)) - np.where(often, 0.0, np.log10(np.maximum(1, held[np.minimum(bucket, lay.bits - 1)])))
         emit = np.where(total == 1, -math.log10(2 * singles + 1), np.where(total == 0, math.log10((singles + 1) / (2 * singles + 1)), emit))
         base = np.log10(total + 1) - math.log10(tokens + distinct + 1)
         n, row = len(offsets) - 1, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -147,11 +154,11 @@ def _classes_of():
     return run
 
 
-def _tokens(rows: pa.Table, classes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(rows: pa.Table, classes: pa.Table, lay: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk's texts laid end to end, each closed by the end mark: codes, classes, and the text of each token."""
     held = classes.sort_by("owner").column("classes") if classes.num_rows else []
     by_word = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(x.as_py(), np.uint8) for x in held]])
-    end = np.array([RARE_CODE + END], np.uint32)
+    end = np.array([RARE_CODE + lay.end], np.uint32)
     parts = [p for x in rows.column("codes") for p in (np.frombuffer(x.as_py(), "<u4"), end)]
     codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     text = np.repeat(np.arange(rows.num_rows), [len(p) + 1 for p in parts[::2]])
@@ -162,19 +169,19 @@ def _tokens(rows: pa.Table, classes: pa.Table) -> tuple[np.ndarray, np.ndarray,
     return codes, klass, text
 
 
-def _before(klass: np.ndarray) -> np.ndarray:
+def _before(klass: np.ndarray, lay: Layout) -> np.ndarray:
     """The class before each token. A text starts after an end mark."""
-    return np.concatenate([[END], klass[:-1]]) if len(klass) else klass
+    return np.concatenate([[lay.end], klass[:-1]]) if len(klass) else klass
 
 
-def _pairs():
+def _pairs(lay: Layout):
     schema = _schema(SAYS)
 
     def run(rows, classes):
-        _, klass, _ = _tokens(rows, classes)
-        table = np.bincount(_before(klass) * ALL + klass, minlength=ALL * ALL)
+        _, klass, _ = _tokens(rows, classes, lay)
+        table = np.bincount(_before(klass, lay) * lay.all + klass, minlength=lay.all * lay.all)
         some = np.flatnonzero(table)
-        return pa.table([pa.array((some // ALL).astype(np.int32)), pa.array((some % ALL).astype(np.int32)), pa.array(table[some])], schema=schema)
+        return pa.table([pa.array((some // lay.all).astype(np.int32)), pa.array((some % lay.all).astype(np.int32)), pa.array(table[some])], schema=schema)
 
     return run
 
@@ -187,32 +194,32 @@ def _moves(values: np.ndarray, turn: int) -> np.ndarray:
 CONTEXT = "owner long, hashes binary, sizes binary, sides binary, counts binary"
 
 
-def _contexts(bits: int, turn: int):
-    """For each frequent word that may move: how often each class stands before it (side = class) and after it (ALL + class)."""
+def _contexts(lay: Layout, bits: int, turn: int):
+    """For each frequent word that may move: how often each class stands before it (side = class) and after it (side = all classes + class)."""
     schema = _schema(CONTEXT)
 
     def run(rows, both):
         asks, classes = both.filter(pa.compute.is_valid(both.column("hashes"))).sort_by("owner"), both.filter(pa.compute.is_valid(both.column("classes")))
         values = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), "<u8") for x in asks.column("hashes")]])
-        codes, klass, _ = _tokens(rows, classes)
+        codes, klass, _ = _tokens(rows, classes, lay)
         live = codes < RARE_CODE
         live[live] = _moves(values, turn)[codes[live]]
         at = np.flatnonzero(live)
         word = codes[at].astype(np.int64)
-        keys = np.concatenate([word * (2 * ALL) + _before(klass)[at], word * (2 * ALL) + ALL + klass[at + 1]])
+        keys = np.concatenate([word * (2 * lay.all) + _before(klass, lay)[at], word * (2 * lay.all) + lay.all + klass[at + 1]])
         keys, counts = np.unique(keys, return_counts=True)
         # One byte a count: a larger one is sent in parts, which the owner adds up.
         parts = -(-counts // 255)
         last = np.cumsum(parts) - 1
         keys, sent = np.repeat(keys, parts), np.full(int(parts.sum()), 255, np.uint8)
         sent[last] = (counts - 255 * (parts - 1)).astype(np.uint8)
-        word = keys // (2 * ALL)
+        word = keys // (2 * lay.all)
         first = np.flatnonzero(np.diff(word, prepend=-1))
         sizes, own = np.diff(np.append(first, len(word))), values[word[first]] if len(first) else values[:0]
         ends, out = np.append(first, len(word)), []
         for o, s, e in _by_owner(_owner(own, bits)):
             lo, hi = ends[s], ends[e]
-            out.append((o, own[s:e].tobytes(), sizes[s:e].astype("<u4").tobytes(), (keys[lo:hi] % (2 * ALL)).astype(np.uint8).tobytes(), sent[lo:hi].tobytes()))
+            out.append((o, own[s:e].tobytes(), sizes[s:e].astype("<u4").tobytes(), (keys[lo:hi] % (2 * lay.all)).astype(np.uint8).tobytes(), sent[lo:hi].tobytes()))
         return _columns(out, schema)
 
     return run
@@ -221,7 +228,7 @@ def _contexts(bits: int, turn: int):
 STATE = "owner long, hashes binary, counts binary, classes binary"
 
 
-def _exchange(table: np.ndarray):
+def _exchange(lay: Layout, table: np.ndarray):
     """One owner: each word that may move goes to the class of the highest gain; ties stay, then go to the lowest class."""
     schema = _schema(STATE)
     own_log = lambda x: x * np.log(np.maximum(x, 1e-12))
@@ -232,11 +239,11 @@ def _exchange(table: np.ndarray):
         cells: list[tuple[np.ndarray, np.ndarray]] = []
         for h, z, s, c in zip(*(rows.column(x) for x in ("hashes", "sizes", "sides", "counts")), strict=True):
             word = np.repeat(np.searchsorted(values, np.frombuffer(h.as_py(), "<u8")), np.frombuffer(z.as_py(), "<u4"))
-            cells.append((word.astype(np.int64) * (2 * ALL) + np.frombuffer(s.as_py(), np.uint8), np.frombuffer(c.as_py(), np.uint8).astype(np.int64)))
+            cells.append((word.astype(np.int64) * (2 * lay.all) + np.frombuffer(s.as_py(), np.uint8), np.frombuffer(c.as_py(), np.uint8).astype(np.int64)))
         if cells:
             keys, places = np.unique(np.concatenate([x[0] for x in cells]), return_inverse=True)
             n = np.bincount(places, np.concatenate([x[1] for x in cells]))
-            word = keys // (2 * ALL)
+            word = keys // (2 * lay.all)
             movers = np.unique(word)
             totals = table.sum(0).astype(float)
             # Row b of `near`: how often class b has each side, "class before it" then "class after it".
@@ -244,7 +251,7 @@ def _exchange(table: np.ndarray):
             for at in range(0, len(movers), 2048):
                 some = movers[at : at + 2048]
                 lo, hi = np.searchsorted(word, (some[0], some[-1] + 1))
-                w, side, m = np.searchsorted(some, word[lo:hi]), keys[lo:hi] % (2 * ALL), n[lo:hi].astype(float)
+                w, side, m = np.searchsorted(some, word[lo:hi]), keys[lo:hi] % (2 * lay.all), n[lo:hi].astype(float)
                 now, c = classes[some].astype(np.int64), counts[some].astype(float)
                 gain = np.empty((CLASSES, len(some)))
                 for b in range(CLASSES):
@@ -260,16 +267,16 @@ def _exchange(table: np.ndarray):
     return run
 
 
-def _score(out: T.StructType, table: np.ndarray):
+def _score(lay: Layout, out: T.StructType, table: np.ndarray):
     schema = to_arrow_schema(out)
     totals, seen = table.sum(0).astype(float), float(table.sum())
-    prior = (totals + 1) / (seen + ALL)
+    prior = (totals + 1) / (seen + lay.all)
     step = np.log10((table + SHRINK * prior[None, :]) / (table.sum(1, keepdims=True) + SHRINK))
     step[:, :CLASSES] -= np.log10(np.maximum(totals[:CLASSES], 1))[None, :]  # the class part of a frequent word's emission
 
     def run(rows, classes):
-        _, klass, text = _tokens(rows, classes)
-        gained = np.bincount(text, step[_before(klass), klass], rows.num_rows)
+        _, klass, text = _tokens(rows, classes, lay)
+        gained = np.bincount(text, step[_before(klass, lay), klass], rows.num_rows)
         cols = [rows.column(c).combine_chunks() for c in ("row", "train", "n_tokens", "n_known", "base_score")]
         return pa.table([*cols, pa.array(gained + rows.column("emit").to_numpy())], schema=schema)
 
@@ -295,16 +302,17 @@ def class_ngram_scores(
     own = answers.filter("chunk is null")
     got = own.agg(
         F.sum("tokens").alias("tokens"), F.sum("distinct_words").alias("distinct_words"), F.sum("singles").alias("singles"),
-        *[F.sum(F.col("rare")[i]).alias(f"r{i}") for i in range(RARE_BITS)],
+        *[F.sum(F.col("rare")[i]).alias(f"r{i}") for i in range(MOST_BITS)],
     ).first()
     ends = base.filter("train").count()
     tokens, distinct = (got["tokens"] or 0) + ends, (got["distinct_words"] or 0) + int(ends > 0)
-    rare = [got[f"r{i}"] or 0 for i in range(RARE_BITS)]
+    lay = Layout(tokens)
+    rare = [got[f"r{i}"] or 0 for i in range(lay.bits)]
 
     given = base.schema["row"]
     coded = T.StructType([given, *T._parse_datatype_string("chunk long, train boolean, n_tokens long, n_known long, base_score double, emit double, codes binary, owner long").fields])
     replies = answers.filter("chunk is not null").select("chunk", "owner", "counts")
-    both = base.select("row", "chunk", "train", "text").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_encode(coded, bits, tokens, distinct, got["singles"] or 0, rare, ends), coded)
+    both = base.select("row", "chunk", "train", "text").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_encode(coded, lay, bits, tokens, distinct, got["singles"] or 0, rare, ends), coded)
     path = fresh_path(spark, "brown-coded")
     name = "brown_coded_" + path.rsplit("-", 1)[-1]
     buckets = int(min(50_000, max(8, math.ceil(n_rows / 8192))))
@@ -313,15 +321,15 @@ def class_ngram_scores(
     learn = texts.filter("train").select("chunk", "codes")
 
     # Words start in the class of their hash.
-    first = _first_classes()
+    first = _first_classes(lay)
     state = stored(own.select("owner", "hashes", "counts").mapInArrow(first, STATE), "brown-classes")
 
     def classes_by_chunk(now: DataFrame) -> DataFrame:
         return stored(wanted.groupBy("owner").cogroup(now.groupBy("owner")).applyInArrow(_classes_of(), "chunk long, owner long, classes binary"), "brown-held")
 
     def pair_table(held: DataFrame) -> np.ndarray:
-        table = np.zeros((ALL, ALL))
-        for i, j, n in learn.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(_pairs(), SAYS).groupBy("i", "j").agg(F.sum("n")).collect():
+        table = np.zeros((lay.all, lay.all))
+        for i, j, n in learn.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(_pairs(lay), SAYS).groupBy("i", "j").agg(F.sum("n")).collect():
             table[i, j] = n
         return table
 
@@ -330,21 +338,25 @@ def class_ngram_scores(
         table = pair_table(held)
         asks = wanted.select("chunk", "owner", F.col("codes").alias("hashes"), F.lit(None).cast("binary").alias("classes"))
         told = held.select("chunk", "owner", F.lit(None).cast("binary").alias("hashes"), "classes")
-        seen = learn.groupBy("chunk").cogroup(asks.unionByName(told).groupBy("chunk")).applyInArrow(_contexts(bits, turn), CONTEXT)
-        state = stored(seen.groupBy("owner").cogroup(state.groupBy("owner")).applyInArrow(_exchange(table), STATE), "brown-classes")
+        seen = learn.groupBy("chunk").cogroup(asks.unionByName(told).groupBy("chunk")).applyInArrow(_contexts(lay, bits, turn), CONTEXT)
+        state = stored(seen.groupBy("owner").cogroup(state.groupBy("owner")).applyInArrow(_exchange(lay, table), STATE), "brown-classes")
     held = classes_by_chunk(state)
     table = pair_table(held)
     out = T.StructType([given, *T._parse_datatype_string("train boolean, n_tokens long, n_known long, base_score double, score double").fields])
-    scored = texts.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(_score(out, table), out)
+    scored = texts.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(_score(lay, out, table), out)
     return scored, {"tokens": tokens, "distinct_words": distinct}
 
 
-def _first_classes():
+def _first_classes(lay: Layout):
     schema = _schema(STATE)
 
     def run(batches):
         for b in batches:
-            rows = [(o, h, c, (mixed(np.frombuffer(h, "<u8")) % np.uint64(CLASSES)).astype(np.uint8).tobytes()) for o, h, c in zip(*(b.column(x).to_pylist() for x in ("owner", "hashes", "counts")), strict=True)]
+            rows = []
+            for o, h, c in zip(*(b.column(x).to_pylist() for x in ("owner", "hashes", "counts")), strict=True):
+                values, counts = np.frombuffer(h, "<u8"), np.frombuffer(c, "<i8")
+                values, counts = values[counts >= lay.frequent], counts[counts >= lay.frequent]
+                rows.append((o, values.tobytes(), counts.tobytes(), (mixed(values) % np.uint64(CLASSES)).astype(np.uint8).tobytes()))
             yield from _columns(rows, schema).to_batches()
 
     return run
