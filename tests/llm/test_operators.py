@@ -1,0 +1,288 @@
+"""Operators against brute force, on odd rows and on empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tractloom.llm import packing, semicrf
+from tractloom.llm.brown import class_ngram_scores
+from tractloom.llm.chat import format_chats
+from tractloom.llm.components import components
+from tractloom.llm.exact_dedup import exact_duplicates, golomb, ungolomb
+from tractloom.llm.mixing import mix
+from tractloom.llm.ngram_join import depth_for, near_duplicates
+from tractloom.llm.secrets import scan_secrets
+from tractloom.llm.topk import top_k
+from tractloom.llm.toxicity import fit, score, toxicity, train
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DATA = "/root/testdata/sf0.001"
+
+
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_golomb_round_trip():
+    for seed in range(30):
+        gaps = np.random.default_rng(seed).integers(0, 10 ** (seed % 9 + 1), seed * 13, dtype=np.uint64)
+        assert (ungolomb(len(gaps), *golomb(gaps)) == gaps).all()
+
+
+def test_exact_dedup(odd, none):
+    groups = defaultdict(list)
+    for r in odd.collect():
+        groups[(r.text or "").translate(LOW)].append(r.doc_id)
+    got = exact_duplicates(odd).collect()
+    assert len(got) == odd.count() and sum(r.kept for r in got) == len(groups)
+    for r in got:
+        ids = groups[(r["row"].text or "").translate(LOW)]
+        assert r.group_size == len(ids) and r.keep_id == max((i for i in ids if i is not None), default=None)
+        assert r.text_sha256 == hashlib.sha256((r["row"].text or "").translate(LOW).encode()).hexdigest()
+    assert exact_duplicates(none).count() == 0
+
+
+def shingles(text, n=5):
+    w = WORD.findall((text or "").translate(LOW))
+    n = min(n, len(w))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+
+def test_near_duplicates(odd, none):
+    rows = [(r["row"].text, r.class_id, r.n_links, r.class_size, r.kept) for r in near_duplicates(odd).collect()]
+    sets = [shingles(r[0]) for r in rows]
+    for i, (_, _, links, size, _) in enumerate(rows):
+        mine = [j for j in range(len(rows)) if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        assert links == len(mine)
+        assert size >= 1 + len(mine)
+        assert all(rows[j][1] == rows[i][1] for j in mine)
+    assert near_duplicates(none).count() == 0
+    assert depth_for(0.8, 0.999) >= 1
+
+
+def test_crowded_near_duplicates(spark):
+    """A class far larger than one block: every link counts, one document stays."""
+    r = random.Random(5)
+    body = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*body, f"only{k}"]) for k in range(700)] + [" ".join(r.choice(body) for _ in range(100)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = near_duplicates(docs).collect()
+    assert sorted(x.n_links for x in got) == [0] * 50 + [699] * 700
+    assert sum(x.kept for x in got) == 51
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101), (7, 7)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_class_ngrams(odd, none):
+    scored, totals = class_ngram_scores(odd, F.col("doc_id") % 3 != 0)
+    rows = scored.collect()
+    tokens = [(r["row"].doc_id, [*WORD.findall((r["row"].text or "").translate(LOW)), None]) for r in rows]
+    seen = Counter(w for i, t in tokens if i is not None and i % 3 for w in t)
+    n, v = sum(seen.values()), len(seen)
+    assert totals == {"tokens": n, "distinct_words": v}
+    for r, (_, t) in zip(rows, tokens, strict=True):
+        assert (r.n_tokens, r.n_known) == (len(t), sum(seen[w] > 0 for w in t))
+        assert r.base_score == pytest.approx(sum(np.log10((seen[w] + 1) / (n + v + 1)) for w in t))
+        assert r.score < 0
+    assert class_ngram_scores(none, F.lit(True))[0].count() == 0
+    assert class_ngram_scores(odd, F.lit(False))[0].count() == odd.count()
+
+
+def test_class_ngrams_beat_the_base(spark):
+    from tractloom.llm.query_lm import op4_brown_lm
+
+    held = op4_brown_lm(spark, DATA).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert held[1] > held[0]
+
+
+def test_toxicity_held_out(spark):
+    from tractloom.llm.query_toxicity import op5_toxicity
+
+    sf = "/root/testdata/sf0.01"
+    found = op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in found]) > 0.9
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_toxicity_odd(odd, none):
+    model = fit(pa.array(["you idiot", "fine day", None, "idiot idiot", "a good day"]), np.array([1, 0, 0, 1, 0]))
+    assert score(pa.array(["what an idiot"]), model)[0] > score(pa.array(["what a day"]), model)[0]
+    assert toxicity(odd, model).count() == odd.count() and toxicity(none, model).count() == 0
+    empty = train(none, none.selectExpr("doc_id", "1 as toxic"), F.lit(True))
+    assert [r.predicted for r in toxicity(odd, empty).collect()].count(None) == 0
+
+
+def check_pieces(rows, texts, path, size=2048):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(path)
+    want = Counter(tuple([*tk.encode(t or "", add_special_tokens=False).ids, 1]) for t in texts)
+    docs, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length > 0
+        docs[r.id].append((r.start, ids))
+        windows[r.sequence_id].append((r.offset, r.length))
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= size
+    flat = Counter(i for t, n in want.items() for i in t for _ in range(n))
+    assert flat == Counter(i for d in docs.values() for _, ids in d for i in ids)
+    fill = sorted(sum(x[1] for x in w) for w in windows.values())
+    assert all(f >= size - 16 for f in fill[1:])
+    return docs, want
+
+
+def test_packing(odd, none, spark):
+    path = tokenizer()
+    texts = [r.text for r in odd.collect()]
+    check_pieces(packing.pack(odd, path).collect(), texts, path)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(40)
+    got, _ = check_pieces(packing.pack(docs, path).collect(), [r.text for r in docs.collect()], path)
+    for pieces in got.values():
+        at = 0
+        for start, ids in sorted(pieces):
+            assert start == at
+            at += len(ids)
+    assert packing.pack(none, path).count() == 0
+
+
+def test_word_tokens_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path, r = tokenizer(), random.Random(3)
+    tk, tokens = Tokenizer.from_file(path), packing.WordTokens(path, limit=500)
+    texts = ["".join(r.choice("aB.,' \n\t\xa0é́İßＡ1_|<>\x1c$ſǅ") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += ["x <|endoftext|> y, <|ENDOFTEXT|>. a<|startoftext|>b it's, we'll. 'S", None, ""]
+    for at in range(0, len(texts), 500):
+        ids, offsets = tokens.encode(pa.array(texts[at : at + 500], pa.string()))
+        for i, t in enumerate(texts[at : at + 500]):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == tk.encode(t or "", add_special_tokens=False).ids
+
+
+def water(sizes, weights, total, cap):
+    target, open_ = {}, dict(zip(sizes, weights, strict=True))
+    left = total
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s, w in open_.items() if level * w > cap * sizes[s]]
+        if not full:
+            return target | {s: level * w for s, w in open_.items()}
+        for s in full:
+            target[s] = cap * sizes[s]
+            left -= target[s]
+            del open_[s]
+    return target
+
+
+@pytest.mark.parametrize("where", ["odd", "data"])
+def test_mixing(where, odd, none, spark):
+    docs = odd if where == "odd" else spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mix(docs, [3.0, 1.0, 2.0]).collect()
+    sizes = defaultdict(int)
+    for r in docs.collect():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    target = water({s: sizes[s] for s in order}, [(3.0, 1.0, 2.0)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()), 2)
+    taken = defaultdict(int)
+    for r in rows:
+        assert r.size == len(WORD.findall(r["row"].text or "")) and 0 <= r.copies <= 2
+        assert r.source_size == sizes[r["row"].source] and r.target == pytest.approx(target[r["row"].source])
+        taken[r["row"].source] += r.size * r.copies
+    assert len(rows) == docs.count()
+    if where == "data":
+        assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in order)
+    assert mix(none, [1.0]).count() == 0
+
+
+def test_top_k_odd(spark):
+    rows = [(0, [1.0, 0.5]), (50, [0.2, -0.3]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.1]), (None, [1.0, 1.0]), (7, [-3e9, 2e9]), (1, [1.0, 0.5])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, k=5).collect()
+    vec = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in [x for x in vec if x[0] % 50 == 0]:
+        want = sorted([(-sum(a * b for a, b in zip(v, u, strict=True)), i) for i, u in vec if i != q and len(u) == len(v)])[:5]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+    assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 50 == 0).count() == 0
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def test_base_spans():
+    r = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(r.choice("a.@-+ b1%") for _ in range(r.randint(0, 14)))
+        assert semicrf.emails(t) == [m.span() for m in EMAIL.finditer(t)]
+    text = "é 1.2.3.4 x 1.2.3.400 x 4485-2757-4230-8327 x 4485275742308328 x +1 (017) 555-7713 x +12"
+    assert [(semicrf.KINDS[k], text[s:e]) for k, s, e in semicrf.base_spans(text)] == [("ip", "1.2.3.4"), ("card", "4485-2757-4230-8327"), ("phone", "+1 (017) 555-7713")]
+
+
+def test_semicrf_adds_and_keeps(odd, none):
+    r = random.Random(2)
+    texts = [f"call +1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)} or {r.choice('ab')}x@m{r.randint(1, 9)}.example.com, room {r.randint(1, 999)} of {r.randint(1900, 2100)}." for _ in range(150)]
+    weights, spans = semicrf.fit(texts), semicrf.Spans()
+    assert semicrf.find("write to bx [at] m2.example.com, room 12", np.zeros(semicrf.FEATURES), spans) == ([], [])
+    for t in texts[:30]:
+        base, added = semicrf.find(t, weights, spans)
+        assert base == semicrf.base_spans(t) and not added
+    _, added = semicrf.find("call 001 (017) 555-7713 or ax @ m2.example.com, room 12 of 1999.", weights, spans)
+    assert added
+    assert semicrf.personal_data(odd, weights).count() == odd.count() and semicrf.personal_data(none, weights).count() == 0
+    assert (semicrf.train(none) < 0).all()
+
+
+def test_secrets(odd, none, spark):
+    from tractloom.llm.query_secrets import op1_secret_scan
+
+    sf = "/root/testdata/sf0.01"
+    run = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+    want = Counter((r.doc_id, c) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for c in run.findall(r.text or ""))
+    found = op1_secret_scan(spark, sf).collect()
+    assert Counter((r.doc_id, r.candidate) for r in found) == want
+    assert any(r.is_secret for r in found)
+    assert all(r.is_secret == bool(re.fullmatch("[0-9a-f]{40}", r.candidate)) for r in found)
+    label = F.lit(None).cast("int")
+    assert scan_secrets(odd, label, path_column="source").count() == 1 and scan_secrets(none, label).count() == 0
+
+
+def test_chats(spark):
+    a, b = ("user", "hi"), ("assistant", "yo")
+    rows = []
+    for conv, turns in {1: [a], 2: [a, b], 3: [a, b, a], 4: [a, a], 5: [a, b, a], 6: [b], 7: [(None, None)]}.items():
+        rows += [(conv, i, *t, "x") for i, t in enumerate(turns)]
+    rows += [rows[0], (None, 0, "user", "alone", "x"), (8, None, "user", "hi", "x")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string")
+    got = {r.conv_id: (r.n_turns, r.n_snapshots) for r in format_chats(chats, block=2).collect()}
+    assert got == {3: (3, 4), 4: (2, 2), 6: (1, 0), 7: (1, 0), None: (1, 0)}
+    long = spark.createDataFrame([(1, i, "user", f"t{i}", "") for i in range(50)] + [(2, i, "user", f"t{i}", "") for i in range(20)], chats.schema)
+    parts = sorted(format_chats(long, turns_in_piece=8, block=4).collect(), key=lambda r: r.piece)
+    assert len(parts) == 7 and {r.n_snapshots for r in parts} == {1}
+    assert "".join(r.text for r in parts) == "".join(f"<|user|>\nt{i}\n<|end|>\n" for i in range(50))
+    assert format_chats(chats.limit(0)).count() == 0
+
+
+def test_folds_and_pipeline(spark):
+    import corpus_pipeline
+    from tractloom.llm.common import in_fold
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert all(r.f == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in docs.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("f")).collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, DATA)
+        assert docs.columns == before.columns, name
+    assert corpus_pipeline.run(spark, DATA).count() > 0
