@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 12
 FEATURES = 1 << 14
 #: How far the best entity reading must beat the reading without it before a span is added.
-MARGIN = 2.0
+MARGIN = 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
