@@ -25,12 +25,13 @@ MERGED = 16
 
 
 class WordTokens:
-    """Token ids of texts, each distinct blank-separated chunk encoded once per Python worker.
+    """Token ids of texts, each distinct blank-separated chunk encoded once per task.
 
-    The tokenizer must drop white space and never join across it. Beyond `limit` chunks the memory starts anew.
+    The tokenizer must drop white space and never join across it. The first `limit` chunks are kept, which
+    the frequent ones are among; later ones are forgotten after their batch.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -79,12 +80,11 @@ class WordTokens:
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.known) > self.limit:
-            self.reset()
         # A word and one full stop or comma after it are two pieces to the tokenizer.
         split = [n[-1:] in (".", ",") and n[:-1].isalpha() and n[:-1].lower().isalpha() for n in names]
         stems = [n[:-1] if cut else n for n, cut in zip(names, split, strict=True)]
         new = list(dict.fromkeys(x for x in (*stems, ".", ",") if x not in self.known))
+        used = self.used
         if new:
             self._learn(new)
         stem = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(names))
@@ -94,13 +94,14 @@ class WordTokens:
         sizes = np.where(both >= 0, self.length[both], 0)
         both = np.where(both >= 0, both, 0)
         ids = self.ids[ranges(self.at[both], sizes)]
+        if len(self.known) > self.limit:
+            for x in new:
+                del self.known[x]
+            self.used = used
         offsets = 2 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
         return ids, np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
 
-_TOKENS: dict[str, WordTokens] = {}
-
-
 class Packer:
     """Pieces are (id, start, doc_tokens, ids); a window is a list of pieces. Finished windows gather in `done`."""
 
@@ -205,9 +206,7 @@ def pack(
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer not in _TOKENS:
-            _TOKENS[tokenizer] = WordTokens(tokenizer)
-        tokens, packer, part, sequence = _TOKENS[tokenizer], Packer(size, windows, cut_gap), TaskContext.get().partitionId(), 0
+        tokens, packer, part, sequence = WordTokens(tokenizer), Packer(size, windows, cut_gap), TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -218,6 +217,7 @@ def pack(
                 batch, sequence = _rows(packer, schema, 0, part, sequence, False)
                 yield batch
         yield _rows(packer, schema, 0, part, sequence, True)[0]
+        pa.default_memory_pool().release_unused()
 
     def merge(turn: int, last: bool):
         def run(key, states):
