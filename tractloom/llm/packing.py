@@ -31,7 +31,7 @@ class WordTokens:
     the frequent ones are among; later ones are forgotten after their batch.
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
