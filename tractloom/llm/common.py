@@ -65,6 +65,25 @@ def aligned(df: DataFrame, name: str, rows_in_bucket: int = 8192) -> tuple[DataF
     return spark.table(token), rows
 
 
+def row_and_text(df: DataFrame, carry: list[str] | None, text_column: str) -> tuple[list[Column], Column]:
+    """Columns to write (`row`, and `text` only if the row lacks it) and the text read from them: each text is written once."""
+    row = packed(df, carry).alias("row")
+    if carry is None or text_column in carry:
+        return [row], F.col("row").getField(text_column)
+    return [row, quoted(text_column).alias("text")], F.col("text")
+
+
+def with_found(base: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """An aligned table with `found`, a struct of the columns that `found` (chunk, rid, ...) holds for each of its rows.
+
+    Only `found` moves, one array of at most 2048 entries per chunk; the rid's low bits are the place in it. It must hold
+    every row of the base exactly once.
+    """
+    by_chunk = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("rid", *columns))).alias("entries"))
+    place = F.col("rid").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int")
+    return base.join(by_chunk, "chunk").withColumn("found", F.col("entries")[place]).drop("entries")
+
+
 @contextmanager
 def joins_by_part_of_key(spark: SparkSession):
     """Within: a join on (chunk, ...) may rely on a table that is laid out by chunk alone."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import aligned, joins_by_part_of_key, lower_ascii, packed, quoted
+from .common import aligned, joins_by_part_of_key, lower_ascii, quoted, row_and_text, with_found
 
 SPARE_BITS = 12
 
@@ -122,11 +122,10 @@ def exact_duplicates(
     text_sha256 (of the normalised text). Ids are integers. A null text counts as empty, and empty texts equal each other. A
     null id ranks below every other. Of rows with equal text and equal id exactly one is kept. An empty table gives no rows.
     """
-    text = lower_ascii(quoted(text_column))
+    columns, text = row_and_text(docs, carry, text_column)
+    norm = lower_ascii(quoted(text_column))
     base, rows = aligned(
-        docs.select(packed(docs, carry).alias("row"), quoted(id_column).alias("id"), quoted(text_column).alias("text"))
-        .withColumn("fp", F.xxhash64(lower_ascii(F.col("text")))).withColumn("sha", F.sha2(lower_ascii(F.col("text")), 256)),
-        "dedup",
+        docs.select(*columns, quoted(id_column).alias("id"), F.xxhash64(norm).alias("fp"), F.sha2(norm, 256).alias("sha")), "dedup"
     )
     spark = docs.sparkSession
     bits = min(62, math.ceil(math.log2(max(2, rows))) + SPARE_BITS)
@@ -140,21 +139,19 @@ def exact_duplicates(
         "dedup-suspects",
     )
     with joins_by_part_of_key(spark):
-        flagged = stored(
-            base.join(suspects.withColumn("suspect", F.lit(True)), ["chunk", "fp"], "left")
-            .select("row", "id", "rid", "fp", "sha", F.coalesce("suspect", F.lit(False)).alias("suspect"), F.when(F.col("suspect"), F.col("text")).alias("text")),
-            "dedup-flagged",
-        )
-    suspect = flagged.filter("suspect")
-    text = lower_ascii(F.col("text"))
+        suspect = stored(base.join(suspects, ["chunk", "fp"]).select("chunk", "rid", "id", "fp", "sha", text.alias("text")), "dedup-texts")
     groups = (
-        suspect.groupBy("fp", text.alias("norm")).agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size"))
+        suspect.groupBy("fp", lower_ascii(F.col("text")).alias("norm")).agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size"))
         .select(F.sha2("norm", 256).alias("sha"), "keep", "group_size")
     )
-    grouped = suspect.drop("text", "fp").join(groups, "sha").select(
-        "row", F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
-    alone = flagged.filter("not suspect").select(
-        "row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
-    )
-    return alone.unionByName(grouped)
+    grouped = suspect.select("chunk", "rid", "sha").join(groups, "sha").select("chunk", "rid", "keep", "group_size")
+    with joins_by_part_of_key(spark):
+        found = stored(
+            base.select("chunk", "rid", "id").join(grouped, ["chunk", "rid"], "left").select(
+                "chunk", "rid", F.when(F.col("keep").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
+                F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("keep.rid") == F.col("rid"), F.lit(True)).alias("kept"),
+            ),
+            "dedup-found",
+        )
+    named = with_found(base.select("chunk", "rid", "row", "sha"), found, ["keep_id", "group_size", "kept"])
+    return named.select("row", "found.keep_id", "found.group_size", "found.kept", F.col("sha").alias("text_sha256"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WORD, aligned, joins_by_part_of_key, packed, quoted
+from .common import WORD, aligned, packed, quoted, with_found
 
 TOLERANCE, MAX_STEPS = 1e-9, 100
 
@@ -137,5 +137,5 @@ def mix(
         .withColumn("place", F.row_number().over(in_cell))
         .select("chunk", "rid", "source_size", "target", "rate", (F.col("whole") + (F.col("place") <= F.col("extra")).cast("int")).cast("int").alias("copies"))
     )
-    with joins_by_part_of_key(spark):
-        return stored(base.join(taken, ["chunk", "rid"]).select("row", "size", "source_size", "target", "rate", "copies"), "mixing-taken")
+    named = with_found(base.select("chunk", "rid", "row", "size"), stored(taken, "mixing-taken"), ["source_size", "target", "rate", "copies"])
+    return named.select("row", "size", "found.source_size", "found.target", "found.rate", "found.copies")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import aligned, hashes, joins_by_part_of_key, mixed, packed, quoted, words
+from .common import aligned, hashes, joins_by_part_of_key, mixed, quoted, row_and_text, with_found, words
 from .components import components
 
 TREES, DEPTH = 24, 8
@@ -194,8 +194,9 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     depth = depth_for(threshold, target_recall)
-    base, _ = aligned(docs.select(packed(docs, carry).alias("row"), quoted(id_column).alias("id"), quoted(text_column).alias("text")), "near")
-    sketches = stored(base.select("rid", "chunk", "text").mapInArrow(_sketches(n), SKETCH), "near-sketches")
+    columns, text = row_and_text(docs, carry, text_column)
+    base, _ = aligned(docs.select(*columns, quoted(id_column).alias("id")), "near")
+    sketches = stored(base.select("rid", "chunk", text.alias("text")).mapInArrow(_sketches(n), SKETCH), "near-sketches")
     keyed = sketches.filter("grams > 0")
     sets = stored(keyed.groupBy("low", "high", "grams").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "near-sets")
     prefix = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})")
@@ -208,7 +209,7 @@ def near_duplicates(
     areas = stored(components(meets, "near-areas").select(F.col("node").alias("rep"), F.col("label").alias("area")), "near-areas")
     chosen = stored(areas.join(sets.select("rep", "copies"), "rep").join(sketches.select(F.col("rid").alias("rep"), "chunk"), "rep"), "near-chosen")
     with joins_by_part_of_key(spark):
-        texts = base.select("chunk", F.col("rid").alias("rep"), "text").join(chosen, ["chunk", "rep"])
+        texts = base.select("chunk", F.col("rid").alias("rep"), text.alias("text")).join(chosen, ["chunk", "rep"])
         grams = stored(texts.select("rep", "area", "copies", "text").mapInArrow(_sets(n), "rep long, area long, copies long, grams binary"), "near-grams")
     crowd = chosen.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = grams.join(crowd, "area").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -227,6 +228,12 @@ def near_duplicates(
         "near-members",
     )
     with joins_by_part_of_key(spark):
-        named = stored(base.join(member, ["chunk", "rid"], "left").select("row", "id", "rid", F.coalesce("label", "rid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-named")
+        named = stored(
+            base.select("chunk", "rid", "id").join(member, ["chunk", "rid"], "left")
+            .select("chunk", "rid", "id", F.coalesce("label", "rid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+            "near-named",
+        )
     heads = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(heads, "label").select("row", "class_id", "n_links", "class_size", (F.col("rid") == F.col("label")).alias("kept"))
+    found = named.join(heads, "label").withColumn("kept", F.col("rid") == F.col("label"))
+    rows = with_found(base.select("chunk", "rid", "row"), found, ["class_id", "n_links", "class_size", "kept"])
+    return rows.select("row", "found.class_id", "found.n_links", "found.class_size", "found.kept")
