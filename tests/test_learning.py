@@ -63,3 +63,12 @@ def test_spatial_splits_cover_every_row_once(spark):
     for rows in L.spatial_splits(df, "st", ["id"], folds=5).values():
         assert rows.where("role = 'test'").count() == 200
         assert rows.where("role = 'test'").select("id").distinct().count() == 200
+
+
+def test_slow_rate_keeps_its_rounds(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 2))
+    y = (x[:, 0] + x[:, 1] + rng.normal(scale=0.5, size=1500) > 0).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "id long, a double, b double, y int")
+    model = L.fit_trees(df.where("id < 1000"), df.where("id >= 1000"), ["a", "b"], "y", L.Settings(rounds=12, depth=2, feature_share="all"))
+    assert len(model.stages[-1].trees) >= 10

@@ -98,6 +98,17 @@ def test_ragged_roster(spark, tmp_path):
     assert got == {("12", "First"), ("34", "Second")}
 
 
+def test_sheet_cells_with_commas_and_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('1,"First Bank, N.A.",City\n2,"The ""Old"" Bank", Town\n')
+    got = [r["cells"] for r in roster.read_sheet_csv(spark, f"{tmp_path}/q.csv").orderBy("line").collect()]
+    assert got[:2] == [["1", "First Bank, N.A.", "City"], ["2", 'The "Old" Bank', "Town"]]
+
+
+def test_headers_with_a_pipe(spark, tmp_path):
+    (tmp_path / "zip_2020.txt").write_text("GEOID|NAME\n1|2\n")
+    assert drift.headers(spark, f"{tmp_path}/zip_2020.txt", sep="|").first()["columns"] == ["geoid", "name"]
+
+
 def test_schema_drift(spark, tmp_path):
     (tmp_path / "sod_2019.csv").write_text("A,B,Old\n1,2,3\n1,2,3\n")
     (tmp_path / "sod_2020.csv").write_text("A,B,New\n1,2,3\n")

@@ -61,7 +61,7 @@ def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str, settings: Settings) -> PipelineModel:
-    """Median imputation (learned on the training rows), missing flags, boosted trees stopped early on ``val``."""
+    """Median imputation (learned on the training rows), missing flags, boosted trees stopped where the loss on ``val`` no longer falls."""
     rows = train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)))
     rows = with_inputs(rows, features).withColumn("__y", F.col(label).cast("double")).select(
         *[f"in_{c}" for c in features], *[f"na_{c}" for c in features], "__y", "__val"
@@ -71,7 +71,7 @@ def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str,
         prepared = imputer.fit(rows.where(~F.col("__val")))
         assembler = VectorAssembler(inputCols=[f"im_{c}" for c in features] + [f"na_{c}" for c in features], outputCol="__x")
         trees = GBTClassifier(
-            labelCol="__y", featuresCol="__x", validationIndicatorCol="__val", maxIter=settings.rounds, maxDepth=settings.depth,
+            labelCol="__y", featuresCol="__x", validationIndicatorCol="__val", validationTol=0.0, maxIter=settings.rounds, maxDepth=settings.depth,
             stepSize=settings.rate, subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share,
             minInstancesPerNode=settings.min_rows, seed=settings.seed, cacheNodeIds=False,
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def summarize_headers(lines: DataFrame, sep: str = ",") -> DataFrame:
     per = lines.groupBy("file").agg(F.min_by("value", "first").alias("header"), (F.count(F.lit(1)) - 1).alias("n_rows"))
     year = F.regexp_extract("file", r"([0-9]{4})(?!.*[0-9]{4})", 1).try_cast("int")
     source = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"[0-9]{4}|\.[^.]*$", "")
-    columns = F.transform(F.split("header", sep), lambda c: F.lower(F.trim(F.regexp_replace(c, '^﻿|"', ""))))
+    columns = F.transform(F.split("header", re.escape(sep)), lambda c: F.lower(F.trim(F.regexp_replace(c, '^﻿|"', ""))))
     return per.select(F.rtrim(F.regexp_replace(source, "[_-]+$", "")).alias("source"), year.alias("year"), columns.alias("columns"), "n_rows")
 
 

@@ -58,11 +58,15 @@ def ragged_sheet(rows: DataFrame, sheet: list[str], line: str, cells: str, marke
     )
 
 
+#: A comma with an even number of quotes after it on its line.
+OUTSIDE_QUOTES = ',(?=[^"]*+(?:"[^"]*+"[^"]*+)*+$)'
+
+
 def read_sheet_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """CSV exports of sheets as (file, line, cells). One file is one sheet of a few thousand rows."""
     text = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    cells = F.transform(F.split("text", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    cells = F.transform(F.split("text", OUTSIDE_QUOTES), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
     return lines.select("file", "line", cells.alias("cells"))
 
 
