@@ -13,8 +13,9 @@ from .registry import query, rounded
 
 FEATURES = ["n_loans", "amount_k", "n_small", "is_rural", "population"]
 LABEL = "becomes_low"
-FOLDS = E.shifted(E.build_folds(6)[:2], 1995 - 2009)
-# small boosting runs: these queries show the operator, ``learning.Settings`` holds the full ones
+FOLDS = E.shifted(E.build_folds(6), 1995 - 2009)  # folds that the years cannot fill are skipped
+FULL = L.Settings()
+# few rounds, for the studies that refit dozens of models
 QUICK = L.Settings(rounds=4, depth=3, rate=0.3)
 KEYS = ["tract_fips", "year"]
 
@@ -44,92 +45,93 @@ def _(d: Domain):
 
 @query("m03_boosted_walk_forward")
 def _(d: Domain):
-    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, QUICK)
+    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, FULL)
     return rounded(L.study_metrics({"full": study}))
 
 
 @query("m04_calibrated_walk_forward")
 def _(d: Domain):
-    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, QUICK)
+    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, FULL)
     return rounded(L.study_metrics({"full": study}, "y_prob_calibrated"))
 
 
 @query("m10_group_ablation")
 def _(d: Domain):
-    return rounded(L.ablate(study_panel(d), FEATURES, {"volume": ["n_loans", "n_small"], "place": ["is_rural", "population"]}, LABEL, FOLDS[:1], QUICK))
+    return rounded(L.ablate(study_panel(d), FEATURES, {"volume": ["n_loans", "n_small"], "place": ["is_rural", "population"]}, LABEL, FOLDS, QUICK))
 
 
 @query("m11_family_ablation")
 def _(d: Domain):
     families = {"place_rural": ["is_rural"], "acs_demographics": ["population"]}
-    return rounded(L.ablate(study_panel(d), FEATURES, families, LABEL, FOLDS[:1], QUICK, "y_prob_calibrated"))
+    return rounded(L.ablate(study_panel(d), FEATURES, families, LABEL, FOLDS, QUICK, "y_prob_calibrated"))
 
 
 @query("m12_pruning_sweep")
 def _(d: Domain):
-    return rounded(L.prune(study_panel(d), FEATURES, [1, 3], LABEL, FOLDS[:1], QUICK))
+    return rounded(L.prune(study_panel(d), FEATURES, [1, 2, 3, 4], LABEL, FOLDS, QUICK))
 
 
 @query("m13_regime_split")
 def _(d: Domain):
     regimes = [("pre", 1995, 1996, 1997, 1997, 1998), ("post", 1997, 1998, 1999, 1999, 2000)]
-    return rounded(L.study_metrics({"regimes": L.walk_forward(study_panel(d), FEATURES, LABEL, regimes, QUICK)}))
+    return rounded(L.study_metrics({"regimes": L.walk_forward(study_panel(d), FEATURES, LABEL, regimes, FULL)}))
 
 
 @query("m14_fold_importance")
 def _(d: Domain):
-    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, QUICK)
+    study = L.walk_forward(study_panel(d), FEATURES, LABEL, FOLDS, FULL)
     return rounded(serving.normalized_gain(study.importance))
 
 
 @query("m15_permutation_importance")
 def _(d: Domain):
     panel = study_panel(d)
-    study = L.walk_forward(panel, FEATURES, LABEL, FOLDS[:1], QUICK)
-    test = panel.where(F.col("year").between(1998, 1999))
-    return rounded(L.permutation_importance(study.models["F1"], test, FEATURES, LABEL, KEYS, repeats=2))
+    study = L.walk_forward(panel, FEATURES, LABEL, FOLDS, FULL)
+    last = max(study.models)
+    validation = E.assign_folds(panel, [f for f in FOLDS if f[0] == last]).where("role = 'val'")
+    return rounded(L.permutation_importance(study.models[last], validation, FEATURES, LABEL, KEYS))
 
 
 @query("m16_bolt_on")
 def _(d: Domain):
     panel = study_panel(d)
-    runs = {"base": L.walk_forward(panel, ["is_rural", "population"], LABEL, FOLDS[:1], QUICK),
-            "bolt_on": L.walk_forward(panel, FEATURES, LABEL, FOLDS[:1], QUICK)}
+    runs = {"base": L.walk_forward(panel, ["is_rural", "population"], LABEL, FOLDS, FULL),
+            "bolt_on": L.walk_forward(panel, FEATURES, LABEL, FOLDS, FULL)}
     return rounded(L.study_metrics(runs))
 
 
 @query("m18_spatial_robustness")
 def _(d: Domain):
     panel = study_panel(d)
-    splits = L.spatial_splits(panel.where(F.col(LABEL).isNotNull()), "state_fips", KEYS, folds=2)
+    splits = L.spatial_splits(panel.where(F.col(LABEL).isNotNull()), "state_fips", KEYS)
     runs = {name: L.walk_forward(panel, FEATURES, LABEL, [], QUICK, splits=rows) for name, rows in splits.items()}
     return rounded(L.study_metrics(runs))
 
 
 @query("m19_tuning")
 def _(d: Domain):
-    return rounded(L.tune(study_panel(d), FEATURES, LABEL, FOLDS[0], trials=3, base=QUICK))
+    return rounded(L.tune(study_panel(d), FEATURES, LABEL, FOLDS[0], base=QUICK))
 
 
 @query("m20_partial_dependence")
 def _(d: Domain):
     panel = study_panel(d)
-    model, _ = L.final_model(panel, FEATURES, LABEL, 2001, 1, QUICK)
-    return rounded(L.partial_dependence(model, panel, FEATURES, {"n_loans": "down", "n_small": "down"}, KEYS), 9)
+    model, _ = L.final_model(panel, FEATURES, LABEL, 2001, 1, FULL)
+    return rounded(L.partial_dependence(model, panel, FEATURES, dict.fromkeys(FEATURES, "down")), 9)
 
 
 @query("m21_final_model_scores")
 def _(d: Domain):
     panel = study_panel(d)
-    model, iso = L.final_model(panel, FEATURES, LABEL, 2001, 1, QUICK)
+    model, iso = L.final_model(panel, FEATURES, LABEL, 2001, 1, FULL)
     return rounded(L.calibrated(iso, L.predict(model, panel.where("year = 2000"), FEATURES)).select(*KEYS, "y_prob", "y_prob_calibrated"))
 
 
 @query("m23_score_latest_year")
 def _(d: Domain):
     panel = study_panel(d)
-    study = L.walk_forward(panel, FEATURES, LABEL, FOLDS[-1:], QUICK)
-    fold = FOLDS[-1][0]
+    study = L.walk_forward(panel, FEATURES, LABEL, FOLDS, FULL)
+    fold = max(study.models)
     latest = panel.where("year = 2001")
     return rounded(L.calibrated(study.calibrations[fold], L.predict(study.models[fold], latest, FEATURES)).select(*KEYS, "y_prob", "y_prob_calibrated"))
 
@@ -146,6 +148,6 @@ def _(d: Domain):
 @query("m22_tree_attribution")
 def _(d: Domain):
     panel = study_panel(d)
-    model, _ = L.final_model(panel, FEATURES, LABEL, 2001, 1, QUICK)
+    model, _ = L.final_model(panel, FEATURES, LABEL, 2001, 1, FULL)
     long = L.tree_attributions(model, panel.where("year = 2001"), FEATURES, KEYS)
     return rounded(serving.top_attributions(long.withColumn("attribution", F.round("attribution", 9)), KEYS, 3))

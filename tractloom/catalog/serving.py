@@ -26,6 +26,11 @@ def _long(d: Domain):
     return serving.to_long(d.features().withColumn("w", F.col("population")), ["tract_fips", "county_fips", "state_fips", "w"], NUMERIC)
 
 
+def _scoped(long):
+    """Each value in the national scope and in that of its state."""
+    return long.withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col("state_fips").cast("string"))))
+
+
 # ---------------------------------------------------------------- scalar functions
 
 
@@ -64,15 +69,13 @@ def _(d: Domain):
 
 
 @query("f06_feature_percentile", f"""WITH {CATALOG}
-    SELECT l.tract_fips, l.feature, CASE WHEN value <= cuts[1] THEN 1 WHEN value >= cuts[99] THEN 99
+    SELECT l.tract_fips, l.scope, l.feature, CASE WHEN value <= cuts[1] THEN 1 WHEN value >= cuts[99] THEN 99
       ELSE round(k + (value - cuts[k]) / (cuts[k + 1] - cuts[k]), 5) END::DOUBLE AS percentile
-    FROM (SELECT l.*, cuts, len(list_filter(cuts, lambda q: q <= value)) AS k FROM long l JOIN cat ON cat.feature = l.feature AND cat.scope = 'ALL'
-          WHERE l.feature IN ('n_loans', 'n_small', 'n_lenders', 'population')) l""")
+    FROM (SELECT l.*, cuts, len(list_filter(cuts, lambda q: q <= value)) AS k FROM scoped l JOIN cat ON cat.feature = l.feature AND cat.scope = l.scope) l""")
 def _(d: Domain):
     long = stored(_long(d), "long")
-    cat = serving.percentile_catalog(long, "state_fips").where("scope = 'ALL'").select("feature", "cutpoints")
-    some = long.where(F.col("feature").isin("n_loans", "n_small", "n_lenders", "population"))
-    return rounded(some.join(cat, "feature").select("tract_fips", "feature", R.cutpoint_percentile("value", "cutpoints").alias("percentile")), 5)
+    cat = serving.percentile_catalog(long, "state_fips").select("scope", "feature", "cutpoints")
+    return rounded(_scoped(long).join(cat, ["scope", "feature"]).select("tract_fips", "scope", "feature", R.cutpoint_percentile("value", "cutpoints").alias("percentile")), 5)
 
 
 SHARES = SCOPED + """, kinds AS (SELECT feature, count(DISTINCT value) AS n_values, CAST(count(DISTINCT value) <= 12 AND bool_and(abs(value - round(value)) <= 1e-8) AS INTEGER) AS is_categorical FROM long GROUP BY 1),
@@ -90,16 +93,16 @@ def _(d: Domain):
     return rounded(serving.category_shares(stored(_long(d), "long"), "state_fips"), 9)
 
 
-@query("f07_category_position", f"""WITH {SHARES}, r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM shares WHERE scope = 'ALL' GROUP BY 1)
-    SELECT l.tract_fips, l.feature, round(CASE WHEN hi = lo THEN 50 ELSE (value - lo) / (hi - lo) * 100 END, 6)::DOUBLE AS position,
-      round((SELECT sum(s.share) FROM shares s WHERE s.scope = 'ALL' AND s.feature = l.feature AND s.value <= l.value) * 100, 6) AS percentile
-    FROM long l JOIN r ON r.feature = l.feature""")
+@query("f07_category_position", f"""WITH {SHARES}, r AS (SELECT scope, feature, min(value) AS lo, max(value) AS hi FROM shares GROUP BY ALL)
+    SELECT l.tract_fips, l.scope, l.feature, round(CASE WHEN hi = lo THEN 50 ELSE (value - lo) / (hi - lo) * 100 END, 6)::DOUBLE AS position,
+      round((SELECT sum(s.share) FROM shares s WHERE s.scope = l.scope AND s.feature = l.feature AND s.value <= l.value) * 100, 6) AS percentile
+    FROM scoped l JOIN r ON r.feature = l.feature AND r.scope = l.scope""")
 def _(d: Domain):
     long = stored(_long(d), "long")
-    cats = serving.category_shares(long, "state_fips").where("scope = 'ALL'").groupBy("feature").agg(
+    cats = serving.category_shares(long, "state_fips").groupBy("scope", "feature").agg(
         F.sort_array(F.collect_list(F.struct("value", "share"))).alias("categories"))
-    joined = long.join(cats, "feature")
-    return rounded(joined.select("tract_fips", "feature", R.category_position("value", "categories").alias("position"),
+    joined = _scoped(long).join(cats, ["scope", "feature"])
+    return rounded(joined.select("tract_fips", "scope", "feature", R.category_position("value", "categories").alias("position"),
                                  R.category_percentile("value", "categories").alias("percentile")))
 
 
@@ -281,13 +284,13 @@ def _(d: Domain):
 
 
 @query("u02_set_algebra", """
-    WITH a AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), b AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49)
+    WITH a AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A')
     SELECT 'both' AS part, id FROM (SELECT id FROM a INTERSECT SELECT id FROM b) UNION ALL SELECT 'first', id FROM (SELECT id FROM a EXCEPT SELECT id FROM b)
     UNION ALL SELECT 'second', id FROM (SELECT id FROM b EXCEPT SELECT id FROM a)""")
 def _(d: Domain):
-    items = d.table("lineitem").where("l_quantity > 49")
-    a = items.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id"))
-    b = items.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("id"))
+    items = d.table("lineitem")
+    a = items.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    b = items.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"))
     parts = {"both": a.intersect(b), "first": a.subtract(b), "second": b.subtract(a)}
     out = [df.select(F.lit(name).alias("part"), "id") for name, df in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -382,22 +385,22 @@ def _(d: Domain):
 
 
 @query("v08_driver_rows", f"""WITH {CATALOG}, {DRIVEN},
-    t AS (SELECT *, row_number() OVER (PARTITION BY tract_fips, model ORDER BY abs(attribution) DESC, feature) AS rn FROM driven WHERE feature = 'population'),
-    j AS (SELECT t.tract_fips, t.model, t.feature, {POINTS} AS points, l.value, cuts, len(list_filter(cuts, lambda q: q <= l.value)) AS k FROM t
-      JOIN long l ON l.tract_fips = t.tract_fips AND l.feature = t.feature JOIN cat ON cat.feature = t.feature AND cat.scope = 'ALL'),
+    t AS (SELECT *, row_number() OVER (PARTITION BY tract_fips, model ORDER BY abs(attribution) DESC, feature) AS rn FROM driven),
+    j AS (SELECT t.tract_fips, t.model, l.scope, t.feature, {POINTS} AS points, l.value, cuts, len(list_filter(cuts, lambda q: q <= l.value)) AS k FROM t
+      JOIN scoped l ON l.tract_fips = t.tract_fips AND l.feature = t.feature JOIN cat ON cat.feature = t.feature AND cat.scope = l.scope WHERE rn <= 8),
     q AS (SELECT *, CASE WHEN value <= cuts[1] THEN 1 WHEN value >= cuts[99] THEN 99 ELSE k + (value - cuts[k]) / (cuts[k + 1] - cuts[k]) END::DOUBLE AS pct FROM j)
-    SELECT tract_fips, model, feature, round(points, 5) + 0.0 AS points, value, round(pct, 4) AS percentile, CASE WHEN pct < 50 THEN 'bad' WHEN pct > 50 THEN 'good' ELSE 'neutral' END AS colour FROM q""")
+    SELECT tract_fips, model, scope, feature, round(points, 5) + 0.0 AS points, value, round(pct, 4) AS percentile, CASE WHEN pct < 50 THEN 'bad' WHEN pct > 50 THEN 'good' ELSE 'neutral' END AS colour FROM q""")
 def _(d: Domain):
     long = stored(_long(d), "long")
-    cat = serving.percentile_catalog(long, "state_fips").where("scope = 'ALL'").select("feature", "cutpoints")
-    top = top_k_rows(d.drivers().withColumn("size", F.abs("attribution")), ["tract_fips", "model", "feature"], "size", "feature", 1)
+    cat = serving.percentile_catalog(long, "state_fips").select("scope", "feature", "cutpoints")
+    top = top_k_rows(d.drivers().withColumn("size", F.abs("attribution")), ["tract_fips", "model"], "size", "feature", 8)
     rows = (
         top.join(d.risks().select("tract_fips", "model", "risk"), ["tract_fips", "model"])
-        .join(long.select("tract_fips", "feature", "value"), ["tract_fips", "feature"]).join(cat, "feature")
+        .join(_scoped(long).select("tract_fips", "scope", "feature", "value"), ["tract_fips", "feature"]).join(cat, ["scope", "feature"])
         .withColumn("percentile", R.cutpoint_percentile("value", "cutpoints"))
         .withColumn("points", R.attribution_points("risk", "attribution"))
     )
-    return rounded(rows.select("tract_fips", "model", "feature", "points", "value", "percentile",
+    return rounded(rows.select("tract_fips", "model", "scope", "feature", "points", "value", "percentile",
                                R.direction_class(R.direction_of("feature"), "percentile").alias("colour")), 4, points=5)
 
 

@@ -26,7 +26,6 @@ from ..session import fresh_path, stored
 from .evaluation import Fold, assign_folds, scores
 from .feature_lists import leaks_label, numeric_columns
 from .orderstats import quantile_columns
-from .serving import seeded_sample
 
 
 @dataclass(frozen=True)
@@ -186,23 +185,31 @@ def prune(
 
 
 def permutation_importance(
-    model: PipelineModel, test: DataFrame, features: list[str], label: str, key: list[str], repeats: int = 3,
-    sample_rows: int = 20000, seed: int = 42,
+    model: PipelineModel, rows: DataFrame, features: list[str], label: str, key: list[str], repeats: int = 3, seed: int = 42,
+    rows_in_bucket: int = 10000,
 ) -> DataFrame:
-    """Drop in average precision when one feature is shuffled within a fixed-size sample.
+    """Drop in average precision when one feature's values are permuted over all labelled rows.
 
-    The sample is the operator's own bound (at most ``sample_rows`` rows), so positions within it may be numbered in
-    one task. All shuffles are scored together.
+    Per repeat the rows fall into hash buckets, whose number follows the rows, and each row takes the value of the next
+    row of its bucket in hash order, the last one that of the first: a permutation of the whole column without numbering
+    rows in one task. All variants are scored together. ``key`` must be unique for the buckets to stay small.
     """
-    sample = seeded_sample(test.where(F.col(label).isNotNull()), key, sample_rows, seed)
-    numbered = stored(sample.withColumn("__n", F.row_number().over(Window.orderBy(*key))), "sample")
-    variants = [numbered.withColumns({"feature": F.lit("none"), "repeat": F.lit(0)})]
-    for f in features:
-        for r in range(repeats):
-            order = Window.orderBy(F.xxhash64(*key, F.lit(f), F.lit(seed + r)))
-            other = numbered.select(F.row_number().over(order).alias("__n"), F.col(f).alias("__v"))
-            mixed = numbered.join(other, "__n").withColumn(f, F.col("__v")).drop("__v")
-            variants.append(mixed.withColumns({"feature": F.lit(f), "repeat": F.lit(r)}))
+    labelled = stored(rows.where(F.col(label).isNotNull()).select(*key, label, *[f for f in features if f not in key]), "labelled")
+    buckets = max(1, math.ceil(labelled.count() / rows_in_bucket))
+    given = F.struct(*features)
+    variants = [labelled.select(F.lit("none").alias("feature"), F.lit(0).alias("repeat"), label, *features)]
+    for r in range(repeats):
+        at = labelled.withColumns({"__h": F.xxhash64(*key, F.lit(seed + r))}).withColumn("__b", F.pmod("__h", F.lit(buckets)))
+        bucket = Window.partitionBy("__b").orderBy("__h", *key)
+        partner = F.coalesce(F.lead(given).over(bucket), F.first(given).over(bucket))
+        paired = at.select(F.col(label).alias("__label"), given.alias("__own"), partner.alias("__other"))
+        moved = F.explode(F.array(*[
+            F.struct(F.lit(f).alias("feature"), *[F.col(f"{'__other' if g == f else '__own'}.{g}").alias(g) for g in features]) for f in features
+        ]))
+        variants.append(
+            paired.select("__label", moved.alias("__v"))
+            .select("__v.feature", F.lit(r).alias("repeat"), F.col("__label").alias(label), *[f"__v.{g}" for g in features])
+        )
     stacked = reduce(DataFrame.unionByName, variants)
     per = stored(scores(predict(model, stacked, features), ["feature", "repeat"], label), "permutation")
     base = per.where("feature = 'none'").agg(F.first("ap")).scalar()
@@ -252,21 +259,20 @@ def tune(
 
 
 def partial_dependence(
-    model: PipelineModel, rows: DataFrame, features: list[str], expected: dict[str, str], key: list[str],
-    sample_rows: int = 5000, points: int = 20,
+    model: PipelineModel, rows: DataFrame, features: list[str], expected: dict[str, str], points: int = 20,
 ) -> DataFrame:
-    """Average prediction over a grid per feature, and whether its slope has the expected sign.
+    """Average prediction of all rows over a grid per feature, and whether its slope has the expected sign.
 
-    The grid runs from the 5th to the 95th percentile of the non-null values; the sample is bounded by design.
+    The grid runs from the 5th to the 95th percentile of the non-null values. A caller who wants fewer rows draws them first.
     """
-    sample = stored(seeded_sample(rows, key, sample_rows), "sample")
+    kept = stored(rows.select(*features), "dependence")
     variants = []
     for f in expected:
-        cuts = quantile_columns(sample, [], f, {"lo": 0.05, "hi": 0.95})
+        cuts = quantile_columns(kept, [], f, {"lo": 0.05, "hi": 0.95})
         grid = cuts.select(F.explode(F.transform(
             F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1))).alias("__g"))
         values = grid.agg(F.collect_list("__g")).scalar()
-        moved = sample.withColumn("__g", F.explode(values)).withColumn(f, F.col("__g"))
+        moved = kept.withColumn("__g", F.explode(values)).withColumn(f, F.col("__g"))
         variants.append(predict(model, moved, features).select(F.lit(f).alias("feature"), F.col("__g").alias("at"), "y_prob"))
     curve = reduce(DataFrame.unionByName, variants).groupBy("feature", "at").agg(F.avg("y_prob").alias("mean_prob"))
     slopes = curve.groupBy("feature").agg(F.count(F.lit(1)).alias("n_points"), F.regr_slope("mean_prob", "at").alias("slope"))

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ..functions.names import token_set, token_set_score
 from ..session import stored
 
+#: Names that share a lookup key in one part of the candidate join.
+HOT_KEY = 1024
+
 
 def _with_bigrams(df: DataFrame, tokens: str) -> DataFrame:
     """Add ``grams``: padded bigrams of all tokens; repeats are numbered so that the array behaves as a multiset."""
@@ -68,23 +71,19 @@ def _probes(side: DataFrame, block: list[str], name: str, similarity: float, rar
     """Lookup rows (role, key) of each name: rare tokens, all tokens, and rare bigrams."""
     tokens = F.filter("ranked", lambda r: r["kind"] == "t")
     grams = F.filter("ranked", lambda r: r["kind"] == "g")
-    sized = side.withColumns({"t": F.transform(tokens, lambda r: r["key"]), "g": F.transform(grams, lambda r: r["key"])})
+    sized = side.withColumns({"t": tokens, "g": grams})
     may_miss = (1.0 - similarity) * F.col("length") + 1e-9
-    with_before = F.transform("t", lambda k, i: F.struct(
-        k.alias("key"),
-        F.aggregate(F.slice("t", F.lit(1), i), F.lit(0), lambda acc, q: acc + F.length(q)).alias("before"),
-    ))
-    rare = F.transform(F.filter(with_before, lambda r: r["before"] <= may_miss), lambda r: r["key"])
+    rare = F.filter("t", lambda k, i: F.aggregate(F.slice("t", F.lit(1), i), F.lit(0), lambda acc, q: acc + F.length(q["key"])) <= may_miss)
     edits = F.floor((1.0 - similarity) / similarity * F.col("length") + 1e-9)
 
     def tagged(keys: Column, role: str) -> Column:
-        return F.transform(keys, lambda k: F.struct(F.lit(role).alias("role"), k.alias("key")))
+        return F.transform(keys, lambda k: F.struct(F.lit(role).alias("role"), k["key"].alias("key"), k["freq"].alias("freq")))
 
     probes = F.concat(
         tagged(rare, rare_role), tagged(F.col("t"), full_role),
         tagged(F.slice("g", F.lit(1), (edits * 2 + 1).cast("int")), "bigram"),
     )
-    return sized.select(*block, name, "length", F.explode(probes).alias("p")).select(*block, name, "length", "p.role", "p.key")
+    return sized.select(*block, name, "length", F.explode(probes).alias("p")).select(*block, name, "length", "p.role", "p.key", "p.freq")
 
 
 def candidate_pairs(
@@ -105,8 +104,12 @@ def candidate_pairs(
     x = _probes(_by_rarity(a, counts, block, name), block, name, s, "left_rare", "right_rare")
     y = _probes(_by_rarity(b, counts, block, name), block, name, s, "right_rare", "left_rare")
     # The join makes many rows out of few: spread it by key over all shuffle partitions, because sizing its tasks by
-    # the bytes that go in would leave everything to one of them.
-    keys = [*block, "role", "key"]
+    # the bytes that go in would leave everything to one of them. A key of many names is cut into salted parts: each name
+    # of one side goes to one of them, the other side's names to all.
+    keys = [*block, "role", "key", "salt"]
+    parts = F.ceil(F.col("freq") / HOT_KEY)
+    x = x.withColumn("salt", F.pmod(F.xxhash64(name), parts)).drop("freq")
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("freq")
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x, y = x.repartition(tasks, *keys), y.repartition(tasks, *keys)
     met = x.join(y.withColumnsRenamed({name: "other", "length": "other_length"}), keys)
