@@ -72,3 +72,14 @@ def test_slow_rate_keeps_its_rounds(spark):
     df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "id long, a double, b double, y int")
     model = L.fit_trees(df.where("id < 1000"), df.where("id >= 1000"), ["a", "b"], "y", L.Settings(rounds=12, depth=2, feature_share="all"))
     assert len(model.stages[-1].trees) >= 10
+
+
+def test_permutation_finds_the_feature_that_matters(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 2))
+    rows = [(i, float(a), float(b), int(a > 0)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    model = L.fit_trees(df.where("id < 600"), df.where("id >= 600"), ["a", "b"], "y", L.Settings(rounds=4, depth=2, feature_share="all"))
+    got = L.permutation_importance(model, df, ["a", "b"], "y", ["id"], rows_in_bucket=100).collect()
+    drop = {r["feature"]: r["ap_drop"] for r in got}
+    assert drop["a"] > 0.2 and abs(drop["b"]) < 0.05
