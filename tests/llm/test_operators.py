@@ -246,6 +246,42 @@ def test_semicrf_adds_and_keeps(odd, none):
     assert (semicrf.train(none) < 0).all()
 
 
+def test_semicrf_adds_every_altered_form(monkeypatch):
+    def card(r):
+        head = "".join(str(r.randint(0, 9)) for _ in range(15))
+        return head + next(c for c in "0123456789" if semicrf.luhn(head + c))
+
+    def datum(r):
+        return [
+            f"{r.choice('abc')}x{r.choice(['', '.y'])}@m.{r.choice(['', 'mail.'])}example.com", ".".join(str(r.randint(1, 255)) for _ in range(4)), card(r),
+            f"+1 ({r.randint(100, 999)}) {r.randint(100, 999)}-{r.randint(1000, 9999)}",
+        ]
+
+    r = random.Random(4)
+    texts = []
+    for _ in range(300):
+        words = [*datum(r), f"room {r.randint(1, 999)}", f"of {r.randint(1900, 2100)}", *r.choices(["and then", "here", "you said so", "please"], k=8)]
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    weights, spans = semicrf.fit(texts), semicrf.Spans()
+
+    class Pick:
+        def __init__(self, i):
+            self.choice = lambda forms: forms[i % len(forms)]
+
+    for k, span in enumerate(datum(r)):
+        for i in range(3):
+            new = semicrf._altered(k, span, Pick(i))
+            text = f"and then {new} here"
+            base, added = semicrf.find(text, weights, spans)
+            assert [(s, e) for _, s, e in base + added] == [(9, 9 + len(new))], new
+    wide = "+1 2 3 4 5 6 7 8 9 0 1 2 3 4" + " " * 200 + "5"
+    semicrf.fit([wide, "x" * 300 + "@example.com", "a." * 40 + "b@example.com"])  # over the bound: left out, not taught as outside
+    monkeypatch.setattr(semicrf, "_altered", lambda k, span, turn: "no sign")
+    with pytest.raises(ValueError):
+        semicrf.fit(texts[:1])
+
+
 def test_secrets(odd, none, spark):
     from tractloom.llm.query_secrets import op1_secret_scan
 

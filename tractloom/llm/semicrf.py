@@ -1,10 +1,11 @@
 """Personal data by a semi-Markov conditional random field over candidate segments.
 
 Four patterns give the base spans, which always stay. The model reads a text as tokens; a segment is an entity of one of the
-four types, at most MAX_TOKENS tokens long, or a single outside token. Whole-span features (shape, digit count, length, checks,
-neighbouring words, type) score a segment; dynamic programming over bounded segments chooses boundaries and types
-together. Weights are learned by averaged structured updates from the base spans of training texts, shown as they stand
-and in altered writing (plus sign dropped, dots spelled out, digits grouped), so that the model can add what patterns miss.
+four types, at most MAX_TOKENS tokens long (blanks and brackets not counted), or a single outside token. Whole-span
+features (shape, digit count, length, checks, neighbouring words, type) score a segment; dynamic programming over bounded
+segments chooses boundaries and types together. Weights are learned by averaged structured updates from the base spans of training texts, shown as they stand
+and in altered writing (plus sign dropped, at-signs and dots in brackets, digits grouped), so that the model can add what
+patterns miss. Stretches with a span over the bound take no part in the fit: as outside text they would teach the opposite.
 
 Outside tokens score zero and take no part in any feature of segments further off, so the programme runs on stretches
 around tokens that can open or close an entity; the rest of a text is outside whatever its length.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import packed, quoted
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 12
+MAX_TOKENS = 32
 FEATURES = 1 << 14
 #: How far the best entity reading must beat the reading without it before a span is added.
 MARGIN = 0.5
@@ -36,7 +38,10 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|[^\S\n]+|\n")
-_ANCHOR = re.compile(r"[0-9@]")
+_AT = re.compile(r"@|\[at\]|\(at\)", re.IGNORECASE)
+_ANCHOR = re.compile(r"[0-9@]|\[at\]|\(at\)", re.IGNORECASE)
+_GAP = re.compile(r"[A-Za-z0-9]\s+(?=[A-Za-z0-9])")
+_BRACKETS = "[](){}<>"
 
 
 def luhn(digits: str) -> bool:
@@ -85,30 +90,40 @@ def _slot(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
 
 
+@lru_cache(1 << 17)
+def _slots(fact: tuple) -> list[int]:
+    return [_slot(k, *fact) for k in range(len(KINDS))]
+
+
 class Spans:
-    """Features of whole spans; repeated ones are hashed once."""
+    """Features of whole spans; repeated ones are hashed once. A span is known by its row in `table` (kind, slots that fire)."""
+
+    WIDTH = 13
 
     def __init__(self):
-        self.known: dict[tuple, list[int]] = {}
+        self.known: dict[tuple, int] = {}
+        self.table = np.zeros((1024, len(KINDS), self.WIDTH), np.uint16)
 
-    def features(self, text: str, start: int, end: int, before: str, after: str) -> list[list[int]]:
-        """For each kind the slots that fire for this span."""
+    def row(self, text: str, start: int, end: int, before: str, after: str) -> int:
         span = text[start:end]
         digits = "".join(c for c in span if c in "0123456789")
         shape = _shape(span)
         coarse = re.sub(r"d[0-9]+", "d", shape)
-        octets = span.split(".")
+        octets = [o.strip(" []") for o in span.split(".")]
         facts = (
             ("shape", shape), ("coarse", coarse), ("digits", len(digits)), ("luhn", 16 <= len(digits) <= 19 and luhn(digits)),
             ("octets", len(octets) == 4 and all(o.isascii() and o.isdigit() and len(o) < 4 and int(o) <= 255 for o in octets)),
-            ("at", span.count("@"), "." in span), ("plus", span[:1] == "+"),
+            ("at", len(_AT.findall(span)), "." in span), ("plus", span[:1] == "+"),
             ("ends", span[:1].isalnum(), span[-1:].isalnum()), ("before", before[-1:] if before[-1:] and not before[-1:].isalnum() else "w" * bool(before)),
             ("after", after[:1] if after[:1] and not after[:1].isalnum() else "w" * bool(after)), ("any",), ("letters", any(c.isalpha() for c in span), bool(digits)),
+            ("gaps", len(_GAP.findall(span))),
         )
         if facts not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[facts] = [[_slot(k, *f) for f in facts] for k in range(len(KINDS))]
+            at = len(self.known)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at] = np.array([_slots(f) for f in facts]).T
+            self.known[facts] = at
         return self.known[facts]
 
 
@@ -136,50 +151,62 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-def candidates(text: str, tokens: list[tuple[int, int]], spans: Spans) -> list[tuple]:
-    """Segments (first token, end token, start, end, slots by kind) of bounded length, no blank at the ends.
+def _counted(text: str, tokens: list[tuple[int, int]]) -> list[bool]:
+    return [not text[s].isspace() and text[s] not in _BRACKETS for s, _ in tokens]
+
+
+def candidates(text: str, tokens: list[tuple[int, int]], spans: Spans) -> np.ndarray:
+    """Segments (first token, end token, start, end, row of its features) of bounded length, no blank at the ends.
 
-    A segment holds a digit or an at-sign; letters only with an at-sign, since only addresses have them.
+    A segment holds a digit or an at-sign, which may be written [at] or (at); letters only with an at-sign, since only
+    addresses have them.
     """
     out = []
-    blank = [text[s:e].isspace() for s, e in tokens]
+    blank = [text[s].isspace() for s, _ in tokens]
+    counted = _counted(text, tokens)
     letters = [text[s].isalpha() for s, _ in tokens]
-    signs = [text[s] == "@" for s, _ in tokens]
+    written = {m.start() + 1 for m in _AT.finditer(text, tokens[0][0], tokens[-1][1]) if m.end() > m.start() + 1}
+    signs = [text[s] == "@" or s in written for s, _ in tokens]
     numbers = [text[s].isdigit() for s, _ in tokens]
+    ahead = np.append(np.where(signs, np.arange(len(tokens)), len(tokens)), len(tokens))
+    ahead = np.minimum.accumulate(ahead[::-1])[::-1].tolist()  # the next sign from here on
     for i, (s, _) in enumerate(tokens):
         if blank[i]:
             continue
         has_letter = has_sign = has_number = False
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+        size = 0
+        for j in range(i, len(tokens)):
+            size += counted[j]
             has_letter, has_sign, has_number = has_letter or letters[j], has_sign or signs[j], has_number or numbers[j]
+            if size > MAX_TOKENS or has_letter and not has_sign and ahead[j] == len(tokens):
+                break
             if not blank[j] and (has_sign or has_number and not has_letter):
                 e = tokens[j][1]
-                out.append((i, j + 1, s, e, spans.features(text, s, e, text[max(0, s - 1) : s], text[e : e + 1])))
-    return out
+                out.append((i, j + 1, s, e, spans.row(text, s, e, text[max(0, s - 1) : s], text[e : e + 1])))
+    return np.array(out, np.int64).reshape(-1, 5)
 
 
-def decode(n: int, segments: list[tuple], weights: np.ndarray) -> list[tuple]:
+def decode(n: int, segments: np.ndarray, spans: Spans, weights: np.ndarray) -> list[tuple]:
     """The best reading of n tokens: [(kind, start, end, score, slots)]."""
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     ending: dict[int, list] = {}
-    if segments:
-        scores = weights[np.array([x[4] for x in segments])].sum(2)
-        kinds = scores.argmax(1)
-        for (i, j, s, e, slots), k, own in zip(segments, kinds.tolist(), scores.max(1).tolist(), strict=True):
-            if own > 0:
-                ending.setdefault(j, []).append((i, k, own, s, e, slots[k]))
+    scores = weights[spans.table[segments[:, 4]]].sum(2)
+    kinds, most = scores.argmax(1), scores.max(1)
+    some = np.flatnonzero(most > 0)
+    for (i, j, s, e, row), k, own in zip(segments[some].tolist(), kinds[some].tolist(), most[some].tolist(), strict=True):
+        ending.setdefault(j, []).append((i, k, own, s, e, row))
     for j in range(1, n + 1):
         best[j] = best[j - 1]
-        for i, k, own, s, e, slots in ending.get(j, ()):
+        for i, k, own, s, e, row in ending.get(j, ()):
             if best[i] + own > best[j]:
-                best[j], back[j] = best[i] + own, (i, k, s, e, own, slots)
+                best[j], back[j] = best[i] + own, (i, k, s, e, own, row)
     out, j = [], n
     while j > 0:
         if back[j] is None:
             j -= 1
         else:
-            i, *reading = back[j]
-            out.append(tuple(reading))
+            i, k, s, e, own, row = back[j]
+            out.append((k, s, e, own, spans.table[row, k]))
             j = i
     return out[::-1]
 
@@ -197,6 +224,12 @@ def _altered(kind: int, span: str, turn: random.Random) -> str:
     return turn.choice([span.replace("+", "00", 1), span.replace(" ", "/"), span.replace("+", "+ ", 1)])
 
 
+def _fits(text: str, tokens: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a span begins and ends with tokens of this stretch and keeps to the bound."""
+    inside = [t for t in tokens if start <= t[0] and t[1] <= end]
+    return bool(inside) and inside[0][0] == start and inside[-1][1] == end and sum(_counted(text, inside)) <= MAX_TOKENS
+
+
 def fit(texts: list[str], passes: int = 6, margin: float = 1.0) -> np.ndarray:
     """Averaged weights from texts whose base spans are the truth. Without any span all weights are negative: nothing is added."""
     turn, spans = random.Random(7), Spans()
@@ -205,10 +238,14 @@ def fit(texts: list[str], passes: int = 6, margin: float = 1.0) -> np.ndarray:
     def learn_from(text, truth):
         for tokens in stretches(text):
             segments = candidates(text, tokens, spans)
-            known = {(s, e): slots for _, _, s, e, slots in segments}
-            mine = {(k, s, e): known[s, e][k] for k, s, e in truth if (s, e) in known}
-            if segments:
-                cases.append((len(tokens), segments, mine))
+            known = {(s, e): row for _, _, s, e, row in segments.tolist()}
+            near = [x for x in truth if x[1] < tokens[-1][1] and x[2] > tokens[0][0]]
+            lost = [x for x in near if x[1:] not in known]
+            for k, s, e in lost:
+                if _fits(text, tokens, s, e):
+                    raise ValueError(f"a span of kind {KINDS[k]} written like {_shape(text[s:e])} is no candidate")
+            if len(segments) and not lost:
+                cases.append((len(tokens), segments, {(k, s, e): (known[s, e], k) for k, s, e in near}))
 
     for text in texts:
         truth = _disjoint(base_spans(text))
@@ -222,19 +259,21 @@ def fit(texts: list[str], passes: int = 6, margin: float = 1.0) -> np.ndarray:
                 shift += len(new) - (e - s)
                 at = e
             learn_from("".join([*parts, text[at:]]), moved)
+    table = spans.table
     w, total = np.zeros(FEATURES), np.zeros(FEATURES)
     for _ in range(passes):
         turn.shuffle(cases)
         for n, segments, mine in cases:
-            for slots in mine.values():  # the truth must win by a margin
+            for at in mine.values():  # the truth must win by a margin
+                slots = table[at]
                 if w[slots].sum() < margin:
                     w[slots] += 0.1
-            for k, s, e, _, slots in decode(n, segments, w):
+            for k, s, e, _, slots in decode(n, segments, spans, w):
                 if (k, s, e) not in mine:
                     w[slots] -= 0.1
                     for (_, s2, e2), true in mine.items():
                         if s < e2 and s2 < e:
-                            w[true] += 0.1
+                            w[table[true]] += 0.1
             total += w
     return total / max(1, passes * len(cases))
 
@@ -254,8 +293,10 @@ def find(text: str, weights: np.ndarray, spans: Spans) -> tuple[list, list]:
     base = base_spans(text)
     held = sorted((s, e) for _, s, e in base)
     added = []
+    if len(spans.known) > 100_000:
+        spans.__init__()
     for tokens in stretches(text):
-        for k, s, e, score, _ in decode(len(tokens), candidates(text, tokens, spans), weights):
+        for k, s, e, score, _ in decode(len(tokens), candidates(text, tokens, spans), spans, weights):
             if score >= MARGIN and not any(s < b and a < e for a, b in held):
                 added.append((k, s, e))
     return base, added
