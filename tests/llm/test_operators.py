@@ -107,6 +107,12 @@ def test_class_ngrams_beat_the_base(spark):
     assert held[1] > held[0]
 
 
+def test_brown_clusters_from_a_fixed_count():
+    from tractloom.llm import brown
+
+    assert brown.Layout().frequent == 8  # whatever the number of tokens
+
+
 def test_toxicity_held_out(spark):
     from tractloom.llm.query_toxicity import op5_toxicity
 

@@ -25,8 +25,8 @@ from ..session import fresh_path, stored
 from .common import aligned, hashes, mixed, packed, quoted, words
 
 CLASSES, SINGLE = 32, 32
-#: Words are clustered from this share of all tokens on, so their number is bounded alike at every size of the corpus.
-SHARE_BITS, LEAST_BITS, MOST_BITS = 18, 3, 48
+#: Words are clustered from the count 2**LEAST_BITS on at every size, so the clustered vocabulary grows with the corpus.
+LEAST_BITS, MOST_BITS = 3, 48
 RARE_CODE = 1 << 31
 SHRINK = 10.0
 
@@ -34,8 +34,8 @@ SHRINK = 10.0
 class Layout:
     """Class numbers: clustered classes, one per power of two of rarer counts, the end mark."""
 
-    def __init__(self, tokens: int):
-        self.bits = max(LEAST_BITS, round(math.log2(max(1, tokens)) - SHARE_BITS))
+    def __init__(self):
+        self.bits = LEAST_BITS
         self.frequent, self.end, self.all = 1 << self.bits, CLASSES + self.bits, CLASSES + self.bits + 1
 
 
@@ -198,9 +198,11 @@ def _contexts(lay: Layout, bits: int, turn: int):
     """For each frequent word that may move: how often each class stands before it (side = class) and after it (side = all classes + class)."""
     schema = _schema(CONTEXT)
 
-    def run(rows, both):
-        asks, classes = both.filter(pa.compute.is_valid(both.column("hashes"))).sort_by("owner"), both.filter(pa.compute.is_valid(both.column("classes")))
-        values = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), "<u8") for x in asks.column("hashes")]])
+    def run(both, classes):
+        asks, rows = both.filter(pa.compute.is_valid(both.column("owner"))), both.filter(pa.compute.is_null(both.column("owner")))
+        if not rows.num_rows:
+            return _columns([], schema)
+        values = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), "<u8") for x in asks.sort_by("owner").column("codes")]])
         codes, klass, _ = _tokens(rows, classes, lay)
         live = codes < RARE_CODE
         live[live] = _moves(values, turn)[codes[live]]
@@ -306,7 +308,7 @@ def class_ngram_scores(
     ).first()
     ends = base.filter("train").count()
     tokens, distinct = (got["tokens"] or 0) + ends, (got["distinct_words"] or 0) + int(ends > 0)
-    lay = Layout(tokens)
+    lay = Layout()
     rare = [got[f"r{i}"] or 0 for i in range(lay.bits)]
 
     given = base.schema["row"]
@@ -319,6 +321,7 @@ def class_ngram_scores(
     both.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     texts, wanted = spark.table(name).filter("owner is null"), stored(spark.table(name).filter("owner is not null").select("chunk", "owner", "codes"), "brown-wanted")
     learn = texts.filter("train").select("chunk", "codes")
+    asking = spark.table(name).filter("train or owner is not null").select("chunk", "owner", "codes")  # bucketed by chunk: hashes do not move again
 
     # Words start in the class of their hash.
     first = _first_classes(lay)
@@ -336,9 +339,7 @@ def class_ngram_scores(
     for turn in range(rounds):
         held = classes_by_chunk(state)
         table = pair_table(held)
-        asks = wanted.select("chunk", "owner", F.col("codes").alias("hashes"), F.lit(None).cast("binary").alias("classes"))
-        told = held.select("chunk", "owner", F.lit(None).cast("binary").alias("hashes"), "classes")
-        seen = learn.groupBy("chunk").cogroup(asks.unionByName(told).groupBy("chunk")).applyInArrow(_contexts(lay, bits, turn), CONTEXT)
+        seen = asking.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(_contexts(lay, bits, turn), CONTEXT)
         state = stored(seen.groupBy("owner").cogroup(state.groupBy("owner")).applyInArrow(_exchange(lay, table), STATE), "brown-classes")
     held = classes_by_chunk(state)
     table = pair_table(held)
