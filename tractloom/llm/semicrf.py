@@ -2,7 +2,7 @@
 
 Four patterns give the base spans, which always stay. The model reads a text as tokens; a segment is an entity of one of the
 four types, at most MAX_TOKENS tokens long (blanks and brackets not counted), or a single outside token. Whole-span
-features (shape, digit count, length, checks, neighbouring words, type) score a segment; dynamic programming over bounded
+features (shape, digit count, length, checks, the one character on each side, type) score a segment; dynamic programming over bounded
 segments chooses boundaries and types together. Weights are learned by averaged structured updates from the base spans of training texts, shown as they stand
 and in altered writing (plus sign dropped, at-signs and dots in brackets, digits grouped), so that the model can add what
 patterns miss. Stretches with a span over the bound take no part in the fit: as outside text they would teach the opposite.
