@@ -8,23 +8,27 @@ from ..operators import evaluation as E
 from ..operators import learning as L
 from ..operators import serving, temporal
 from ..plans.domain import Domain
-from ..session import stored
+from ..session import fresh_path, stored
 from .registry import query, rounded
 
 FEATURES = ["n_loans", "amount_k", "n_small", "is_rural", "population"]
 LABEL = "becomes_low"
 FOLDS = E.shifted(E.build_folds(6), 1995 - 2009)  # folds that the years cannot fill are skipped
 FULL = L.Settings()
-# few rounds, for the studies that refit dozens of models
-QUICK = L.Settings(rounds=4, depth=3, rate=0.3)
 KEYS = ["tract_fips", "year"]
+HORIZONS = (1, 3)
+# the same fold shape, ended early enough that the labels of the longer horizon are known
+HORIZON_FOLDS = {1: FOLDS, 3: E.shifted(E.build_folds(6), 1992 - 2009)}
+LABELS = {h: f"becomes_low_h{h}" for h in HORIZONS}
+MODELS = {"all": FEATURES, "lending": ["n_loans", "amount_k", "n_small"]}
 
 
 def study_panel(d: Domain):
     """Panel with the label "at most two lenders next year, more than two now" (NULL where it is low already)."""
     p = d.panel().withColumn("is_low", (F.col("n_lenders") <= 2).cast("int"))
-    ahead = temporal.forward_labels(p, "tract_fips", "year", ["is_low"], [1])
-    return stored(ahead.withColumn(LABEL, F.col("becomes_is_low_h1")).drop("state_is_low_h1", "becomes_is_low_h1"), "study")
+    ahead = temporal.forward_labels(p, "tract_fips", "year", ["is_low"], list(HORIZONS))
+    names = {LABEL: F.col("becomes_is_low_h1")} | {LABELS[h]: F.col(f"becomes_is_low_h{h}") for h in HORIZONS}
+    return stored(ahead.withColumns(names).drop(*[f"{kind}_is_low_h{h}" for kind in ("state", "becomes") for h in HORIZONS]), "study")
 
 
 @query("p13_feature_selection", """
@@ -57,18 +61,22 @@ def _(d: Domain):
 
 @query("m10_group_ablation")
 def _(d: Domain):
-    return rounded(L.ablate(study_panel(d), FEATURES, {"volume": ["n_loans", "n_small"], "place": ["is_rural", "population"]}, LABEL, FOLDS, QUICK))
+    return rounded(L.ablate(study_panel(d), FEATURES, {"volume": ["n_loans", "n_small"], "place": ["is_rural", "population"], "amount": ["amount_k"]}, LABEL, FOLDS, FULL))
 
 
 @query("m11_family_ablation")
 def _(d: Domain):
-    families = {"place_rural": ["is_rural"], "acs_demographics": ["population"]}
-    return rounded(L.ablate(study_panel(d), FEATURES, families, LABEL, FOLDS, QUICK, "y_prob_calibrated"))
+    panel = study_panel(d)
+    families = {"place_rural": ["is_rural"], "acs_demographics": ["population"], "lending_volume": ["n_loans", "n_small"], "lending_amount": ["amount_k"]}
+    runs = [
+        L.ablate(panel, FEATURES, families, LABELS[h], HORIZON_FOLDS[h], FULL, "y_prob_calibrated").withColumn("horizon", F.lit(h)) for h in HORIZONS
+    ]
+    return rounded(runs[0].unionByName(runs[1]))
 
 
 @query("m12_pruning_sweep")
 def _(d: Domain):
-    return rounded(L.prune(study_panel(d), FEATURES, [1, 2, 3, 4], LABEL, FOLDS, QUICK))
+    return rounded(L.prune(study_panel(d), FEATURES, [1, 2, 3, 4], LABEL, FOLDS, FULL))
 
 
 @query("m13_regime_split")
@@ -104,13 +112,13 @@ def _(d: Domain):
 def _(d: Domain):
     panel = study_panel(d)
     splits = L.spatial_splits(panel.where(F.col(LABEL).isNotNull()), "state_fips", KEYS)
-    runs = {name: L.walk_forward(panel, FEATURES, LABEL, [], QUICK, splits=rows) for name, rows in splits.items()}
+    runs = {name: L.walk_forward(panel, FEATURES, LABEL, roles, FULL) for name, roles in splits.items()}
     return rounded(L.study_metrics(runs))
 
 
 @query("m19_tuning")
 def _(d: Domain):
-    return rounded(L.tune(study_panel(d), FEATURES, LABEL, FOLDS[0], base=QUICK))
+    return rounded(L.tune(study_panel(d), FEATURES, LABEL, FOLDS[0], base=FULL))
 
 
 @query("m20_partial_dependence")
@@ -127,6 +135,14 @@ def _(d: Domain):
     return rounded(L.calibrated(iso, L.predict(model, panel.where("year = 2000"), FEATURES)).select(*KEYS, "y_prob", "y_prob_calibrated"))
 
 
+@query("m21_stored_models")
+def _(d: Domain):
+    panel, path = study_panel(d), fresh_path(d.spark, "models")
+    L.save_models(L.final_models(panel, MODELS, LABELS, 2001, FULL), path)
+    loaded = L.load_models(path, [(name, h) for name in MODELS for h in HORIZONS])
+    return rounded(L.score_models(panel.where("year = 2001"), loaded, MODELS, KEYS))
+
+
 @query("m23_score_latest_year")
 def _(d: Domain):
     panel = study_panel(d)

@@ -1,36 +1,44 @@
 """Walk-forward model studies on MLlib.
 
-All studies share ``walk_forward``: per fold it fits boosted trees on the training years with the validation year for
-early stopping, fits an isotonic calibration on the validation scores, and writes the scored test years. Metrics are
-then computed for all runs and folds together. The loops on the driver run over folds, groups or trials (a few
-dozen), never over rows.
+All studies share ``walk_forward``: per fold it fits boosted trees on the training years, keeps the trees up to the best
+average precision on the validation year, fits an isotonic calibration on the validation scores, and writes the scored
+test years. A fold's roles are conditions on the one panel, so no fold copies it. Fits that do not depend on each other
+are submitted side by side. Metrics are then computed for all runs and folds together. The loops on the driver run over
+folds, groups or trials (a few dozen), never over rows.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, stored
-from .evaluation import Fold, assign_folds, scores
+from .evaluation import Fold, scores
 from .feature_lists import leaks_label, numeric_columns
 from .orderstats import quantile_columns
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Boosting settings; the defaults are the ones used for published runs."""
+    """Boosting settings; the defaults are the ones used for published runs.
+
+    A fit ends ``patience`` rounds after the best one. ``first_rounds`` are grown before that is looked at for the first time.
+    """
 
     rounds: int = 400
     depth: int = 6
@@ -39,6 +47,8 @@ class Settings:
     feature_share: str = "0.85"
     min_rows: int = 5
     seed: int = 42
+    patience: int = 25
+    first_rounds: int = 40
 
 
 def usable_features(df: DataFrame, allowed: list[str] | None = None, leaks: set[str] = frozenset()) -> list[str]:
@@ -59,8 +69,83 @@ def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select("*", *doubles, *[F.col(c).isNull().cast("double").alias(f"na_{c}") for c in features])
 
 
+def side_by_side(tasks: dict[str, Callable], at_once: int = 4) -> dict:
+    """Results of independent driver tasks, each of which submits Spark jobs of its own.
+
+    Small fits wait for their own rounds most of the time; several at once fill the cluster. With spark.scheduler.mode FAIR
+    they share it evenly. Properties of the calling thread (pool, job group) are passed on.
+    """
+    spark = SparkSession.active()
+
+    def run(task: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "studies")
+        return task()
+
+    with ThreadPoolExecutor(at_once) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(run), task) for name, task in tasks.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` boosting rounds."""
+    java, context = model._java_obj, SparkSession.active().sparkContext
+    ml, given, of = context._jvm.org.apache.spark.ml, java.trees(), java.treeWeights()
+    trees, weights = context._gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), context._gateway.new_array(context._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = given[i], of[i]
+    cut = ml.classification.GBTClassificationModel(model.uid, trees, weights, java.numFeatures(), 2)
+    return GBTClassificationModel(cut).setFeaturesCol(model.getFeaturesCol())
+
+
+def node_table(model: GBTClassificationModel, spark: SparkSession) -> list:
+    """Nodes of all trees, read from the saved model; rounds and depth bound their number."""
+    path = fresh_path(spark, "model")
+    model.write().save(path)
+    return spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+
+
+def prefix_probabilities(model: GBTClassificationModel, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Each row's probability after every round: ``keep``, prefix (from 1), y_prob. One pass finds the leaves of all trees."""
+    leaves: dict[int, list[tuple[int, float]]] = {}
+    for n in node_table(model, rows.sparkSession):
+        if n["leftChild"] < 0:
+            leaves.setdefault(n["treeID"], []).append((n["id"], n["prediction"]))
+    # nodes are numbered from left to right, as leaves are
+    weighted = [np.array([v for _, v in sorted(leaves[t])]) * w for t, w in enumerate(model.treeWeights)]
+    starts = np.cumsum([0, *map(len, weighted)])[:-1]
+    flat = np.concatenate(weighted)
+
+    @F.pandas_udf("array<double>")
+    def along(leaf: pd.Series) -> pd.Series:
+        if not len(leaf):
+            return pd.Series([], dtype=object)
+        margins = np.cumsum(flat[np.stack(leaf.to_numpy()).astype(np.int64) + starts], axis=1)
+        return pd.Series(list(1.0 / (1.0 + np.exp(-2.0 * margins))))
+
+    found = model.copy({model.leafCol: "__leaf"}).transform(rows).select(*keep, along(vector_to_array("__leaf")).alias("__p"))
+    return found.select(*keep, F.posexplode("__p").alias("__at", "y_prob")).select(*keep, (F.col("__at") + 1).alias("prefix"), "y_prob")
+
+
+def best_prefix(quality: list[float | None], patience: int) -> tuple[int, bool]:
+    """Length of the best prefix (the shortest of equals), and whether ``patience`` rounds without gain followed it.
+
+    Rounds after that point are not looked at. Unknown qualities count as no gain; if none is known, all rounds are kept.
+    """
+    best, value = 0, -math.inf
+    for i, q in enumerate(quality, 1):
+        if q is not None and q > value:
+            best, value = i, q
+        elif best and i - best >= patience:
+            return best, True
+    return best or len(quality), False
+
+
 def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str, settings: Settings) -> PipelineModel:
-    """Median imputation (learned on the training rows), missing flags, boosted trees stopped where the loss on ``val`` no longer falls."""
+    """Median imputation (learned on the training rows), missing flags, boosted trees up to the best average precision on ``val``.
+
+    Rounds are grown in steps: a longer run with the same seed starts with the same trees, so the number of rounds doubles
+    until the best one lies ``patience`` back or all are used. Each step scores all its prefixes in one pass.
+    """
     rows = train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)))
     rows = with_inputs(rows, features).withColumn("__y", F.col(label).cast("double")).select(
         *[f"in_{c}" for c in features], *[f"na_{c}" for c in features], "__y", "__val"
@@ -69,13 +154,22 @@ def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str,
         imputer = Imputer(strategy="median", inputCols=[f"in_{c}" for c in features], outputCols=[f"im_{c}" for c in features])
         prepared = imputer.fit(rows.where(~F.col("__val")))
         assembler = VectorAssembler(inputCols=[f"im_{c}" for c in features] + [f"na_{c}" for c in features], outputCol="__x")
-        trees = GBTClassifier(
-            labelCol="__y", featuresCol="__x", validationIndicatorCol="__val", validationTol=0.0, maxIter=settings.rounds, maxDepth=settings.depth,
-            stepSize=settings.rate, subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share,
-            minInstancesPerNode=settings.min_rows, seed=settings.seed, cacheNodeIds=False,
-        )
-        model = trees.fit(assembler.transform(prepared.transform(rows)))
-        return PipelineModel([prepared, assembler, model])
+        ready = assembler.transform(prepared.transform(rows)).select("__x", "__y", "__val")
+        rounds = min(settings.rounds, max(settings.first_rounds, settings.patience + 1))
+        while True:
+            trees = GBTClassifier(
+                labelCol="__y", featuresCol="__x", maxIter=rounds, maxDepth=settings.depth, stepSize=settings.rate,
+                subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share, minInstancesPerNode=settings.min_rows,
+                seed=settings.seed, cacheNodeIds=False,
+            )
+            model = trees.fit(ready.where(~F.col("__val")))
+            grown = len(model.treeWeights)
+            probabilities = prefix_probabilities(model, ready.where("__val"), ["__y"])
+            found = {r["prefix"]: r["ap"] for r in scores(probabilities, ["prefix"], "__y").select("prefix", "ap").collect()}
+            best, stopped = best_prefix([found.get(i) for i in range(1, grown + 1)], settings.patience)
+            if stopped or rounds >= settings.rounds:
+                return PipelineModel([prepared, assembler, first_trees(model, best)])
+            rounds = min(settings.rounds, 2 * rounds)
     finally:
         rows.unpersist()
 
@@ -114,32 +208,46 @@ class Study:
     calibrations: dict[str, IsotonicRegressionModel]
 
 
+Roles = dict[str, dict[str, Column]]
+
+
+def fold_roles(folds: list[Fold], year: str = "year") -> Roles:
+    """Per fold the conditions of its training, validation and test rows."""
+    y = F.col(year)
+    return {name: {"train": y.between(t0, t1), "val": y == v, "test": y.between(s0, s1)} for name, t0, t1, v, s0, s1 in folds}
+
+
 def walk_forward(
-    panel: DataFrame, features: list[str], label: str, folds: list[Fold], settings: Settings = Settings(),
-    keys: tuple[str, ...] = ("tract_fips", "year"), splits: DataFrame | None = None,
+    panel: DataFrame, features: list[str], label: str, folds: list[Fold] | Roles, settings: Settings = Settings(),
+    keys: tuple[str, ...] = ("tract_fips", "year"), at_once: int = 4,
 ) -> Study:
     """Fit, calibrate and score every fold; a fold with an empty split is skipped.
 
-    ``splits`` replaces the year-based folds by given (fold, role) rows.
+    ``folds`` are year ranges, or conditions per fold and role (``spatial_splits``).
     """
+    roles = folds if isinstance(folds, dict) else fold_roles(folds)
     labelled = panel.where(F.col(label).isNotNull())
-    assigned = splits if splits is not None else assign_folds(labelled, folds)
-    sizes = {(r["fold"], r["role"]): r["n"] for r in assigned.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = labelled.agg(*[F.count_if(hit).alias(f"{fold}/{role}") for fold, of in roles.items() for role, hit in of.items()]).first()
     path = fresh_path(panel.sparkSession, "predictions")
-    models, calibrations, imp = {}, {}, []
-    for fold in sorted({f for f, _ in sizes}):
-        if any((fold, role) not in sizes for role in ("train", "val", "test")):
-            continue
-        part = {r: assigned.where((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "val", "test")}
+    usable = [fold for fold, of in roles.items() if all(counts[f"{fold}/{role}"] for role in of)]
+    if not usable:
+        raise ValueError("no fold has training, validation and test rows")
+
+    def run(fold: str):
+        part = {role: labelled.where(hit) for role, hit in roles[fold].items()}
         model = fit_trees(part["train"], part["val"], features, label, settings)
         iso = fit_calibration(predict(model, part["val"], features), label)
-        scored = calibrated(iso, predict(model, part["test"], features))
-        scored.select(*keys, "fold", F.col(label).cast("int").alias("y_true"), "y_prob", "y_prob_calibrated").write.mode("append").parquet(path)
-        imp.append(importances(model, features, fold, panel.sparkSession))
-        models[fold], calibrations[fold] = model, iso
-    if not models:
-        raise ValueError("no fold has training, validation and test rows")
-    return Study(panel.sparkSession.read.parquet(path), reduce(DataFrame.unionByName, imp), models, calibrations)
+        scored = calibrated(iso, predict(model, part["test"], features)).withColumn("fold", F.lit(fold))
+        scored.select(*keys, "fold", F.col(label).cast("int").alias("y_true"), "y_prob", "y_prob_calibrated").write.parquet(f"{path}/{fold}")
+        return model, iso
+
+    fitted = side_by_side({fold: lambda fold=fold: run(fold) for fold in usable}, at_once)
+    spark = panel.sparkSession
+    return Study(
+        spark.read.parquet(*[f"{path}/{fold}" for fold in usable]),
+        reduce(DataFrame.unionByName, [importances(model, features, fold, spark) for fold, (model, _) in fitted.items()]),
+        {fold: model for fold, (model, _) in fitted.items()}, {fold: iso for fold, (_, iso) in fitted.items()},
+    )
 
 
 def study_metrics(runs: dict[str, Study], score: str = "y_prob") -> DataFrame:
@@ -162,11 +270,9 @@ def ablate(
     settings: Settings = Settings(), score: str = "y_prob",
 ) -> DataFrame:
     """Refit without each feature group and compare with the full model."""
-    runs = {"baseline": walk_forward(panel, features, label, folds, settings)}
-    for name, members in groups.items():
-        kept = [f for f in features if f not in members]
-        if kept and len(kept) < len(features):
-            runs[name] = walk_forward(panel, kept, label, folds, settings)
+    left = {"baseline": features} | {name: [f for f in features if f not in members] for name, members in groups.items()}
+    kept = {name: fs for name, fs in left.items() if fs and (name == "baseline" or len(fs) < len(features))}
+    runs = side_by_side({name: lambda fs=fs: walk_forward(panel, fs, label, folds, settings, at_once=2) for name, fs in kept.items()})
     return ablation_deltas(stored(study_metrics(runs, score), "ablation"), "run", "baseline")
 
 
@@ -177,10 +283,8 @@ def prune(
     full = walk_forward(panel, features, label, folds, settings)
     order = full.importance.groupBy("feature").agg(F.avg("importance").alias("i")).orderBy(F.desc("i"), "feature")
     ranked = [r["feature"] for r in order.collect()]  # one row per feature
-    runs = {str(len(features)): full}
-    for k in ks:
-        if k < len(features):
-            runs[str(k)] = walk_forward(panel, ranked[:k], label, folds, settings)
+    shorter = {str(k): lambda k=k: walk_forward(panel, ranked[:k], label, folds, settings, at_once=2) for k in ks if k < len(features)}
+    runs = {str(len(features)): full} | side_by_side(shorter)
     return study_metrics(runs).withColumn("k", F.col("run").cast("int")).drop("run")
 
 
@@ -218,24 +322,23 @@ def permutation_importance(
     )
 
 
-def spatial_splits(panel: DataFrame, area: str, key: list[str], folds: int = 5, seed: int = 42) -> dict[str, DataFrame]:
-    """Random k-fold and leave-one-area-out assignments as (fold, role) rows.
+def spatial_splits(panel: DataFrame, area: str, key: list[str], folds: int = 5, seed: int = 42) -> dict[str, Roles]:
+    """Roles for random k-fold and leave-one-area-out runs.
 
-    Validation rows are a tenth of the training side, chosen by key hash, so repeated runs agree.
+    Validation rows are a tenth of the training side, chosen by key hash, so repeated runs agree. Roles are conditions on the
+    panel, which is never copied. A missing area is a place of its own.
     """
     bucket = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(folds))
     tenth = F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(10)) == 0
 
-    def role(is_test: Column) -> Column:
-        return F.when(is_test, "test").when(tenth, "val").otherwise("train")
+    def roles(is_test: Column) -> dict[str, Column]:
+        return {"train": ~is_test & ~tenth, "val": ~is_test & tenth, "test": is_test}
 
-    fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    random_rows = panel.select("*", fold.alias("__f"), bucket.alias("__b"))
-    random_folds = random_rows.select(*panel.columns, F.concat(F.lit("R"), "__f").alias("fold"), role(F.col("__b") == F.col("__f")).alias("role"))
-    areas = panel.agg(F.sort_array(F.collect_set(area))).scalar()  # a few dozen areas
-    left_out = panel.select("*", F.explode(areas).alias("__a"))
-    by_area = left_out.select(*panel.columns, F.concat(F.lit("S"), "__a").alias("fold"), role(F.col(area) == F.col("__a")).alias("role"))
-    return {"random": random_folds, "leave_one_out": by_area}
+    areas = [r[0] for r in panel.select(area).distinct().orderBy(area).collect()]  # a few dozen areas
+    return {
+        "random": {f"R{i}": roles(bucket == i) for i in range(folds)},
+        "leave_one_out": {f"S{a}": roles(F.col(area).eqNullSafe(F.lit(a))) for a in areas},
+    }
 
 
 def tune(
@@ -244,18 +347,22 @@ def tune(
 ) -> DataFrame:
     """Random search over depth, rate, subsample and leaf size, scored on the fold's validation year."""
     rng = random.Random(seed)
-    part = assign_folds(panel.where(F.col(label).isNotNull()), [fold])
-    train, val = (part.where(F.col("role") == r) for r in ("train", "val"))
-    scored = []
-    for t in range(trials):
-        s = replace(base, depth=rng.randint(2, base.depth), rate=10 ** rng.uniform(-2, -0.5), subsample=rng.uniform(0.6, 1.0),
-                    min_rows=rng.choice([1, 5, 20, 50]))
+    labelled, roles = panel.where(F.col(label).isNotNull()), fold_roles([fold])[fold[0]]
+    train, val = labelled.where(roles["train"]), labelled.where(roles["val"])
+    drawn = [
+        replace(base, depth=rng.randint(2, base.depth), rate=10 ** rng.uniform(-2, -0.5), subsample=rng.uniform(0.6, 1.0), min_rows=rng.choice([1, 5, 20, 50]))
+        for _ in range(trials)
+    ]
+
+    def run(t: int, s: Settings) -> DataFrame:
         model = fit_trees(train, val, features, label, s)
         out = predict(model, val, features).select(F.col(label).alias("y_true"), "y_prob")
-        scored.append(out.withColumns({"trial": F.lit(t), "depth": F.lit(s.depth), "rate": F.lit(s.rate), "subsample": F.lit(s.subsample),
-                                       "min_rows": F.lit(s.min_rows)}))
-    both = stored(reduce(DataFrame.unionByName, scored), "trials")
-    return scores(both, ["trial", "depth", "rate", "subsample", "min_rows"]).select("trial", "depth", "rate", "subsample", "min_rows", "auc", "ap")
+        given = {"trial": F.lit(t), "depth": F.lit(s.depth), "rate": F.lit(s.rate), "subsample": F.lit(s.subsample), "min_rows": F.lit(s.min_rows)}
+        return stored(out.withColumns(given | {"rounds": F.lit(len(model.stages[-1].treeWeights))}), "trial")
+
+    both = reduce(DataFrame.unionByName, side_by_side({str(t): lambda t=t, s=s: run(t, s) for t, s in enumerate(drawn)}).values())
+    names = ["trial", "depth", "rate", "subsample", "min_rows", "rounds"]
+    return scores(both, names).select(*names, "auc", "ap")
 
 
 def partial_dependence(
@@ -294,6 +401,49 @@ def final_model(
     return model, fit_calibration(predict(model, val, features), label)
 
 
+Deployed = dict[tuple[str, int], tuple[PipelineModel, IsotonicRegressionModel]]
+
+
+def final_models(
+    panel: DataFrame, models: dict[str, list[str]], labels: dict[int, str], data_end: int, settings: Settings = Settings()
+) -> Deployed:
+    """A deployable model for each (model, horizon): ``models`` names the features, ``labels`` the label of each horizon."""
+    tasks = {
+        (name, h): lambda fs=fs, label=label, h=h: final_model(panel, fs, label, data_end, h, settings)
+        for name, fs in models.items() for h, label in labels.items()
+    }
+    return side_by_side(tasks)
+
+
+def save_models(fitted: Deployed, path: str) -> None:
+    """Write every model and its calibration below ``path``, one folder per (model, horizon)."""
+    for (name, horizon), (model, iso) in fitted.items():
+        model.write().save(f"{path}/{name}/h{horizon}/trees")
+        iso.write().save(f"{path}/{name}/h{horizon}/calibration")
+
+
+def load_models(path: str, keys: list[tuple[str, int]]) -> Deployed:
+    return {
+        (name, h): (PipelineModel.load(f"{path}/{name}/h{h}/trees"), IsotonicRegressionModel.load(f"{path}/{name}/h{h}/calibration")) for name, h in keys
+    }
+
+
+def score_models(rows: DataFrame, fitted: Deployed, models: dict[str, list[str]], keys: list[str]) -> DataFrame:
+    """Raw and calibrated probability of every row under every model: keys, model, horizon, y_prob, y_prob_calibrated.
+
+    The rows are scored model after model within one pass; no join brings the scores together.
+    """
+    inputs = sorted({f for name, _ in fitted for f in models[name]})
+    wide, found = rows.select(*keys, *[f for f in inputs if f not in keys]), []
+    for (name, horizon), (model, iso) in fitted.items():
+        given = wide.columns
+        tag = f"{name}_{horizon}"
+        scored = calibrated(iso, predict(model, wide, models[name])).withColumn(f"__{tag}", F.struct("y_prob", "y_prob_calibrated"))
+        wide = scored.select(*given, f"__{tag}")
+        found.append(F.struct(F.lit(name).alias("model"), F.lit(horizon).alias("horizon"), F.col(f"__{tag}.y_prob"), F.col(f"__{tag}.y_prob_calibrated")))
+    return wide.select(*keys, F.explode(F.array(*found)).alias("s")).select(*keys, "s.*")
+
+
 def linear_attributions(df: DataFrame, keys: list[str], coefficients: dict[str, float]) -> DataFrame:
     """Exact attributions of a linear log-odds model: coefficient times distance from the mean, long."""
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in coefficients])).scalar()
@@ -309,10 +459,8 @@ def tree_paths(model: PipelineModel, spark) -> list[tuple[float, list[tuple[int,
 
     Read from the model's saved node table, whose size is bounded by rounds and depth.
     """
-    path = fresh_path(spark, "model")
     gbt = model.stages[-1]
-    gbt.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    nodes = node_table(gbt, spark)
     weights = gbt.treeWeights
     by_tree: dict[int, dict[int, object]] = {}
     for n in nodes:
@@ -342,9 +490,6 @@ def tree_attributions(model: PipelineModel, df: DataFrame, features: list[str],
     (the share of training rows that go that way). Averaging over all orders of the path's inputs needs only the
     elementary symmetric sums of these factors. The boosted margin counts twice in the log-odds.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = df.sparkSession
     leaves = spark.sparkContext.broadcast(tree_paths(model, spark))
     n_features = len(features)
