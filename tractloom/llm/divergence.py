@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their use of terms.
 
-Strings are materialised late. Tasks count the terms of their texts and write them beside 64-bit digests; every shuffle of
-counts then moves digests alone. The strings of kept digests are read once for their minimum and maximum: where these differ,
+Strings are materialised late. A first pass counts documents per digest; a second one counts the terms of frequent digests per
+source and writes them beside their strings. Every shuffle of counts moves digests alone. The strings of kept digests are read once for their minimum and maximum: where these differ,
 two terms share a digest, and only such digests are counted again by string. Strings come back for the reported terms only.
 
 Summed differences of all pairs of sources come from tiles: blocks of terms by blocks of sources. A tile sums its terms for all
@@ -68,15 +68,18 @@ def _count(languages: np.ndarray, groups: np.ndarray, texts: pa.Array, bits: int
     return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["l", "g", "d", "term", "n", "docs"])
 
 
-def _counter(bits: int, gathered: int):
+def _counter(bits: int, gathered: int, by_source: bool = True):
+    """Counts of all terms of a task's texts by source, with their strings, or by language without."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
         def flush():
             whole = pa.Table.from_batches(held)
-            l, g = (whole.column(c).to_numpy() for c in ("l", "g"))
-            return _count(l, g, pc.cast(whole.column("text"), pa.large_string()).combine_chunks(), bits)
+            l, g = (whole.column(c).to_numpy() for c in ("l", "g" if by_source else "l"))
+            found = _count(l, g, pc.cast(whole.column("text"), pa.large_string()).combine_chunks(), bits)
+            return found if by_source else found.select(["l", "d", "docs"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -128,7 +131,9 @@ def kept_terms(texts: DataFrame, least_docs: int, bits: int = 63, gathered: int
 
     A task counts about `gathered` bytes of text together.
     """
-    counted = stored(texts.mapInArrow(_counter(bits, gathered), COUNTED), "divergence-terms")
+    seen = texts.mapInArrow(_counter(bits, gathered, by_source=False), "l long, d long, docs long")
+    frequent = stored(seen.groupBy("l", "d").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("l", "d"), "divergence-frequent")
+    counted = stored(texts.mapInArrow(_counter(bits, gathered), COUNTED).join(frequent, ["l", "d"], "left_semi"), "divergence-terms")
     plain = stored(_kept(counted, ["d"], least_docs), "divergence-kept")
     spelled = counted.select("d", "term").join(plain.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.min("term").alias("term"), F.max("term").alias("last"))
     names = stored(spelled, "divergence-names")
