@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tractloom.operators import evaluation as E
+from tractloom.operators import orderstats
 from tractloom.operators.orderstats import percentile_rank, quantiles, ranked_values
 
 
@@ -88,3 +89,26 @@ def test_unsupported_horizon():
     with pytest.raises(ValueError):
         E.build_folds(2)
     assert E.build_folds(3)[-1] == ("F8", 2009, 2019, 2020, 2021, 2021)
+
+
+def test_narrow_band_is_cut_by_count(spark):
+    """A million distinct values within one millionth of each other, next to a few far away: no range above one per cent."""
+    rows = spark.range(0, 1_000_000, 1, 8).select(F.lit("g").alias("g"), (F.lit(1000.0) + F.col("id") * 1e-9).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("g", -1e300), ("g", 0.0), ("g", 1e300), ("h", 5.0), ("h", float("nan")), (None, 1.0)], "g string, v double"))
+    ranges = orderstats.value_ranges(rows, ["g"], "v", limit=10_000)
+    sizes = ranges.groupBy("g", "__c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    assert sizes.agg(F.max("n")).first()[0] <= 10_000
+    order = [(r["lo"], r["hi"]) for r in sizes.where("g = 'g'").orderBy("__c").collect()]
+    assert all(a[1] < b[0] for a, b in zip(order, order[1:]))
+    ranked = orderstats.ranked_values(rows, ["g"], "v", limit=10_000)
+    wrong = ranked.where("g = 'g' and abs(v) < 1e9 and v > 0").where("n_before <> 2 + cast(round((v - 1000.0) * 1e9) as long) or n_total <> 1000003")
+    assert wrong.isEmpty()
+    assert {(r["g"], r["n_before"], r["n_total"]) for r in ranked.where("g is null or g = 'h'").collect()} == {("h", 0, 2), ("h", 1, 2), (None, 0, 1)}
+
+
+def test_crowded_slivers_are_cut_again(spark):
+    """Values that crowd towards one point need several rounds."""
+    rows = spark.createDataFrame([(float(2.0 ** -(i / 40)),) for i in range(1200)] + [(float(3 + 2.0**-i),) for i in range(40)], "v double")
+    ranked = orderstats.ranked_values(rows, [], "v", limit=7).orderBy("v").collect()
+    assert [r["n_before"] for r in ranked] == list(range(len(ranked)))
+    assert orderstats.value_ranges(rows.distinct(), [], "v", limit=7).groupBy("__c").count().agg(F.max("count")).first()[0] <= 7

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tractloom.operators import peers, spatial
 
@@ -83,3 +84,41 @@ def test_knn_peers_against_brute_force(spark):
         for i, row in z.iterrows():
             d = sorted(((z[pool & (part["id"] != part.loc[i, "id"])] - row) ** 2).sum(axis=1))[:3]
             assert [x for _, x in sorted(got[part.loc[i, "id"]])] == pytest.approx(d, abs=1e-9)
+
+
+def test_peers_in_one_crowded_block(spark):
+    """20,000 members in one block, a third of them at one point: exact peers, and few members opened per row."""
+    import numpy as np
+
+    from tractloom.session import stored
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(13_000, 3)), np.full((7_000, 3), 0.25)])
+    df = spark.createDataFrame([(i, "only", 100.0, *map(float, v)) for i, v in enumerate(x)], "id long, st string, score double, a double, b double, c double")
+    got = {}
+    for r in peers.knn_peers(df, "id", "st", ["a", "b", "c"], "score").collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["peer"], r["dist2"])
+    assert len(got) == 20_000
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    for i in [*range(0, 13_000, 97), *range(13_000, 13_010), 19_999]:
+        d = ((z - z[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        best = np.lexsort((np.arange(len(d)), np.round(d, 12)))[:3]
+        assert [got[i][n + 1][0] for n in range(3)] == best.tolist()
+    points = stored(df.select("id", "st", F.array(*[F.col(c) for c in "abc"]).alias("z")).where("id < 13000"), "points")
+    members, depth = peers.cut_by_count(points, "st", 3, 64)
+    sizes = members.groupBy("cell").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 64 and sizes[1] <= 13_000 / 4
+    assert depth >= peers.STEP  # deeper than one step
+    opened = peers.opened_cells(points, members, "id", "st", 3, depth, 3)
+    per_row = opened.select(F.aggregate("m", F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n")).agg(F.avg("n"), F.max("n")).first()
+    assert per_row[0] <= 0.1 * 13_000  # before the distances of the first opened cell tighten the bound
+
+
+def test_peers_of_a_deep_tree(spark):
+    """Cells of at most four members need several steps down the tree."""
+    rng = random.Random(9)
+    rows = [(i, f"s{i % 2}", float(rng.randrange(60, 100)), rng.gauss(0, 1), rng.choice([0.0, 1.0, None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, st string, score double, a double, b double")
+    shallow, deep = ({tuple(r) for r in peers.knn_peers(df, "id", "st", ["a", "b"], "score", leaf=n).collect()} for n in (10_000, 4))
+    assert shallow == deep and len(deep) == 4500

@@ -2,12 +2,10 @@
 
 Ranks, AUC, average precision and quantiles all need "how much lies before this value". A window over the whole group
 would sort it in one task. Instead equal values are merged first (with map-side combine, so a value held by a third of
-all rows is one row), and the distinct values are laid out in value ranges: coarse ranges split into fine ranges.
-Running totals are taken over the few thousand coarse ranges of a group, then over the at most ``SPLIT`` fine ranges
-of one coarse range, and only the values inside one fine range are ordered.
-
-A value's ranges depend on nothing but the value, so all branches below start from one identical shuffle of the merged
-values, which Spark computes once and reuses.
+all rows is one row), and the distinct values are laid out in value ranges by magnitude. The ranges are counted; one that
+holds too many distinct values is cut between its own smallest and largest value into twice as many parts as it needs,
+and counted again, until none is too large. So a narrow band that holds all values is cut as finely as a wide one.
+Running totals are taken over the ranges of a group, and only the values inside one range are ordered.
 """
 
 from __future__ import annotations
@@ -17,7 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 SPLIT = 1024
+#: Distinct values that one range may hold.
+LIMIT = 16_384
 
 
 def _position(value: Column, unit_interval: bool) -> Column:
@@ -40,8 +42,30 @@ def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def value_ranges(merged: DataFrame, by: list[str], value: str, unit_interval: bool = False, limit: int = LIMIT) -> DataFrame:
+    """Distinct values with ``__c``, the path of their range: ordered like the values, at most ``limit`` values to a range.
+
+    Each round counts the ranges and cuts the crowded ones between their own bounds, so a round leaves a crowded range only
+    where most of its values crowd again in a sliver of it. Values that are equal as doubles cannot be told apart and stay
+    together. NaN lies above all numbers.
+    """
+    v = F.col(value).cast("double")
+    edge = F.lit(1 << 40)
+    at = F.when(F.isnan(v), edge + 1).otherwise(F.least(F.greatest(F.floor(_position(v, unit_interval)), -edge), edge))
+    cut = merged.withColumn("__c", F.array(at.cast("long")))
+    while True:
+        counted = cut.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__n"), F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+        crowded = stored(counted.where((F.col("__n") > limit) & (F.col("__hi") > F.col("__lo")) & ~F.isnan("__hi")), "crowded-ranges")
+        if crowded.isEmpty():
+            return cut
+        parts = F.least(F.ceil(F.col("__n") / limit) * 2, F.lit(1 << 16))
+        part = F.least(F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * parts), parts - 1).cast("long")
+        path = F.when(F.col("__n").isNotNull(), F.concat("__c", F.array(part))).otherwise(F.col("__c"))
+        cut = stored(_match(cut, crowded, [*by, "__c"], "left").withColumn("__c", path).drop("__n", "__lo", "__hi"), "ranges")
+
+
 def ranked_values(
-    df: DataFrame, by: list[str], value: str, sums: list[str] | None = None, unit_interval: bool = False
+    df: DataFrame, by: list[str], value: str, sums: list[str] | None = None, unit_interval: bool = False, limit: int = LIMIT
 ) -> DataFrame:
     """One row per distinct (by, value) with counts at, before and overall.
 
@@ -49,37 +73,27 @@ def ranked_values(
     NULL values take no rank and are left out. Set ``unit_interval`` for values known to lie in [0, 1].
     """
     measures = ["n", *(sums or [])]
-    merged = (
+    merged = stored(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in measures[1:]])
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in measures[1:]]),
+        "distinct-values",
     )
-    at = _position(F.col(value).cast("double"), unit_interval)
-    coarse, fine = [*by, "__c1"], [*by, "__c1", "__c2"]
-    placed = merged.withColumn("__c1", F.floor(at)).withColumn("__c2", F.floor(at * SPLIT))
-
-    fine_cells = placed.groupBy(*fine).agg(*[F.sum(m).alias(m) for m in measures])
-    coarse_cells = fine_cells.groupBy(*coarse).agg(*[F.sum(m).alias(m) for m in measures])
+    placed = value_ranges(merged, by, value, unit_interval, limit)
+    cell = [*by, "__c"]
+    cells = placed.groupBy(*cell).agg(*[F.sum(m).alias(m) for m in measures])
 
     def before(m: str, within: list[str], order: str) -> Column:
         frame = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(m).over(frame), F.lit(0))
 
     group = Window.partitionBy(*by)
-    coarse_offsets = coarse_cells.select(
-        *coarse,
-        *[before(m, by, "__c1").alias(f"__{m}1") for m in measures],
-        *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
-    )
-    fine_offsets = _match(
-        fine_cells.select(*fine, *[before(m, coarse, "__c2").alias(f"__{m}2") for m in measures]), coarse_offsets, coarse
-    ).select(
-        *fine, *[(F.col(f"__{m}1") + F.col(f"__{m}2")).alias(f"__{m}0") for m in measures],
-        *[f"{m}_total" for m in measures],
+    offsets = cells.select(
+        *cell, *[before(m, by, "__c").alias(f"__{m}0") for m in measures], *[F.sum(m).over(group).alias(f"{m}_total") for m in measures]
     )
-    return _match(placed, fine_offsets, fine).select(
+    return _match(placed, offsets, cell).select(
         *by, value, *measures,
-        *[(F.col(f"__{m}0") + before(m, fine, value)).alias(f"{m}_before") for m in measures],
+        *[(F.col(f"__{m}0") + before(m, cell, value)).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],
     )
 
