@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tractloom.operators import learning
+from tractloom.operators import learning, serving
 from tractloom.sources import disclosure, drift, roster, sinks, tables
 
 
@@ -131,6 +131,28 @@ def test_geojson_attributes(spark):
     assert len(got) == 1 and json.loads(got[0]["value"])["properties"] == {"tract": "01", "risk": 0.5}
 
 
+def test_geometries_of_any_depth(spark):
+    """Several parts, holes, lines, heights and collections keep their coordinates and have a box."""
+    shapes = {
+        "1": {"type": "MultiPolygon", "coordinates": [[[[0.125, 1], [4, 1], [4, 5], [0.125, 1]], [[1, 2], [2, 2], [2, 3], [1, 2]]], [[[-10.5, 7], [-9, 7], [-9, 8e0], [-10.5, 7]]]]},
+        "2": {"type": "LineString", "coordinates": [[1e-7, 2, 300.0], [3, -4, 500.0]]},
+        "3": {"type": "Point", "coordinates": [5.25, 6]},
+        "4": {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 2]}, {"type": "LineString", "coordinates": [[3, 4], [0, 9]]}]},
+        "5": {"type": "Polygon", "coordinates": []},
+    }
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": g, "properties": {"GEOID": k, "n": 1}} for k, g in shapes.items()]})
+    one = json.dumps({"type": "Feature", "geometry": None, "properties": {"GEOID": "6"}})
+    given = spark.createDataFrame([(text,), (one,), ("not json",)], "value string")
+    attributes = spark.createDataFrame([(i, i / 2) for i in range(1, 7)], "tract int, risk double")
+    out = sinks.attach_properties(given, attributes, "tract", "GEOID")
+    got = {r["tract"]: json.loads(r["value"]) for r in out.collect()}
+    assert {str(k): v.get("geometry") for k, v in got.items()} == shapes | {"6": None}
+    assert got[1]["properties"] == {"tract": 1, "risk": 0.5}
+    boxes = sinks.parsed_features(out).select(F.element_at("f.properties", "tract").alias("k"), serving.geometry_bounds("f.geometry").alias("b")).collect()
+    assert {r["k"]: r["b"] and tuple(r["b"]) for r in boxes} == {
+        "1": (-10.5, 1.0, 4.0, 8.0), "2": (1e-7, -4.0, 3.0, 2.0), "3": (5.25, 6.0, 5.25, 6.0), "4": (0.0, 2.0, 3.0, 9.0), "5": None, "6": None}
+
+
 def test_feature_lists(spark):
     df = spark.createDataFrame([(1, 2.0, "x", 3)], "a int, b double, c string, leak int")
     assert learning.usable_features(df, ["b", "c", "a", "leak", "gone"], {"leak"}) == ["b", "a"]
@@ -142,5 +164,5 @@ def test_leaks_never_reach_features(spark):
 
     leaks = ["tract_fips", "target_becomes_any_desert_h6", "is_any_desert", "n_cra_lenders", "cra_lender_presence_ratio_1yr",
              "fdic_branch_count", "fdic_total_branch_deposits_k_pctchg3yr", "becomes_is_service_desert_h3", "service_desert_score"]
-    kept = ["fdic_deposit_hhi", "fdic_top_bank_share_chg1yr", "cra_county_count_hhi", "pct_poverty", *INFLUENCEABLE]
+    kept = ["fdic_deposit_hhi", "fdic_bank_count_pctchg3yr", "cra_lender_churn_2yr", "fdic_top_bank_share_chg1yr", "cra_county_count_hhi", "pct_poverty", *INFLUENCEABLE]
     assert all(map(leaks_label, leaks)) and not any(map(leaks_label, kept))

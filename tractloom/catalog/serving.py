@@ -11,8 +11,10 @@ from ..operators import orderstats, scenario, serving
 from ..operators.concentration import top_k_rows
 from ..plans.domain import Domain
 from ..session import stored
+from ..sources.sinks import parsed_features
 from .evaluation import _auc_sql
 from .registry import query, rounded
+from .sources import place_features
 
 MODELS = ["m1_h3", "m1_h6", "m2_h3", "m2_h6"]
 NUMERIC = ["n_lenders", "n_loans", "amount_k", "n_small", "is_rural", "population"]
@@ -216,14 +218,12 @@ def _(d: Domain):
     return rounded(serving.normalized_gain(_importance(d)))
 
 
-@query("a30_bounding_boxes", """SELECT county_fips, min(lon) AS min_lon, min(lat) AS min_lat, max(lon) + 0.25 AS max_lon, max(lat) + 0.5 AS max_lat FROM d_places GROUP BY 1""")
+@query("a30_bounding_boxes", """
+    SELECT county_fips, round(min(lon), 6) AS min_lon, round(min(lat), 6) AS min_lat, round(max(lon + CASE tract_fips % 3 WHEN 0 THEN 2.5 ELSE 1 END), 6) AS max_lon, round(max(lat + 1), 6) AS max_lat
+    FROM d_places GROUP BY 1""")
 def _(d: Domain):
-    def pt(dx: float, dy: float):
-        return F.array(F.col("lon") + dx, F.col("lat") + dy)
-
-    ring = F.array(pt(0, 0), pt(0.25, 0), pt(0.25, 0.5), pt(0, 0.5), pt(0, 0))
-    boxes = d.places().select("county_fips", serving.ring_bounds(F.array(ring)).alias("box"))
-    return serving.merged_bounds(boxes, ["county_fips"])
+    features = parsed_features(place_features(d)).select(F.element_at("f.properties", "GEOID").cast("long").alias("tract_fips"), serving.geometry_bounds("f.geometry").alias("box"))
+    return rounded(serving.merged_bounds(features.join(d.places().select("tract_fips", "county_fips"), "tract_fips"), ["county_fips"]))
 
 
 # ---------------------------------------------------------------- sorts and top-k

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import pad_left
-from ..operators import rollups
+from ..operators import rollups, serving
 from ..plans.dashboard import county_documents
 from ..plans.domain import Domain
 from ..session import fresh_path
@@ -234,6 +236,13 @@ def _(d: Domain):
     return d.spark.read.parquet(a).select(*order, F.lit("parquet").alias("kind")).unionByName(back.select(*order, F.lit("csv").alias("kind")))
 
 
+@query("s19_head_sink", "SELECT tract_fips, year, n_lenders, n_loans FROM d_panel ORDER BY tract_fips, year LIMIT 50")
+def _(d: Domain):
+    path = fresh_path(d.spark, "head")
+    sinks.write_head(d.panel().select("tract_fips", "year", "n_lenders", "n_loans").orderBy("tract_fips", "year"), path)
+    return d.spark.read.schema("tract_fips long, year int, n_lenders long, n_loans long").option("header", "true").csv(path)
+
+
 @query("s20_county_documents")
 def _(d: Domain):
     path = fresh_path(d.spark, "documents")
@@ -263,12 +272,35 @@ def _(d: Domain):
         at("$.properties.deposits").cast("double").alias("deposits"))
 
 
-@query("s23_feature_attributes", "SELECT tract_fips, n_lenders, lon AS first_lon FROM d_features JOIN d_places USING (tract_fips)")
+def place_features(d: Domain):
+    """A GeoJSON collection per place: every third one has several parts, one with a hole, every third a line, the rest one ring."""
+    def ring(dx: float, size: float):
+        return "[" + ", ".join(f"[{{lon+{dx + x}}}, {{lat+{y}}}]" for x, y in [(0, 0), (size, 0), (size, size), (0, 0)]) + "]"
+
+    def filled(template: str):
+        parts = re.split(r"\{(lon|lat)\+([0-9.]+)\}", template)
+        texts = [F.lit(parts[0])]
+        for name, add, rest in zip(parts[1::3], parts[2::3], parts[3::3], strict=True):
+            texts += [(F.col(name) + float(add)).cast("string"), F.lit(rest)]
+        return F.concat(*texts)
+
+    several = filled(f'{{"type": "MultiPolygon", "coordinates": [[{ring(0, 1)}, {ring(0.25, 0.5)}], [{ring(2, 0.5)}]]}}')
+    line = filled('{"type": "LineString", "coordinates": [[{lon+0}, {lat+0}], [{lon+1}, {lat+1}]]}')
+    single = filled(f'{{"type": "Polygon", "coordinates": [{ring(0, 1)}]}}')
+    kind = F.col("tract_fips") % 3
+    geometry = F.when(kind == 0, several).when(kind == 1, line).otherwise(single)
+    feature = F.concat(F.lit('{"type": "Feature", "properties": {"GEOID": "'), F.col("tract_fips").cast("string"), F.lit('"}, "geometry": '), geometry, F.lit("}"))
+    return d.places().select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), feature, F.lit("]}")).alias("value"))
+
+
+@query("s23_feature_attributes", """
+    SELECT tract_fips, n_lenders, CASE tract_fips % 3 WHEN 0 THEN 'MultiPolygon' WHEN 1 THEN 'LineString' ELSE 'Polygon' END AS kind,
+      CASE tract_fips % 3 WHEN 0 THEN 12 WHEN 1 THEN 2 ELSE 4 END::BIGINT AS n_positions, round(lon + CASE tract_fips % 3 WHEN 0 THEN 2.5 ELSE 1 END, 6) AS max_lon
+    FROM d_features JOIN d_places USING (tract_fips)""")
 def _(d: Domain):
-    point = F.array("lon", "lat")
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(F.array(point)).alias("coordinates")).alias("geometry"),
-                       F.struct(F.col("tract_fips").cast("string").alias("GEOID")).alias("properties"))
-    collections = d.places().select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value"))
-    out = sinks.attach_properties(collections, d.features().select("tract_fips", "n_lenders"), "tract_fips", "GEOID")
-    return out.select("tract_fips", F.get_json_object("value", "$.properties.n_lenders").cast("long").alias("n_lenders"),
-                      F.get_json_object("value", "$.geometry.coordinates[0][0][0]").cast("double").alias("first_lon"))
+    out = sinks.attach_properties(place_features(d), d.features().select("tract_fips", "n_lenders"), "tract_fips", "GEOID")
+    geometry = sinks.parsed_features(out).select(
+        F.element_at("f.properties", "tract_fips").cast("long").alias("tract_fips"), F.element_at("f.properties", "n_lenders").cast("long").alias("n_lenders"), "f.geometry")
+    positions = F.regexp_count(F.variant_get("geometry", "$.coordinates", "string"), F.lit(r"\[-?\d"))
+    return rounded(geometry.select("tract_fips", "n_lenders", F.variant_get("geometry", "$.type", "string").alias("kind"), positions.cast("long").alias("n_positions"),
+                                   serving.geometry_bounds("geometry")["max_lon"].alias("max_lon")))

@@ -15,20 +15,31 @@ INFLUENCEABLE = [
     "ssbci_active", "ssbci_2_0_active", "ssbci_program_count", "ssbci_n_capital_programs",
 ]
 
-# Column families that identify rows, define the label, or restate the lender count behind it.
-LEAKS = [
-    r"(tract|county|state)_fips", r"peer_group", r"vintage", r"acs_vintage_used",
-    r"target_.*", r"(state|becomes)_is_.*_h\d", r"is_(service|origination|any)_desert",
-    r"(service|origination)_desert_(score|threshold)", r"service_peer_median", r"originations_per_1k",
-    r"n_cra_lenders", r"cra_lender_(entries|exits|churn|presence_ratio)_\dyr",
-    r"cra_county_(lender_count|total_loan_count|total_loan_amount_k)",
-    r"fdic_(bank_count|branch_count|total_branch_deposits_k|avg_branch_deposits_k)(_(pct)?chg\dyr)?",
+# Columns that identify rows, define the label, or restate the lender count behind it.
+EXCLUDED = [
+    "tract_fips", "county_fips", "state_fips", "peer_group", "service_desert_threshold",
+    "service_peer_median", "origination_desert_threshold",
+    "originations_per_1k", "service_desert_score", "origination_desert_score",
+    "is_service_desert", "is_origination_desert", "is_any_desert",
+    "vintage", "acs_vintage_used",
+    "n_cra_lenders",
+    "cra_lender_entries_1yr", "cra_lender_exits_1yr", "cra_lender_churn_1yr", "cra_lender_presence_ratio_1yr",
+    "cra_lender_entries_3yr", "cra_lender_exits_3yr", "cra_lender_churn_3yr",
+    "cra_county_lender_count", "cra_county_total_loan_count", "cra_county_total_loan_amount_k",
+    "fdic_bank_count", "fdic_branch_count",
+    "fdic_bank_count_chg1yr", "fdic_bank_count_chg3yr",
+    "fdic_branch_count_chg1yr", "fdic_branch_count_chg3yr",
+    "fdic_total_branch_deposits_k",
+    "fdic_total_branch_deposits_k_chg1yr", "fdic_total_branch_deposits_k_chg3yr",
+    "fdic_total_branch_deposits_k_pctchg1yr", "fdic_total_branch_deposits_k_pctchg3yr",
+    "fdic_avg_branch_deposits_k", "fdic_avg_branch_deposits_k_chg1yr", "fdic_avg_branch_deposits_k_chg3yr",
 ]
-_LEAK = re.compile("|".join(f"(?:{p})" for p in LEAKS))
+#: Labels, whatever the horizon: columns named ``target_...``, and those that ``temporal.forward_labels`` adds.
+LABEL_NAME = re.compile(r"target_.*|(state|becomes)_is_.*_h\d+")
 
 
 def leaks_label(column: str) -> bool:
-    return _LEAK.fullmatch(column) is not None
+    return column in EXCLUDED or LABEL_NAME.fullmatch(column) is not None
 
 
 def numeric_columns(dtypes: list[tuple[str, str]]) -> list[str]:

@@ -233,6 +233,23 @@ def ring_bounds(geometry: Column | str) -> Column:
     )
 
 
+def geometry_bounds(geometry: Column | str) -> Column:
+    """Bounding box of a GeoJSON geometry (variant) of any depth, collections included; null if it has no position.
+
+    Positions are the innermost arrays, which are the only ones that open with a number. Those of a collection are found in
+    its members; a height is left out.
+    """
+    g = F.col(geometry) if isinstance(geometry, str) else geometry
+    text = F.coalesce(F.try_variant_get(g, "$.coordinates", "string"), F.try_variant_get(g, "$.geometries", "string"))
+    position = r"\[\s*(-?\d[^\[\],\s]*)\s*,\s*(-?\d[^\[\],\s]*)"
+    lon, lat = (F.regexp_extract_all(text, F.lit(position), F.lit(i)).cast("array<double>") for i in (1, 2))
+    box = F.struct(
+        F.array_min(lon).alias("min_lon"), F.array_min(lat).alias("min_lat"),
+        F.array_max(lon).alias("max_lon"), F.array_max(lat).alias("max_lat"),
+    )
+    return F.when(F.size(lon) > 0, box)
+
+
 def merged_bounds(df: DataFrame, by: list[str], box: str = "box") -> DataFrame:
     """Bounding box per area, merged from the boxes of its features."""
     return df.groupBy(*by).agg(

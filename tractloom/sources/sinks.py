@@ -52,16 +52,24 @@ def point_features(df: DataFrame, properties: list[str], amount: str | None = No
     return df.where(in_map_view("lat", "lon")).select(F.to_json(feature).alias("value"))
 
 
-FEATURE_SCHEMA = "struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>"
+#: Geometries stay variants: points, lines, polygons with holes, several parts and collections keep their own depth.
+FEATURE_SCHEMA = "struct<type:string,geometry:variant,properties:map<string,string>>"
+
+
+def parsed_features(collections: DataFrame) -> DataFrame:
+    """One row per feature ``f`` (type, geometry, properties) of GeoJSON collections or single features in ``value``."""
+    whole = F.from_json("value", f"struct<type:string,features:array<{FEATURE_SCHEMA}>>")
+    single = F.from_json("value", FEATURE_SCHEMA)
+    features = F.when(whole["type"] == "Feature", F.array(single)).otherwise(whole["features"])
+    return collections.select(F.explode(features).alias("f"))
 
 
 def attach_properties(collections: DataFrame, attributes: DataFrame, key: str, feature_key: str) -> DataFrame:
     """Join attributes onto the features of GeoJSON collections; features without attributes are dropped.
 
-    ``collections`` has one GeoJSON text per row in ``value``.
+    ``collections`` has one GeoJSON text per row in ``value``. Geometries of any kind pass through as they are.
     """
-    parsed = F.from_json("value", f"struct<type:string,features:array<{FEATURE_SCHEMA}>>")
-    features = collections.select(F.explode(parsed["features"]).alias("f"))
+    features = parsed_features(collections)
     joined = features.withColumn(key, F.try_element_at("f.properties", F.lit(feature_key)).try_cast(attributes.schema[key].dataType)).join(attributes, key)
     properties = F.struct(*[F.col(c) for c in attributes.columns])
     return joined.select(key, F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("f.geometry").alias("geometry"), properties.alias("properties"))).alias("value"))
