@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their use of terms.
 
-Strings are materialised late. A first pass counts documents per digest; a second one counts the terms of frequent digests per
-source and writes them beside their strings. Every shuffle of counts moves digests alone. The strings of kept digests are read once for their minimum and maximum: where these differ,
+Strings are materialised late. Tasks count the terms of their texts by 64-bit digests, and every shuffle of counts moves digests
+alone. A second pass over the texts spells out the digests that are kept, each once per batch. The strings of kept digests are read once for their minimum and maximum: where these differ,
 two terms share a digest, and only such digests are counted again by string. Strings come back for the reported terms only.
 
 Summed differences of all pairs of sources come from tiles: blocks of terms by blocks of sources. A tile sums its terms for all
@@ -27,12 +27,9 @@ ADDED = 5
 #: Letters keep, A-Z become small, all other ASCII ends a term; bytes of other characters keep.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
-COUNTED = "l long, g long, d long, term string, n long, docs long"
-
-
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row and code of every term of a batch, and the distinct terms by code (binary)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     letters = np.frombuffer(texts.buffers()[2][offsets[0] : offsets[-1]].to_pybytes().translate(_LETTERS), np.uint8)
     offsets = offsets - offsets[0]
@@ -50,46 +47,55 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _count(languages: np.ndarray, groups: np.ndarray, texts: pa.Array, bits: int) -> pa.RecordBatch:
-    """Occurrences, and rows with the term, per group and term of a batch."""
-    rows, codes, names = _terms(texts)
+def _digests(names: pa.Array, bits: int) -> np.ndarray:
+    """Hashes of terms (binary), the same in every process."""
+    if not len(names):
+        return np.zeros(0, np.int64)
+    return (pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _strings(names: pa.Array) -> pa.Array:
+    return names.cast(pa.large_string(), safe=False).cast(pa.string())
+
+
+def _count(batch: pa.Table, bits: int) -> pa.RecordBatch:
+    """Occurrences, and rows with the term, per group and term of a batch: l, g, d, n, docs, term."""
+    languages, groups = (batch.column(c).to_numpy() for c in ("l", "g"))
+    rows, codes, names = _terms(batch.column("text").combine_chunks())
     own, at, place = np.unique(groups, return_index=True, return_inverse=True)
     width = max(1, len(names))
-    once, times = np.unique((place[rows] * width + codes) * len(texts) + rows, return_counts=True)
-    cells = once // len(texts)
+    once, times = np.unique((place[rows] * width + codes) * batch.num_rows + rows, return_counts=True)
+    cells = once // batch.num_rows
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
     n = np.add.reduceat(times, starts) if len(starts) else np.zeros(0, np.int64)
     docs = np.diff(np.append(starts, len(cells)))
     group, code = cells[starts] // width, cells[starts] % width
-    digest = pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False) if len(names) else np.zeros(0, np.uint64)
-    digest = (digest >> np.uint64(64 - bits)).astype(np.int64)
-    term = names.take(pa.array(code)).cast(pa.large_string(), safe=False).cast(pa.string())
-    columns = [pa.array(languages[at][group], pa.int64()), pa.array(own[group], pa.int64()), pa.array(digest[code], pa.int64()), term]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["l", "g", "d", "term", "n", "docs"])
+    columns = {"l": languages[at][group], "g": own[group], "d": _digests(names, bits)[code], "n": n, "docs": docs}
+    found = {c: pa.array(v, pa.int64()) for c, v in columns.items()} | {"term": _strings(names.take(pa.array(code)))}
+    return pa.RecordBatch.from_pydict(found)
 
 
-def _counter(bits: int, gathered: int, by_source: bool = True):
-    """Counts of all terms of a task's texts by source, with their strings, or by language without."""
+def _spell(batch: pa.Table, bits: int) -> pa.RecordBatch:
+    """The distinct terms of a batch: d, term."""
+    _, _, names = _terms(batch.column("text").combine_chunks())
+    return pa.RecordBatch.from_pydict({"d": pa.array(_digests(names, bits), pa.int64()), "term": _strings(names)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
 
-        def flush():
-            whole = pa.Table.from_batches(held)
-            l, g = (whole.column(c).to_numpy() for c in ("l", "g" if by_source else "l"))
-            found = _count(l, g, pc.cast(whole.column("text"), pa.large_string()).combine_chunks(), bits)
-            return found if by_source else found.select(["l", "d", "docs"])
+def _gathered(work, columns: list[str], size: int):
+    """Runs `work` on batches of about `size` bytes of text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        bytes_held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 held.append(batch.slice(at, 256))
-                size += held[-1].column("text").nbytes
-                if size >= gathered:
-                    yield flush()
-                    held, size = [], 0
+                bytes_held += held[-1].column("text").nbytes
+                if bytes_held >= size:
+                    yield work(pa.Table.from_batches(held)).select(columns)
+                    held, bytes_held = [], 0
         if held:
-            yield flush()
+            yield work(pa.Table.from_batches(held)).select(columns)
 
     return run
 
@@ -131,18 +137,21 @@ def kept_terms(texts: DataFrame, least_docs: int, bits: int = 63, gathered: int
 
     A task counts about `gathered` bytes of text together.
     """
-    seen = texts.mapInArrow(_counter(bits, gathered, by_source=False), "l long, d long, docs long")
-    frequent = stored(seen.groupBy("l", "d").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("l", "d"), "divergence-frequent")
-    counted = stored(texts.mapInArrow(_counter(bits, gathered), COUNTED).join(frequent, ["l", "d"], "left_semi"), "divergence-terms")
-    plain = stored(_kept(counted, ["d"], least_docs), "divergence-kept")
-    spelled = counted.select("d", "term").join(plain.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.min("term").alias("term"), F.max("term").alias("last"))
-    names = stored(spelled, "divergence-names")
+    def counted(names: list[str], schema: str) -> DataFrame:
+        return texts.mapInArrow(_gathered(lambda batch: _count(batch, bits), names, gathered), schema)
+
+    plain = stored(_kept(counted(["l", "g", "d", "n", "docs"], "l long, g long, d long, n long, docs long"), ["d"], least_docs), "divergence-kept")
+    spelled = texts.mapInArrow(_gathered(lambda batch: _spell(batch, bits), ["d", "term"], gathered), "d long, term string")
+    # Distinct strings first: nearly always one per digest is left to take the minimum and maximum of.
+    distinct = spelled.join(plain.select("d").distinct(), "d", "left_semi").distinct()
+    names = stored(distinct.groupBy("d").agg(F.min("term").alias("term"), F.max("term").alias("last")), "divergence-names")
     shared = names.filter("term <> last").select("d")
     zero = F.lit("")
     if shared.isEmpty():
         return plain.withColumn("part", zero), names.select("d", zero.alias("part"), "term")
     shared = stored(shared, "divergence-shared")
-    apart = _kept(counted.join(shared, "d", "left_semi"), ["d", "term"], least_docs).withColumnRenamed("term", "part")
+    again = counted(["l", "g", "d", "n", "docs", "term"], "l long, g long, d long, n long, docs long, term string").join(shared, "d", "left_semi")
+    apart = _kept(again, ["d", "term"], least_docs).withColumnRenamed("term", "part")
     counts = plain.join(shared, "d", "left_anti").withColumn("part", zero).unionByName(apart)
     told = apart.select("d", "part").distinct().withColumn("term", F.col("part"))
     return stored(counts, "divergence-kept"), names.join(shared, "d", "left_anti").select("d", zero.alias("part"), "term").unionByName(told)
