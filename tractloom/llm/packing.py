@@ -24,17 +24,22 @@ from .common import quoted, ranges
 MERGED = 16
 
 
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
+
+
 class WordTokens:
-    """Token ids of texts, each distinct blank-separated chunk encoded once per task.
+    """Token ids of texts; chunks between blanks that come again are encoded once.
 
-    The tokenizer must drop white space and never join across it. The first `limit` chunks are kept, which
-    the frequent ones are among; later ones are forgotten after their batch.
+    The tokenizer must drop white space and never join across it. A chunk is kept from its second sight on, as most chunks of a
+    corpus come once; a bit per hash value remembers the first. `limit` bounds the bytes of what is kept.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.seen = np.zeros(1 << 22, bool)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
@@ -44,6 +49,7 @@ class WordTokens:
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.bytes = 0
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks. Plain words go many to a text: each ends in exactly one end-of-word token, or is taken alone."""
@@ -72,6 +78,25 @@ class WordTokens:
         self.used += len(flat)
         self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
 
+    def _keep(self, new: list[str], used: int) -> None:
+        """Of the batch's new chunks, keep those seen before; the others only leave their bit."""
+        hashes = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.seen) - 1)
+        again = self.seen[hashes]
+        self.seen[hashes] = True
+        if self.bytes > self.limit:
+            again[:] = False
+        kept = np.array([self.known[new[i]] for i in np.flatnonzero(again)], np.int64)
+        names = [new[i] for i in np.flatnonzero(again)]
+        for x in new:
+            del self.known[x]
+        flat, sizes = self.ids[ranges(self.at[kept], self.length[kept])], self.length[kept]
+        first = len(self.known)
+        self.ids[used : used + len(flat)] = flat
+        self.at[first : first + len(kept)], self.length[first : first + len(kept)] = used + np.cumsum(sizes) - sizes, sizes
+        self.used = used + len(flat)
+        self.known.update(zip(names, range(first, first + len(names)), strict=True))
+        self.bytes += 4 * len(flat) + sum(map(len, names)) + 160 * len(names)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the row offsets in them."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
@@ -94,14 +119,33 @@ class WordTokens:
         sizes = np.where(both >= 0, self.length[both], 0)
         both = np.where(both >= 0, both, 0)
         ids = self.ids[ranges(self.at[both], sizes)]
-        if len(self.known) > self.limit:
-            for x in new:
-                del self.known[x]
-            self.used = used
+        if new:
+            self._keep(new, used)
         offsets = 2 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
         return ids, np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
 
+#: One set of known words per worker process, kept from task to task.
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE bytes of text, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right"))
+        stop = min(max(stop, at + 1), batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class Packer:
     """Pieces are (id, start, doc_tokens, ids); a window is a list of pieces. Finished windows gather in `done`."""
 
@@ -206,10 +250,9 @@ def pack(
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, packer, part, sequence = WordTokens(tokenizer), Packer(size, windows, cut_gap), TaskContext.get().partitionId(), 0
+        tokens, packer, part, sequence = word_tokens(tokenizer), Packer(size, windows, cut_gap), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for b in _slices(whole):
                 ids, offsets = tokens.encode(b.column("text"))
                 for row, doc in enumerate(b.column("id").to_pylist()):
                     own = np.append(ids[offsets[row] : offsets[row + 1]], np.uint32(end_id)).astype("<u4", copy=False)
