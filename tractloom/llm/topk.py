@@ -36,7 +36,7 @@ def top_k(
     """The k best vectors of each query by the inner product of floor(scale * component): query_id, rank, vec_id, score.
 
     is_query: a condition on the id. A query does not meet its own id. Vectors that are null, hold a null or non-finite
-    component, or have a null id take no part; vectors of another length do not meet. Equal scores rank by id, and rows that
+    component, or have a null id take no part; vectors of another length do not meet, empty ones score 0 with each other. Equal scores rank by id, and rows that
     repeat an id are one candidate each. Fewer candidates than k: all are returned. Scores beyond a long stop at its ends.
     """
     spark = vectors.sparkSession
@@ -61,6 +61,8 @@ def top_k(
 
 
 def _matrix(column, dim: int) -> np.ndarray:
+    if dim == 0:  # empty vectors meet each other, with product 0
+        return np.zeros((len(column), 0))
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
