@@ -19,7 +19,7 @@ def review():
     Real is a mixed value beside a credential name, or one with a known prefix. False are words, numbers and repeated signs
     that no credential name stands beside.
     """
-    named = F.concat_ws(" ", "before2", "before", F.expr("substring_index(word, candidate, 1)")).rlike(BESIDE) | F.col("candidate").rlike(INSIDE)
+    named = F.concat_ws(" ", "before2", "before", "left").rlike(BESIDE) | F.col("candidate").rlike(INSIDE)
     value = F.regexp_replace("candidate", INSIDE, "")
     kinds = F.size(F.array_distinct(F.split(value, "")))
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 12) & (kinds >= 8)

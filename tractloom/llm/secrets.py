@@ -24,18 +24,33 @@ BLANK = r"[\x20\x09-\x0D]+"
 NAMES = "key|token|secret|passw|pwd|auth|cred|api"
 TESTS = "test|mock|fixture|example|sample|demo|doc"
 BUCKETS = 24
+#: Characters kept on each side of a run.
+NEAR = 64
 
 
 def findings(docs: DataFrame, text_column: str = "text", path_column: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """All candidate runs: row, path, word_at (from 0), run_at (from 0 in its word), candidate, word, before2, before, after."""
+    """All candidate runs: row, path, word_at (from 0), run_at (from 0 in its word), candidate, left, right, before2, before, after.
+
+    left and right are what the word holds beside the run, before2, before and after the words beside it, each at most NEAR
+    characters next to the run: a finding has a bounded size however long its word is.
+    """
     path = F.coalesce(quoted(path_column).cast("string"), F.lit("")) if path_column else F.lit("")
     said = docs.select(packed(docs, carry).alias("row"), path.alias("path"), quoted(text_column).alias("text")).filter(F.col("text").rlike(RUN))
     cut = said.select("row", "path", F.split("text", BLANK).alias("w"))
     at = lambda i: F.coalesce(F.get(F.col("w"), i), F.lit(""))
+    near = lambda c: F.right(c, F.lit(NEAR))
     places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(F.col("w"), i).rlike(RUN))
-    found = F.transform(places, lambda i: F.struct(i.alias("word_at"), at(i).alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before"), at(i + 1).alias("after")))
+    # A word as gap, run, gap, ..., run, gap; NUL cuts it, so one in the text is shown as another sign.
+    pieces = lambda word: F.split(F.regexp_replace(F.translate(word, "\x00", "\ufffd"), RUN, "\x00$0\x00"), "\x00")
+    found = F.transform(places, lambda i: F.struct(
+        i.alias("word_at"), pieces(at(i)).alias("p"), near(at(i - 2)).alias("before2"), near(at(i - 1)).alias("before"), F.left(at(i + 1), F.lit(NEAR)).alias("after")))
     each = cut.select("row", "path", F.explode(found).alias("f")).select("row", "path", "f.*")
-    return each.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1))).alias("run_at", "candidate"))
+    piece = lambda i: F.coalesce(F.get(F.col("p"), i), F.lit(""))
+    runs = F.transform(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2)), lambda i: F.struct(
+        piece(i).alias("candidate"), near(F.concat(near(F.when(i > 1, piece(i - 2)).otherwise("")), piece(i - 1))).alias("left"),
+        F.left(F.concat(piece(i + 1), F.left(piece(i + 2), F.lit(NEAR))), F.lit(NEAR)).alias("right")))
+    return each.select("row", "path", "word_at", "before2", "before", "after", F.posexplode(runs).alias("run_at", "r")).select(
+        "row", "path", "word_at", "run_at", "r.candidate", "r.left", "r.right", "before2", "before", "after")
 
 
 def dictionary(docs: DataFrame, text_column: str = "text", least: int = 3) -> DataFrame:
@@ -61,7 +76,7 @@ def featured(found: DataFrame, words: DataFrame, ratios: DataFrame) -> tuple[Dat
     runs = found.select("n", F.explode(F.filter(F.split(low, "[^a-z]+"), lambda x: F.length(x) >= 3)).alias("run"))
     covered = runs.join(words, "run").groupBy("n").agg(F.sum(F.length("run")).alias("covered"))
     steps = _pairs(found).join(ratios, "pair", "left").groupBy("n").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("f_transition"))
-    name = F.lower(F.concat_ws(" ", "before2", "before", "word"))
+    name = F.lower(F.concat_ws(" ", "before2", "before", F.concat("left", "candidate", "right")))
     columns = {
         "f_length": size,
         "f_digits": F.length(F.regexp_replace(kinds, "[^0]", "")) / size,
@@ -73,8 +88,8 @@ def featured(found: DataFrame, words: DataFrame, ratios: DataFrame) -> tuple[Dat
         "f_path_depth": F.size(F.split("path", "/")).cast("double"),
         "f_path_test": F.lower("path").rlike(TESTS).cast("double"),
         "f_named": name.rlike(NAMES).cast("double"),
-        "f_assigned": F.concat("before", F.lit(" "), F.expr("substring_index(word, candidate, 1)")).rlike("[=:]").cast("double"),
-        "f_quoted": F.col("word").rlike("[\"'`]").cast("double"),
+        "f_assigned": F.concat("before", F.lit(" "), "left").rlike("[=:]").cast("double"),
+        "f_quoted": F.concat("left", "right").rlike("[\"'`]").cast("double"),
         "f_last": (F.col("after") == "").cast("double"),
     }
     for side in ("before2", "before", "after"):
@@ -98,15 +113,15 @@ def scan_secrets(
 ) -> DataFrame:
     """Every candidate run of the texts with the forest's verdict: row, word_at, run_at, candidate, score, is_secret.
 
-    label: over the finding's columns (row, path, candidate, word, before2, before, after, ...): 1 true, 0 false, null not
+    label: over the finding's columns (row, path, candidate, left, right, before2, before, after, ...): 1 true, 0 false, null not
     labelled. The forest learns from at most max_train_rows labelled findings, first by a hash; every finding is scored. Labels
     of one class only: the score is their smoothed share. Null and empty texts have no findings; a null path is empty;
-    repeated rows are scanned each; an empty table gives no rows.
+    repeated rows are scanned each; very long words give findings of bounded size; an empty table gives no rows.
     """
     found = stored(findings(docs, text_column, path_column, carry).withColumn("label", label.cast("int")).withColumn("n", F.monotonically_increasing_id()), "secrets-found")
     words = stored(dictionary(docs, text_column), "secrets-words")
     known = stored(
-        found.filter(F.col("label").isin(0, 1)).orderBy(F.xxhash64("path", "before", "word", "after", "word_at"), "n").limit(max_train_rows).select("n", "candidate", "label"), "secrets-known"
+        found.filter(F.col("label").isin(0, 1)).orderBy(F.xxhash64("path", "before", "left", "candidate", "right", "after", "word_at"), "candidate", "left", "right", "n").limit(max_train_rows).select("n", "candidate", "label"), "secrets-known"
     )
     ratios = stored(transition_ratios(known), "secrets-ratios")
     wide, names = featured(found, words, ratios)
