@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field over candidate segments.
 
 Four patterns give the base spans, which always stay. The model reads a text as tokens; a segment is an entity of one of the
-four types, at most MAX_TOKENS tokens long (blanks and brackets not counted), or a single outside token. Whole-span
+four types, at most MAX_TOKENS tokens long (MAX_ALL with blanks and brackets, MAX_CHARS characters), or a single outside token. Whole-span
 features (shape, digit count, length, checks, the one character on each side, type) score a segment; dynamic programming over bounded
 segments chooses boundaries and types together. Weights are learned by averaged structured updates from the base spans of training texts, shown as they stand
 and in altered writing (plus sign dropped, at-signs and dots in brackets, digits grouped), so that the model can add what
@@ -28,6 +28,8 @@ from .common import packed, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 32
+#: Bounds of a segment with blanks and brackets, and of the digits of one without an at-sign (a card has 19 at most).
+MAX_ALL, MAX_CHARS, MAX_DIGITS = 96, 192, 19
 FEATURES = 1 << 14
 #: How far the best entity reading must beat the reading without it before a span is added.
 MARGIN = 0.5
@@ -102,10 +104,19 @@ class Spans:
 
     def __init__(self):
         self.known: dict[tuple, int] = {}
+        self.written: dict[tuple, int] = {}
         self.table = np.zeros((1024, len(KINDS), self.WIDTH), np.uint16)
 
     def row(self, text: str, start: int, end: int, before: str, after: str) -> int:
         span = text[start:end]
+        written = (span, before, after)
+        if written not in self.written:
+            if len(self.written) > 200_000:
+                self.written.clear()
+            self.written[written] = self._row(span, before, after)
+        return self.written[written]
+
+    def _row(self, span: str, before: str, after: str) -> int:
         digits = "".join(c for c in span if c in "0123456789")
         shape = _shape(span)
         coarse = re.sub(r"d[0-9]+", "d", shape)
@@ -155,51 +166,69 @@ def _counted(text: str, tokens: list[tuple[int, int]]) -> list[bool]:
     return [not text[s].isspace() and text[s] not in _BRACKETS for s, _ in tokens]
 
 
-def candidates(text: str, tokens: list[tuple[int, int]], spans: Spans) -> np.ndarray:
+def segment_blocks(text: str, tokens: list[tuple[int, int]], spans: Spans, block: int = 512):
     """Segments (first token, end token, start, end, row of its features) of bounded length, no blank at the ends.
 
-    A segment holds a digit or an at-sign, which may be written [at] or (at); letters only with an at-sign, since only
-    addresses have them.
+    They come in order of their first token, `block` of these at a time, so a line of any length needs little memory. A
+    segment holds a digit or one at-sign, which may be written [at] or (at); letters only with an at-sign, since only addresses
+    have them; without one MAX_DIGITS digits at most.
     """
-    out = []
     blank = [text[s].isspace() for s, _ in tokens]
     counted = _counted(text, tokens)
     letters = [text[s].isalpha() for s, _ in tokens]
     written = {m.start() + 1 for m in _AT.finditer(text, tokens[0][0], tokens[-1][1]) if m.end() > m.start() + 1}
     signs = [text[s] == "@" or s in written for s, _ in tokens]
-    numbers = [text[s].isdigit() for s, _ in tokens]
+    numbers = [e - s if text[s].isdigit() else 0 for s, e in tokens]
     ahead = np.append(np.where(signs, np.arange(len(tokens)), len(tokens)), len(tokens))
     ahead = np.minimum.accumulate(ahead[::-1])[::-1].tolist()  # the next sign from here on
-    for i, (s, _) in enumerate(tokens):
-        if blank[i]:
-            continue
-        has_letter = has_sign = has_number = False
-        size = 0
-        for j in range(i, len(tokens)):
-            size += counted[j]
-            has_letter, has_sign, has_number = has_letter or letters[j], has_sign or signs[j], has_number or numbers[j]
-            if size > MAX_TOKENS or has_letter and not has_sign and ahead[j] == len(tokens):
-                break
-            if not blank[j] and (has_sign or has_number and not has_letter):
+    for low in range(0, len(tokens), block):
+        out = []
+        for i in range(low, min(low + block, len(tokens))):
+            if blank[i]:
+                continue
+            s = tokens[i][0]
+            has_letter = False
+            has_sign = size = digits = 0
+            for j in range(i, min(i + MAX_ALL, len(tokens))):
+                size += counted[j]
+                digits += numbers[j]
+                has_letter, has_sign = has_letter or letters[j], has_sign + signs[j]
                 e = tokens[j][1]
-                out.append((i, j + 1, s, e, spans.row(text, s, e, text[max(0, s - 1) : s], text[e : e + 1])))
-    return np.array(out, np.int64).reshape(-1, 5)
+                if size > MAX_TOKENS or e - s > MAX_CHARS or has_sign > 1:
+                    break
+                if not has_sign and (has_letter or digits > MAX_DIGITS) and ahead[j] - i >= MAX_ALL:
+                    break
+                if not blank[j] and (has_sign or 0 < digits <= MAX_DIGITS and not has_letter):
+                    out.append((i, j + 1, s, e, spans.row(text, s, e, text[max(0, s - 1) : s], text[e : e + 1])))
+        yield np.array(out, np.int64).reshape(-1, 5)
+
+
+def candidates(text: str, tokens: list[tuple[int, int]], spans: Spans) -> np.ndarray:
+    """All segments of a stretch."""
+    return np.concatenate([np.zeros((0, 5), np.int64), *segment_blocks(text, tokens, spans)])
 
 
-def decode(n: int, segments: np.ndarray, spans: Spans, weights: np.ndarray) -> list[tuple]:
-    """The best reading of n tokens: [(kind, start, end, score, slots)]."""
+def decode(n: int, blocks, spans: Spans, weights: np.ndarray) -> list[tuple]:
+    """The best reading of n tokens: [(kind, start, end, score, slots)]. `blocks` are segments in order of their first token."""
     best, back = [0.0] * (n + 1), [None] * (n + 1)
-    ending: dict[int, list] = {}
-    scores = weights[spans.table[segments[:, 4]]].sum(2)
-    kinds, most = scores.argmax(1), scores.max(1)
-    some = np.flatnonzero(most > 0)
-    for (i, j, s, e, row), k, own in zip(segments[some].tolist(), kinds[some].tolist(), most[some].tolist(), strict=True):
-        ending.setdefault(j, []).append((i, k, own, s, e, row))
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, k, own, s, e, row in ending.get(j, ()):
+    done = 0
+
+    def outside(upto: int) -> None:
+        nonlocal done
+        for at in range(done, upto):  # a token outside, unless an entity ending behind it is better
+            if best[at] >= best[at + 1]:
+                best[at + 1], back[at + 1] = best[at], None
+        done = max(done, upto)
+
+    for segments in blocks:
+        scores = weights[spans.table[segments[:, 4]]].sum(2)
+        kinds, most = scores.argmax(1), scores.max(1)
+        some = np.flatnonzero(most > 0)
+        for (i, j, s, e, row), k, own in zip(segments[some].tolist(), kinds[some].tolist(), most[some].tolist(), strict=True):
+            outside(i)
             if best[i] + own > best[j]:
                 best[j], back[j] = best[i] + own, (i, k, s, e, own, row)
+    outside(n)
     out, j = [], n
     while j > 0:
         if back[j] is None:
@@ -227,7 +256,10 @@ def _altered(kind: int, span: str, turn: random.Random) -> str:
 def _fits(text: str, tokens: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether a span begins and ends with tokens of this stretch and keeps to the bound."""
     inside = [t for t in tokens if start <= t[0] and t[1] <= end]
-    return bool(inside) and inside[0][0] == start and inside[-1][1] == end and sum(_counted(text, inside)) <= MAX_TOKENS
+    if not inside or inside[0][0] != start or inside[-1][1] != end or len(inside) > MAX_ALL or end - start > MAX_CHARS:
+        return False
+    signs = len(_AT.findall(text, start, end))
+    return (signs == 1 or not signs and sum(c.isdigit() for c in text[start:end]) <= MAX_DIGITS) and sum(_counted(text, inside)) <= MAX_TOKENS
 
 
 def fit(texts: list[str], passes: int = 6, margin: float = 1.0) -> np.ndarray:
@@ -268,7 +300,7 @@ def fit(texts: list[str], passes: int = 6, margin: float = 1.0) -> np.ndarray:
                 slots = table[at]
                 if w[slots].sum() < margin:
                     w[slots] += 0.1
-            for k, s, e, _, slots in decode(n, segments, spans, w):
+            for k, s, e, _, slots in decode(n, [segments], spans, w):
                 if (k, s, e) not in mine:
                     w[slots] -= 0.1
                     for (_, s2, e2), true in mine.items():
@@ -296,7 +328,7 @@ def find(text: str, weights: np.ndarray, spans: Spans) -> tuple[list, list]:
     if len(spans.known) > 100_000:
         spans.__init__()
     for tokens in stretches(text):
-        for k, s, e, score, _ in decode(len(tokens), candidates(text, tokens, spans), spans, weights):
+        for k, s, e, score, _ in decode(len(tokens), segment_blocks(text, tokens, spans), spans, weights):
             if score >= MARGIN and not any(s < b and a < e for a, b in held):
                 added.append((k, s, e))
     return base, added
@@ -304,10 +336,11 @@ def find(text: str, weights: np.ndarray, spans: Spans) -> tuple[list, list]:
 
 def train(docs: DataFrame, max_rows: int = 2000, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
     """Weights from at most max_rows texts with a digit or an at-sign, those first by a hash of their id and text."""
-    sample = (
-        docs.select(quoted(id_column).cast("string").alias("k"), quoted(text_column).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-        .select("text", F.xxhash64("k", "text").alias("h")).orderBy("h").limit(max_rows).withColumn("g", F.lit(0))
-    )
+    eligible = docs.select(F.xxhash64(quoted(id_column).cast("string"), quoted(text_column)).alias("h"), quoted(text_column).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    # Hashes alone are sorted; texts are fetched for those drawn. Rows that share a hash are one text, taken as often as drawn.
+    drawn = eligible.select("h").orderBy("h").limit(max_rows).groupBy("h").agg(F.count("*").alias("times"))
+    once = eligible.join(F.broadcast(drawn), "h").groupBy("h").agg(F.min("text").alias("text"), F.max("times").alias("times"))
+    sample = once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("text", "h", F.lit(0).alias("g"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"w": [fit(rows.sort_values("h")["text"].tolist()).astype("<f8").tobytes()]})
