@@ -27,7 +27,7 @@ def numbered(turns: DataFrame, block: int) -> DataFrame:
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     starts = cut.groupBy("conv", "b").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     placed = cut.alias("t").join(starts.alias("s"), F.col("t.conv").eqNullSafe(F.col("s.conv")) & (F.col("t.b") == F.col("s.b"))).select("t.*", "before")
-    said = [F.coalesce(c, F.lit("\x00")) for c in ("role", "text")]
+    said = [x for c in ("role", "text") for x in (F.col(c).isNull(), F.coalesce(c, F.lit("")))]
     rolled = stored(
         placed.withColumn("position", F.row_number().over(within) + F.col("before"))
         .withColumn("h1", F.xxhash64("position", *said)).withColumn("h2", F.xxhash64(F.lit("second"), *said, "position"))
