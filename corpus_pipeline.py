@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of its documents.
 """
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from tractloom.llm.exact_dedup import exact_duplicates
@@ -12,30 +14,60 @@ from tractloom.llm.query_mixing import WEIGHTS
 from tractloom.llm.query_packing import pieces
 from tractloom.llm.query_toxicity import model
 from tractloom.llm.toxicity import toxicity
-from tractloom.session import stored
+from tractloom.session import Scratch, discard, fresh_path, reads_from, recording, remove
+
+#: What the stage before wrote for itself, until its output has been read again.
+_LEFT: list[Scratch] = []
+
+
+def release(spark, docs=None):
+    """Remove what earlier stages wrote for themselves, unless `docs` still reads it."""
+    for left in list(_LEFT):
+        if docs is None or not reads_from(docs, left):
+            discard(spark, left)
+            _LEFT.remove(left)
+
+
+def staged(function):
+    """A stage that first removes the files its predecessor no longer needs, so that their disk is not held to the end."""
+
+    @wraps(function)
+    def run(spark, docs, sf_dir):
+        release(spark, docs)
+        with recording() as mine:
+            found = function(spark, docs, sf_dir)
+        _LEFT.append(mine)
+        return found
+
+    return run
 
 
+@staged
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the classifier does not reject."""
     return toxicity(docs, model(spark, sf_dir)).filter("predicted = 0").select("row.*")
 
 
+@staged
 def drop_copies(spark, docs, sf_dir):
     """Of equal texts the row with the largest id."""
     return exact_duplicates(docs).filter("kept").select("row.*")
 
 
+@staged
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near-duplicates."""
     return near_duplicates(docs).filter("kept").select("row.*")
 
 
+@staged
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as the mix takes them."""
     taken = mix(docs, WEIGHTS).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
+@staged
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of documents in sequences of at most 2048 tokens."""
     return pieces(docs)
@@ -54,8 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages in turn, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages in turn, each written to the shared folder and read again; a stage's input goes once its output is written."""
+    docs, given = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        output = fresh_path(spark, f"pipeline-{name}")
+        found = stage(spark, docs, sf_dir)
+        found.write.mode("errorifexists").parquet(output)
+        docs = spark.read.schema(found.schema).parquet(output)
+        if given:
+            remove(spark, given)
+        given = output
+    release(spark, docs)
     return docs

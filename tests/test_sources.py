@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,23 @@ def test_leaks_never_reach_features(spark):
              "fdic_branch_count", "fdic_total_branch_deposits_k_pctchg3yr", "becomes_is_service_desert_h3", "service_desert_score"]
     kept = ["fdic_deposit_hhi", "fdic_bank_count_pctchg3yr", "cra_lender_churn_2yr", "fdic_top_bank_share_chg1yr", "cra_county_count_hhi", "pct_poverty", *INFLUENCEABLE]
     assert all(map(leaks_label, leaks)) and not any(map(leaks_label, kept))
+
+
+def test_scratch_is_removed_when_its_work_is_done(spark):
+    from tractloom.session import discard, fresh_path, reads_from, recording, shared_folder, stored
+
+    kept = fresh_path(spark, "kept")
+    with recording() as mine:
+        rows = stored(spark.range(10), "inner")
+        with recording() as inner:
+            stored(spark.range(3), "innermost")
+        rows.write.parquet(kept)
+    assert len(mine.paths) == len(inner.paths) == 1
+    written = spark.read.parquet(kept)
+    assert reads_from(rows, mine) and not reads_from(written, mine) and not reads_from(rows, inner)
+    names = {os.path.basename(p) for p in mine.paths + inner.paths}
+    assert names <= set(os.listdir(shared_folder(spark)))
+    discard(spark, mine)
+    discard(spark, inner)
+    assert not names & set(os.listdir(shared_folder(spark)))
+    assert written.count() == 10

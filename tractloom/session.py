@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
@@ -42,10 +45,62 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@dataclass
+class Scratch:
+    """What a piece of work has written for itself."""
+
+    paths: list[str] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+
+
+_OPEN: list[Scratch] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one folder of intermediate files, wherever it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def recording() -> Iterator[Scratch]:
+    """Notes the intermediate files and tables made within; ``discard`` removes them."""
+    mine = Scratch()
+    _OPEN.append(mine)
+    try:
+        yield mine
+    finally:
+        _OPEN.remove(mine)
+
+
+def discard(spark: SparkSession, mine: Scratch) -> None:
+    """Remove recorded files and tables. All of them were made by ``fresh_path``; nothing else is touched."""
+    for table in mine.tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for path in mine.paths:
+        remove(spark, path)
+    mine.tables, mine.paths = [], []
+
+
+def reads_from(df, mine: Scratch) -> bool:
+    """Whether a frame still reads recorded files."""
+    names = [os.path.basename(p) for p in mine.paths]
+    return any(name in file for file in df.inputFiles() for name in names) if names else False
+
+
+def note_table(name: str) -> None:
+    """Have a catalog table dropped with the scratch files of the work at hand."""
+    for open_ in _OPEN[-1:]:
+        open_.tables.append(name)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path for one job's files under the shared folder."""
     token = os.urandom(6).hex()
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{token}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{token}"
+    for open_ in _OPEN[-1:]:
+        open_.paths.append(path)
+    return path
 
 
 def stored(df, name: str, partition_by: str | None = None):
