@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import fresh_path, note_table
 
 #: One word: a run without space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +62,7 @@ def aligned(df: DataFrame, name: str, rows_in_bucket: int = 8192) -> tuple[DataF
         .withColumn("chunk", F.shiftright("rid", CHUNK_BITS))
         .write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk").option("path", path).saveAsTable(token)
     )
+    note_table(token)
     return spark.table(token), rows
 
 
