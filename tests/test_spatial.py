@@ -42,6 +42,30 @@ def test_count_within(world, radius):
     assert got == want
 
 
+@pytest.mark.parametrize("crowded", [2, 10_000])
+def test_several_radii_on_one_way_down(world, crowded):
+    """Deep trees and flat ones, a small and a large radius together."""
+    places, points, p, b = world
+    radii = {"a": 0.2, "b": 8.0, "c": 150.0}
+    got = spatial.counts_within(p, b, radii, by=["year"], crowded=crowded)
+    want = {(i, y): tuple(sum(1 for _, py, la, lo in points if py == y and miles((lat, lon), (la, lo)) <= r) for r in radii.values())
+            for i, lat, lon in places for y in (2000, 2001, 2002)}
+    assert {(r["tract_fips"], r["year"]): (r["a"], r["b"], r["c"]) for r in got.collect()} == want
+    deep = spatial.nearest(p, b, by=["year"], crowded=crowded).collect()
+    assert len(deep) == len(want)
+    for r in deep:
+        at = next((lat, lon) for i, lat, lon in places if i == r["tract_fips"])
+        assert r["nearest_miles"] == pytest.approx(min(miles(at, (la, lo)) for _, py, la, lo in points if py == r["year"]), abs=1e-6)
+
+
+def test_a_dense_spot_makes_a_deep_tree(spark):
+    rows = spark.range(30_000).select((F.lit(40.0) + F.rand(1) * 1e-3).alias("lat"), (F.lit(-90.0) + F.rand(2) * 1e-3).alias("lon"), F.lit(1).alias("copies"))
+    tree = spatial.CellTree(spatial._positioned(rows), [], 4.0, 64)
+    assert tree.leaves.agg(F.max("copies")).first()[0] <= 64 and tree.depth >= 4
+    assert tree.leaves.count() < 30_000 / 4
+    assert [tree.level(n).agg(F.sum("copies")).first()[0] for n in (0, 1, tree.depth)] == [30_000] * 3
+
+
 def test_count_without_groups(world):
     places, points, p, b = world
     got = {r["tract_fips"]: r["n_within"] for r in spatial.count_within(p, b, 30.0).collect()}

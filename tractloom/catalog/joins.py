@@ -152,9 +152,7 @@ def _within(miles: float, margin: float) -> str:
       LEFT JOIN w25 ON w25.tract_fips = p.tract_fips AND w25.year = y.year""")
 def _(d: Domain):
     places, branches = d.places(), stored(d.branches().select("branch_id", "year", "lat", "lon"), "branches")
-    near = spatial.count_within(places, branches, 5.0, by=["year"], output="branches_within_5mi")
-    far = spatial.count_within(places, branches, 25.0, by=["year"], output="branches_within_25mi")
-    return near.join(far, ["tract_fips", "year"])
+    return spatial.counts_within(places, branches, {"branches_within_5mi": 5.0, "branches_within_25mi": 25.0}, by=["year"])
 
 
 @query("j10_nearest", f"""

@@ -1,12 +1,11 @@
 """Radius counts, nearest points and recent closures on the sphere.
 
-Points are placed in a three-dimensional cube grid whose edge is the straight-line length of the search radius, so
-everything within the radius lies in the 27 cubes around a site, with no special case at poles or the date line.
-A cube may hold a large part of all points, so sites never meet its points directly: each cube is summarised into
-small sub-cells (count and bounding box). Sub-cells wholly inside the radius add their count, those wholly outside
-are skipped, and only points of sub-cells the circle's edge crosses are compared one by one. A sub-cell that still
-holds more than ``CROWDED`` positions is cut once more before its points are opened, so a dense spot costs a thin rim
-of comparisons instead of sites times points.
+Points are placed in a three-dimensional cube grid. A cube that holds many positions is cut into 64 by count, and so are its
+parts, so the depth of the tree follows the points; every part is summarised by its count and bounding box. All levels are
+rolled up from one summary of the leaves. Sites never meet the points of a cube directly: they walk down the tree. For
+radius counts, parts wholly inside the radius add their count and those wholly outside are skipped; only parts that the edge
+crosses are looked into, and several radii are answered on one way down. For the nearest point, only parts that can still
+beat the best guaranteed distance are kept. Points are compared one by one in the leaves that remain.
 """
 
 from __future__ import annotations
@@ -16,14 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import chord_miles, haversine_miles, unit_vector
+from ..functions.geo import EARTH_RADIUS_MILES, chord_miles, haversine_miles, unit_vector
 from ..session import stored
 
 AXES = ("x", "y", "z")
-CROWDED = 64
-FINER = 8
+#: Positions that a leaf may hold, and levels at most (a level is four times finer).
+CROWDED, DEEPEST = 64, 20
 # Relative slack on straight-line tests; the final decision on an edge case is always the exact great-circle formula.
 SLACK = 1e-7
+CUBE = [f"c{a}" for a in AXES]
 
 
 def _positioned(df: DataFrame) -> DataFrame:
@@ -35,17 +35,6 @@ def _cubed(df: DataFrame, edge: float) -> DataFrame:
     return df.withColumns({f"c{a}": F.floor(F.col(a) / edge) for a in AXES})
 
 
-def _subcelled(df: DataFrame, edge: float, parts: int) -> DataFrame:
-    return df.withColumns({f"s{a}": F.floor(F.col(a) / (edge / parts)) for a in AXES})
-
-
-CUBE = [f"c{a}" for a in AXES]
-# A position belongs to exactly one cell of each list; the lists name the whole path from the cube down, because
-# rounding can put a position on a border into a cube and a sub-cell that do not nest.
-PATH = [*CUBE, *[f"s{a}" for a in AXES]]
-FULL = [*PATH, *[f"f{a}" for a in AXES]]
-
-
 def _around(sites: DataFrame) -> DataFrame:
     """Repeat each site for the 27 cubes around its own."""
     steps = F.array(*[
@@ -56,19 +45,40 @@ def _around(sites: DataFrame) -> DataFrame:
     return near.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"__d.{a}") for a in AXES}).drop("__d")
 
 
-def _summary(points: DataFrame, keys: list[str]) -> DataFrame:
-    return points.groupBy(*keys).agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("positions"),
-        *[F.min(a).alias(f"lo{a}") for a in AXES], *[F.max(a).alias(f"hi{a}") for a in AXES],
-    )
-
+class CellTree:
+    """Positions in cubes of one edge, cut by count: ``points`` has the path of each position's leaf, ``depth`` the longest."""
+
+    def __init__(self, points: DataFrame, by: list[str], edge: float, limit: int = CROWDED):
+        self.by, self.depth = by, 0
+        cell = [*by, *CUBE, "path"]
+        cut = _cubed(points, edge).withColumn("path", F.array().cast("array<int>"))
+        while self.depth < DEEPEST:
+            crowded = stored(cut.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit), "crowded-cells")
+            if crowded.isEmpty():
+                break
+            self.depth += 1
+            # the edge is divided by a power of two, which floating point does exactly: finer cells nest in coarser ones
+            places = [F.floor(F.col(a) / (edge / 4**self.depth)).bitwiseAND(F.lit(3)) for a in AXES]
+            child = (places[0] * 16 + places[1] * 4 + places[2]).cast("int")
+            path = F.when(F.col("__n").isNotNull(), F.concat("path", F.array(child))).otherwise(F.col("path"))
+            cut = stored(cut.join(crowded, cell, "left").withColumn("path", path).drop("__n"), "cells")
+        self.points = cut
+        self.leaves = stored(self._rolled(cut.withColumns({f"{end}{a}": F.col(a) for a in AXES for end in ("lo", "hi")}), F.col("path")), "leaves")
+
+    def _rolled(self, df: DataFrame, path: Column) -> DataFrame:
+        return df.groupBy(*self.by, *CUBE, path.alias("path")).agg(
+            F.sum("copies").alias("copies"), F.max(F.size("path")).alias("below"),
+            *[F.min(f"lo{a}").alias(f"lo{a}") for a in AXES], *[F.max(f"hi{a}").alias(f"hi{a}") for a in AXES],
+        )
 
-def _finer(df: DataFrame, edge: float, parts: int) -> DataFrame:
-    return df.withColumns({f"f{a}": F.floor(F.col(a) / (edge / parts / FINER)) for a in AXES})
+    def level(self, at: int) -> DataFrame:
+        """Cells cut off at a depth, with the path ``above`` of the cell they lie in; a leaf above that depth lists itself."""
+        rolled = self._rolled(self.leaves, F.slice("path", 1, at)) if at else self._rolled(self.leaves, F.slice("path", 1, 0))
+        return rolled.withColumn("above", F.slice("path", 1, max(0, at - 1))).withColumn("leaf", F.col("below") <= at)
 
 
 def _box_distances() -> tuple[Column, Column]:
-    """Smallest and largest straight-line distance from a site to a sub-cell's bounding box."""
+    """Smallest and largest straight-line distance from a site to a cell's bounding box."""
     near, far = [], []
     for a in AXES:
         p, lo, hi = F.col(a), F.col(f"lo{a}"), F.col(f"hi{a}")
@@ -105,100 +115,93 @@ def spine(places: DataFrame, points: DataFrame, by: list[str], keep: list[str])
     )
 
 
-def count_within(
-    places: DataFrame, points: DataFrame, miles: float, place: str = "tract_fips", by: list[str] | None = None,
-    output: str = "n_within", lat: str = "lat", lon: str = "lon", parts: int = 4,
+def counts_within(
+    places: DataFrame, points: DataFrame, radii: dict[str, float], place: str = "tract_fips", by: list[str] | None = None,
+    lat: str = "lat", lon: str = "lon", crowded: int = CROWDED,
 ) -> DataFrame:
-    """Number of points within ``miles`` (great circle, inclusive) of each place, per group; zeros are kept."""
+    """Number of points within each radius (miles, great circle, inclusive) of each place, per group; zeros are kept.
+
+    ``radii`` names an output column for each radius. All are counted on one way down the tree.
+    """
     by = by or []
-    chord = chord_miles(miles)
-    edge = chord * (1 + SLACK)
-    located = _subcelled(_cubed(_distinct_points(points, lat, lon, by), edge), edge, parts)
-    sites = _around(_cubed(_distinct_sites(places, lat, lon), edge))
+    names, chords = list(radii), [chord_miles(m) for m in radii.values()]
+    edge = max(chords) * (1 + SLACK)
+    tree = CellTree(stored(_distinct_points(points, lat, lon, by), "positions"), by, edge, crowded)
     site = ["lat", "lon", *by]
+    key = [*by, *CUBE]
     near, far = _box_distances()
+    touches = [near <= c * (1 + SLACK) for c in chords]
+    inside = [far <= c * (1 - SLACK) for c in chords]
+    still = [F.col("open")[i] for i in range(len(chords))]
+
+    def summed(df: DataFrame, hits: list[Column]) -> DataFrame:
+        return df.groupBy(*site).agg(*[F.sum(F.when(hit, F.col("copies"))).alias(n) for n, hit in zip(names, hits, strict=True)])
+
+    frontier = _around(_cubed(_distinct_sites(places, lat, lon), edge)).withColumn("open", F.array(*[F.lit(True)] * len(chords)))
+    found, crossed_leaves = [], []
+    for at in range(tree.depth + 1):
+        cells = tree.level(at)
+        met = frontier.join(cells.drop("above"), CUBE) if at == 0 else frontier.join(cells, [*key, "above"])
+        tested = met.withColumns({
+            "within": F.array(*[o & t & i for o, t, i in zip(still, touches, inside, strict=True)]),
+            "crossed": F.array(*[o & t & ~i for o, t, i in zip(still, touches, inside, strict=True)]),
+        }).where(F.exists("within", lambda x: x) | F.exists("crossed", lambda x: x))
+        level = stored(tested.select(*site, *AXES, *CUBE, "path", "leaf", "copies", "within", "crossed"), "within")
+        found.append(summed(level, [F.col("within")[i] for i in range(len(chords))]))
+        deeper = level.where(F.exists("crossed", lambda x: x))
+        crossed_leaves.append(deeper.where("leaf").select(*site, *CUBE, "path", "crossed"))
+        frontier = deeper.where("not leaf").select(*site, *AXES, *CUBE, F.col("path").alias("above"), F.col("crossed").alias("open"))
+    exact = tree.points.select(*key, "path", F.col("lat").alias("__la"), F.col("lon").alias("__lo"), "copies")
+    opened = reduce(DataFrame.unionByName, crossed_leaves).join(exact, [*key, "path"]).withColumn("__d", haversine_miles("lat", "lon", "__la", "__lo"))
+    found.append(summed(opened, [F.col("crossed")[i] & (F.col("__d") <= m) for i, m in enumerate(radii.values())]))
+    counted = reduce(DataFrame.unionByName, found).groupBy(*site).agg(*[F.sum(n).alias(n) for n in names]).withColumnsRenamed({"lat": lat, "lon": lon})
+    return spine(places, points, by, [place, lat, lon]).join(counted, [lat, lon, *by], "left").select(
+        place, *by, *[F.coalesce(n, F.lit(0)).alias(n) for n in names]
+    )
 
-    def sorted_out(met: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Counts of cells wholly inside, and the (site, cell) pairs the edge crosses."""
-        tested = met.withColumns({"__near": near, "__far": far}).where(F.col("__near") <= chord * (1 + SLACK))
-        inside = tested.where(F.col("__far") <= chord * (1 - SLACK)).groupBy(*site).agg(F.sum("copies").alias("__n"))
-        crossed = tested.where(F.col("__far") > chord * (1 - SLACK)).select(*site, *AXES, *cell, "positions")
-        return inside, crossed
 
-    def point_by_point(pairs: DataFrame, cell: list[str]) -> DataFrame:
-        exact = _finer(located, edge, parts).select(
-            *by, *cell, F.col("lat").alias("__la"), F.col("lon").alias("__lo"), "copies"
-        )
-        return (
-            pairs.select(*site, *cell).join(exact, [*by, *cell])
-            .where(haversine_miles("lat", "lon", "__la", "__lo") <= miles)
-            .groupBy(*site).agg(F.sum("copies").alias("__n"))
-        )
+def count_within(
+    places: DataFrame, points: DataFrame, miles: float, place: str = "tract_fips", by: list[str] | None = None,
+    output: str = "n_within", lat: str = "lat", lon: str = "lon", crowded: int = CROWDED,
+) -> DataFrame:
+    """Number of points within ``miles`` of each place, per group."""
+    return counts_within(places, points, {output: miles}, place, by, lat, lon, crowded)
 
-    inside, crossed = sorted_out(sites.join(_summary(located, [*by, *PATH]), CUBE), PATH)
-    sparse = point_by_point(crossed.where(F.col("positions") <= CROWDED), PATH)
-    crowded = crossed.where(F.col("positions") > CROWDED).select(*site, *AXES, *PATH)
-    finer = _summary(_finer(located, edge, parts), [*by, *FULL])
-    fine_inside, fine_crossed = sorted_out(crowded.join(finer, [*by, *PATH]), FULL)
-    parts_found = [inside, sparse, fine_inside, point_by_point(fine_crossed, FULL)]
-    counted = reduce(lambda a, b: a.unionByName(b), parts_found).groupBy(*site).agg(F.sum("__n").alias("__n"))
-    all_rows = spine(places, points, by, [place, lat, lon])
-    found = counted.withColumnsRenamed({"lat": lat, "lon": lon})
-    return all_rows.join(found, [lat, lon, *by], "left").select(
-        place, *by, F.coalesce("__n", F.lit(0)).alias(output)
-    )
+
+#: Edge of the cubes that the search for the nearest point starts with: at most 125 of them cover the globe.
+TOP_EDGE = EARTH_RADIUS_MILES / 2
 
 
 def nearest(
     places: DataFrame, points: DataFrame, place: str = "tract_fips", by: list[str] | None = None,
-    output: str = "nearest_miles", lat: str = "lat", lon: str = "lon",
-    tiers: tuple[tuple[float, int], ...] = ((10.0, 4), (160.0, 8), (12500.0, 32)),
+    output: str = "nearest_miles", lat: str = "lat", lon: str = "lon", crowded: int = CROWDED,
 ) -> DataFrame:
     """Great-circle distance to the nearest point, per group; NULL where the group has no points.
 
-    Searches in growing radii; a hit no farther than the radius is final, the rest goes on. The last tier covers the
-    whole globe. Within a tier only sub-cells that can still beat the best guaranteed distance are opened. Each
-    tier's hits are stored once, because both the result and the next tier need them; the search ends as soon as no
-    site is open.
+    A site starts with all cubes of its group, of which there are few, and at each level keeps the cells that are not farther
+    than the far side of the nearest one.
     """
     by = by or []
     site = ["lat", "lon", *by]
-    located = _distinct_points(points, lat, lon, by)
-    open_sites = spine(_distinct_sites(places, lat, lon), points, by, ["lat", "lon", *AXES])
-    results = []
-    for i, (miles, parts) in enumerate(tiers):
-        edge = chord_miles(miles) * (1 + SLACK)
-        cells = _subcelled(_cubed(located, edge), edge, parts)
-        near, far = _box_distances()
-
-        def can_win(met: DataFrame, keep: list[str]) -> DataFrame:
-            """Cells not farther than the nearest one's far side. A site meets a bounded number of cells, so the
-            window is small for every site."""
-            tested = met.withColumns({"__near": near, "__far": far})
-            bound = F.min("__far").over(Window.partitionBy(*site))
-            kept = tested.withColumn("__bound", bound).where(F.col("__near") <= F.col("__bound") * (1 + SLACK) + SLACK)
-            return kept.select(*site, *AXES, *keep)
-
-        def point_by_point(pairs: DataFrame, cell: list[str]) -> DataFrame:
-            exact = _finer(cells, edge, parts).select(*by, *cell, F.col("lat").alias("__la"), F.col("lon").alias("__lo"))
-            away = haversine_miles("lat", "lon", "__la", "__lo")
-            return pairs.select(*site, *cell).join(exact, [*by, *cell]).groupBy(*site).agg(F.min(away).alias(output))
-
-        met = _around(_cubed(open_sites, edge)).join(_summary(cells, [*by, *PATH]), [*by, *CUBE])
-        candidates = can_win(met, [*PATH, "positions"])
-        sparse = point_by_point(candidates.where(F.col("positions") <= CROWDED), PATH)
-        crowded = candidates.where(F.col("positions") > CROWDED).select(*site, *AXES, *PATH)
-        finer = _summary(_finer(cells, edge, parts), [*by, *FULL])
-        dense = point_by_point(can_win(crowded.join(finer, [*by, *PATH]), FULL), FULL)
-        hits = sparse.unionByName(dense).groupBy(*site).agg(F.min(output).alias(output))
-        if i == len(tiers) - 1:
-            results.append(hits)
-            break
-        results.append(stored(hits.where(F.col(output) <= miles), "nearest"))
-        open_sites = open_sites.join(results[-1], site, "left_anti")
-        if open_sites.isEmpty():
-            break
-    found = reduce(lambda a, b: a.unionByName(b), results).withColumnsRenamed({"lat": lat, "lon": lon})
+    tree = CellTree(stored(_distinct_points(points, lat, lon, by), "positions"), by, TOP_EDGE, crowded)
+    near, far = _box_distances()
+
+    def can_win(met: DataFrame) -> DataFrame:
+        tested = met.withColumns({"__near": near, "__far": far})
+        # a site meets at most 64 parts of each cell it kept, so the window is small for every site
+        bound = F.min("__far").over(Window.partitionBy(*site))
+        kept = tested.withColumn("__bound", bound).where(F.col("__near") <= F.col("__bound") * (1 + SLACK) + SLACK)
+        return stored(kept.select(*site, *AXES, *CUBE, "path"), "nearest")
+
+    start = spine(_distinct_sites(places, lat, lon), points, by, ["lat", "lon", *AXES]).withColumn("__one", F.lit(1))
+    top = tree.level(0).drop("above", "copies", "below", "leaf").withColumn("__one", F.lit(1))
+    open_cells = can_win(start.join(F.broadcast(top), [*by, "__one"]))
+    for at in range(1, tree.depth + 1):
+        cells = tree.level(at).drop("copies", "below", "leaf")
+        open_cells = can_win(open_cells.withColumnRenamed("path", "above").join(cells, [*by, *CUBE, "above"]))
+    exact = tree.points.select(*by, *CUBE, "path", F.col("lat").alias("__la"), F.col("lon").alias("__lo"))
+    away = haversine_miles("lat", "lon", "__la", "__lo")
+    found = open_cells.join(exact, [*by, *CUBE, "path"]).groupBy(*site).agg(F.min(away).alias(output)).withColumnsRenamed({"lat": lat, "lon": lon})
     return spine(places, points, by, [place, lat, lon]).join(found, [lat, lon, *by], "left").select(place, *by, output)
 
 
