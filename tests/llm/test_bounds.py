@@ -118,6 +118,6 @@ def test_words_are_kept_from_their_second_sight():
     assert "alpha" in tokens.known and "gamma" not in tokens.known
     assert tokens.encode(pa.array(["alpha gamma."]))[0].tolist() == first
     assert packing.word_tokens(path) is packing.word_tokens(path)
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x" * n if n else None for n in (10, 0, 5 << 20, 3, 1 << 20, 1 << 20, 7)])})
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x" * n if n else None for n in (10, 0, 5 << 20, 3, 3 << 20, 2 << 20, 7)])})
     parts = list(packing._slices(batch))
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) == 4

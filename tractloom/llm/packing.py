@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ MERGED = 16
 
 
 #: Bytes of text that are encoded at once.
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 class WordTokens:
@@ -51,32 +52,41 @@ class WordTokens:
         self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.bytes = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks. Plain words go many to a text: each ends in exactly one end-of-word token, or is taken alone."""
-        encoded: list = [None] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if c.isalpha()]
-        lines = [plain[i : i + 128] for i in range(0, len(plain), 128)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(chunks[i] for i in x) for x in lines], add_special_tokens=False), strict=True):
+    def _learn(self, chunks: list[str]) -> list[str]:
+        """Encode new chunks; returns them in the order they are kept in.
+
+        Plain words go many to a text: each ends in exactly one end-of-word token, or is taken alone.
+        """
+        plain = [c.isalpha() for c in chunks]
+        words = list(compress(chunks, plain))
+        rest = [c for c, p in zip(chunks, plain, strict=True) if not p]
+        names, flat, sizes = [], [], []
+        lines = [words[i : i + 128] for i in range(0, len(words), 128)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(line):
-                for i, start, end in zip(line, [0, *ends.tolist()], ends.tolist(), strict=False):
-                    encoded[i] = ids[start:end]
-        rest = [i for i, e in enumerate(encoded) if e is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            encoded[i] = np.array(e.ids, np.uint32)
-        sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.concatenate(encoded)
+                names += line
+                flat.append(ids[: ends[-1]])
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest += line
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        names += rest
+        flat.append(np.fromiter(chain.from_iterable(alone), np.uint32))
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, alone), np.int64, len(alone))]).astype(np.int32)
+        flat = np.concatenate(flat)
         first = len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(chunks) > len(self.at):
+        while first + len(names) > len(self.at):
             self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.at[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.length[first : first + len(chunks)] = sizes
+        self.at[first : first + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.length[first : first + len(names)] = sizes
         self.used += len(flat)
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.known.update(zip(names, range(first, first + len(names)), strict=True))
+        return names
 
     def _keep(self, new: list[str], used: int) -> None:
         """Of the batch's new chunks, keep those seen before; the others only leave their bit."""
@@ -104,16 +114,20 @@ class WordTokens:
             texts = pc.ascii_lower(texts)
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
         # A word and one full stop or comma after it are two pieces to the tokenizer.
-        split = [n[-1:] in (".", ",") and n[:-1].isalpha() and n[:-1].lower().isalpha() for n in names]
-        stems = [n[:-1] if cut else n for n, cut in zip(names, split, strict=True)]
-        new = list(dict.fromkeys(x for x in (*stems, ".", ",") if x not in self.known))
-        used = self.used
+        cut = pc.match_substring_regex(coded.dictionary, "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$")
+        stems = pc.if_else(cut, pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary).dictionary_encode()
+        names = [*stems.dictionary.to_pylist(), ".", ","]
+        found = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(found < 0)
+        new, used = list(dict.fromkeys(names[i] for i in missing)), self.used
         if new:
-            self._learn(new)
-        stem = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(names))
-        mark = np.fromiter((self.known[n[-1]] if cut else -1 for n, cut in zip(names, split, strict=True)), np.int64, len(names))
+            new = self._learn(new)
+            found[missing] = [self.known[names[i]] for i in missing]
+        stem = found[stems.indices.to_numpy(zero_copy_only=False)]
+        marked = cut.to_numpy(zero_copy_only=False).astype(bool)
+        comma = pc.ends_with(coded.dictionary, ",").to_numpy(zero_copy_only=False).astype(bool)
+        mark = np.where(marked, np.where(comma, found[-1], found[-2]), -1)
         at = coded.indices.to_numpy(zero_copy_only=False)
         both = np.stack([stem[at], mark[at]], axis=1).ravel()
         sizes = np.where(both >= 0, self.length[both], 0)
