@@ -9,6 +9,7 @@ partitions at a time by the same packer, until one group is left, whose rest is
 from __future__ import annotations
 
 import bisect
+import os
 from collections.abc import Iterator
 from itertools import chain, compress, repeat
 
@@ -26,7 +27,7 @@ MERGED = 16
 
 
 #: Bytes of text that are encoded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class WordTokens:
@@ -37,6 +38,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str, limit: int = 32 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core; threads of their own only add memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
