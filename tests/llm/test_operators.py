@@ -65,7 +65,7 @@ def test_near_duplicates(odd, none):
         assert size >= 1 + len(mine)
         assert all(rows[j][1] == rows[i][1] for j in mine)
     assert near_duplicates(none).count() == 0
-    assert depth_for(0.8, 0.999) >= 1
+    assert depth_for(0.8, 0.999) == 6 and depth_for(0.8, 0.9999) == 5
 
 
 def test_crowded_near_duplicates(spark):

@@ -1,9 +1,12 @@
-"""Near-duplicate join on word n-grams: MinHash LSH forest, then exact verification.
+"""Near-duplicate join on word n-grams: a forest of min-hash tries, then exact verification.
 
-Texts become sets of hashed word n-grams; equal sets collapse to one representative. A forest of tries over min-hash
-signatures finds candidates: two sets meet in a tree if their signatures share a prefix there. Prefixes are shortened from
-full depth until sets at the threshold meet in some tree with at least the target probability. Chains of such meetings
-bound small neighbourhoods, inside which every pair is compared by its full sets, block against block, without emitting pairs.
+Texts become sets of hashed word n-grams; equal sets collapse to one representative. In each tree of the forest the signatures
+are sorted, so that the longest prefix a set shares with any other stands beside it: its run in the trie. Sets meet at first
+only if they share a whole signature of some tree. The pairs verified so far tell, by their exact similarities, which share of
+all links such meetings find; while it is below the target, matched prefixes are shortened to the longest length that reaches
+it, and what meets anew is verified. Shortening ends for certain where even sets at the threshold meet with that chance.
+
+Chains of meetings bound neighbourhoods, inside which sets are compared in full, block against block, without emitting pairs.
 """
 
 from __future__ import annotations
@@ -14,16 +17,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import aligned, hashes, joins_by_part_of_key, mixed, quoted, row_and_text, with_found, words
+from .common import CHUNK_BITS, aligned, hashes, joins_by_part_of_key, mixed, quoted, row_and_text, with_found, words
 from .components import components
 
 TREES, DEPTH = 24, 8
 BLOCK = 256
+#: Width of a bin of similarities; bytes of one value of a signature.
+BIN, WIDTH = 0.01, 2
+
 
+def chance(similarity: float, depth: int, trees: int = TREES) -> float:
+    """With which sets of this similarity share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
-def depth_for(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
+
+def depth_for(threshold: float, target: float, depth: int = DEPTH) -> int:
     """The longest prefix at which sets of this similarity meet in some tree with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and chance(threshold, depth) < target:
+        depth -= 1
+    return depth
+
+
+def next_depth(found: dict[int, int], depth: int, threshold: float, target: float) -> int:
+    """The longest prefix, up to `depth`, whose estimated recall is the target; `found` counts verified links by bin of similarity.
+
+    A link of similarity s was found with chance(s, depth), so it stands for one over that many. Its bin's lower end is
+    taken, and one link at the threshold is added, so that few links are no proof.
+    """
+    lows = {b: min(1.0, threshold + b * BIN) for b in found}
+    total = [(lows[b], count / chance(lows[b], depth)) for b, count in found.items()] + [(threshold, 1.0)]
+    while depth > 1 and sum(w * chance(s, depth) for s, w in total) < target * sum(w for _, w in total):
         depth -= 1
     return depth
 
@@ -52,12 +75,15 @@ def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(own: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over the set, in slices that fit the cache."""
+    """The least value of each hash function over the set, in slices that fit the cache, folded to 16 bits.
+
+    Values that agree in these bits only make sets meet once in 65,536 cases more; meetings are verified.
+    """
     low = (own ^ (own >> np.uint64(32))).astype(np.uint32)
     best = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 512):
         np.minimum(best, (low[at : at + 512, None] * factors[None, :] + shifts[None, :]).min(0), out=best)
-    return best
+    return (best ^ (best >> np.uint32(16))).astype(np.uint16)
 
 
 SKETCH = "rid long, chunk long, low long, high long, grams long, sig binary"
@@ -118,19 +144,62 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-CHECKED = "a long, b long, links long"
+def _matches(floor: int):
+    """Rows sorted by tree and signature: each row with the first row of its run, the rows that share its longest prefix.
+
+    Yields (a, b, depth) if that prefix has at least `floor` values. At any length these pairs connect all rows of a run. Only
+    one row and the heads of its open runs are kept between batches.
+    """
+
+    def run(batches):
+        before, heads = np.full((1, DEPTH + 1), -1, np.int64), np.zeros(DEPTH + 1, np.int64)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            rep = b.column("rep").to_numpy()
+            values = np.frombuffer(b"".join(b.column("label").to_pylist()), "<u2").reshape(-1, DEPTH)
+            rows = np.column_stack([b.column("tree").to_numpy(), values]).astype(np.int64)
+            same = rows == np.concatenate([before, rows[:-1]])
+            shared = np.cumprod(same, 1).sum(1) - 1  # the tree is the first column; -1 if even that differs
+            place, out = np.arange(len(rows)), []
+            for depth in range(floor, DEPTH + 1):
+                last = np.maximum.accumulate(np.where(shared < depth, place, -1))
+                head = np.where(last < 0, heads[depth], rep[last])
+                heads[depth] = head[-1]
+                here = shared == depth
+                out.append((rep[here], head[here], np.full(here.sum(), depth, np.int32)))
+            before = rows[-1:]
+            a, other, depth = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64()), pa.array(depth, pa.int32())], names=["a", "b", "depth"])
+
+    return run
+
+
+def matches(sets: DataFrame, floor: int) -> DataFrame:
+    """(a, b, depth): what meets in the sorted tries of `sets` (rep, sig), at the longest prefix at which it does."""
+    span = WIDTH * DEPTH
+    leaves = (
+        sets.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+        .select("rep", "tree", F.expr(f"substring(sig, tree * {span} + 1, {span})").alias("label"))
+    )
+    # Rows that share a prefix of `floor` values come to one task, sorted; the task streams over them.
+    dealt = leaves.repartition("tree", F.substring("label", 1, WIDTH * floor)).sortWithinPartitions("tree", "label", "rep")
+    return dealt.mapInArrow(_matches(floor), "a long, b long, depth int").filter("a <> b").groupBy("a", "b").agg(F.max("depth").alias("depth"))
+
+
+#: Kinds of rows: copies that a is linked to; an edge a-b that spans a class; number of linked pairs of area b in bin a.
+COPIES, EDGE, PAIRS = 0, 1, 2
+CHECKED = "kind int, a long, b long, links long"
 
 
 def _check(threshold: float):
-    """Compare the blocks of one cell pair. Rows (a, null, links): linked copies of a; rows (a, b, null): edges that span."""
+    """Compare two blocks of an area (or one with itself) and return rows of the three kinds."""
 
     def run(rows: pa.Table) -> pa.Table:
-        first = rows.column("block")[0].as_py() if rows.num_rows else None
         ids, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
         blocks, side = rows.column("block").to_numpy(), rows.column("other").to_numpy()
         sets = [np.frombuffer(x.as_py(), "<u8") for x in rows.column("grams")]
         low, high = int(min(blocks.min(), side.min())), int(max(blocks.max(), side.max()))
-        del first
         left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
         sizes = np.array([len(s) for s in sets])
         both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
@@ -146,10 +215,13 @@ def _check(threshold: float):
         edges = _spanning(ids[left], ids[right], linked)
         a, n = np.concatenate(out_a), np.concatenate(out_n).astype(np.int64)
         a, n = a[n > 0], n[n > 0]
+        once = np.triu(linked) if low == high else linked
+        bins, pairs = np.unique(np.floor((both[once] / union[once] - threshold) / BIN + 1e-9).clip(0).astype(np.int64), return_counts=True)
         return pa.table({
-            "a": pa.array(np.concatenate([a, edges[0]]), pa.int64()),
-            "b": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(edges[1], pa.int64())]),
-            "links": pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(len(edges[0]), pa.int64())]),
+            "kind": pa.array(np.repeat([COPIES, EDGE, PAIRS], [len(a), len(edges[0]), len(bins)]), pa.int32()),
+            "a": pa.array(np.concatenate([a, edges[0], bins]), pa.int64()),
+            "b": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(edges[1], pa.int64()), pa.array(np.full(len(bins), rows.column("area")[0].as_py()), pa.int64())]),
+            "links": pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(len(edges[0]), pa.int64()), pa.array(pairs, pa.int64())]),
         })
 
     return run
@@ -181,42 +253,59 @@ def _spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[
     return a, np.array([e[1] for e in edges], np.int64)
 
 
+def verified(meets: DataFrame, sets: DataFrame, base: DataFrame, text, n: int, threshold: float, target: float) -> DataFrame:
+    """Links among representatives: prefixes are shortened until the target recall, and areas that grew are compared again."""
+    spark = meets.sparkSession
+    depth, former, checked = DEPTH, None, None
+    while True:
+        areas = stored(components(meets.filter(F.col("depth") >= depth), "near-areas").select(F.col("node").alias("rep"), F.col("label").alias("area")), "near-areas")
+        chosen = areas
+        if former is not None:  # what was one area before and still is has been compared
+            grown = (
+                areas.join(former.withColumnRenamed("area", "was"), "rep", "left").groupBy("area")
+                .agg(F.min("was").alias("low"), F.max("was").alias("high"), (F.count("*") - F.count("was")).alias("joined"))
+                .filter("joined > 0 or low <> high").select("area")
+            )
+            chosen = stored(areas.join(grown, "area", "left_semi"), "near-grown")
+            checked = checked.join(chosen.select("rep"), F.when(F.col("kind") == PAIRS, F.col("b")).otherwise(F.col("a")) == F.col("rep"), "left_anti")
+        chosen = stored(chosen.join(sets.select("rep", "copies", F.shiftright("rep", CHUNK_BITS).alias("chunk")), "rep"), "near-chosen")
+        with joins_by_part_of_key(spark):
+            texts = base.select("chunk", F.col("rid").alias("rep"), text.alias("text")).join(chosen, ["chunk", "rep"])
+            grams = stored(texts.select("rep", "area", "copies", "text").mapInArrow(_sets(n), "rep long, area long, copies long, grams binary"), "near-grams")
+        crowd = chosen.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = grams.join(crowd, "area").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        new = stored(dealt.select("area", "low", "high", "rep", "copies", "grams", "block", "other").groupBy("area", "low", "high").applyInArrow(_check(threshold), CHECKED), "near-checked")
+        checked = new if checked is None else checked.unionByName(new)
+        found = {r.a: r.pairs for r in checked.filter(F.col("kind") == PAIRS).groupBy("a").agg(F.sum("links").alias("pairs")).collect()}
+        further = next_depth(found, depth, threshold, target)  # at most one number per bin came to the driver
+        if further == depth:
+            return checked.filter(F.col("kind") != PAIRS)
+        depth, former = further, areas
+
+
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, n: int = 5, target_recall: float = 0.999, id_column: str = "doc_id",
+    docs: DataFrame, threshold: float = 0.8, n: int = 5, target_recall: float = 0.9999, id_column: str = "doc_id",
     text_column: str = "text", carry: list[str] | None = None,
 ) -> DataFrame:
     """Classes of texts linked by an n-gram Jaccard similarity of at least `threshold`.
 
     Returns one row per input row: `row` (struct of the carried columns), class_id (least id in the class), n_links (rows it is
-    linked to), class_size, kept (one row of each class). Words are lower-cased in A-Z; a text with fewer than n words is one
-    gram; texts without words, null too, are linked to none. Texts with equal sets are linked. Candidates meet with
-    probability `target_recall` at the threshold and more above; every reported link is exact. An empty table gives no rows.
+    linked to), class_size, kept (one row of each class: least id, null last; of equal ids the least hash of the text; of equal
+    texts under one id any). Words are lower-cased in A-Z; a text with fewer than n words is one gram; texts without words, null
+    too, are linked to none. Texts with equal sets are linked. Whole texts are read, whatever their length. Every reported link is
+    exact; of all links `target_recall` is found, as estimated from the verified ones. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    depth = depth_for(threshold, target_recall)
     columns, text = row_and_text(docs, carry, text_column)
     base, _ = aligned(docs.select(*columns, quoted(id_column).alias("id")), "near")
     sketches = stored(base.select("rid", "chunk", text.alias("text")).mapInArrow(_sketches(n), SKETCH), "near-sketches")
     keyed = sketches.filter("grams > 0")
     sets = stored(keyed.groupBy("low", "high", "grams").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "near-sets")
-    prefix = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})")
-    leaves = (
-        sets.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        .select("rep", F.xxhash64("tree", prefix).alias("key"))
-    )
-    shared = leaves.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head <> tail")
-    meets = leaves.join(shared, "key").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    areas = stored(components(meets, "near-areas").select(F.col("node").alias("rep"), F.col("label").alias("area")), "near-areas")
-    chosen = stored(areas.join(sets.select("rep", "copies"), "rep").join(sketches.select(F.col("rid").alias("rep"), "chunk"), "rep"), "near-chosen")
-    with joins_by_part_of_key(spark):
-        texts = base.select("chunk", F.col("rid").alias("rep"), text.alias("text")).join(chosen, ["chunk", "rep"])
-        grams = stored(texts.select("rep", "area", "copies", "text").mapInArrow(_sets(n), "rep long, area long, copies long, grams binary"), "near-grams")
-    crowd = chosen.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = grams.join(crowd, "area").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    checked = stored(dealt.select("area", "low", "high", "rep", "copies", "grams", "block", "other").groupBy("area", "low", "high").applyInArrow(_check(threshold), CHECKED), "near-checked")
-    links = checked.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = components(checked.filter("b is not null").select("a", "b"), "near-classes").select(F.col("node").alias("rep"), "label")
+    meets = stored(matches(sets, depth_for(threshold, target_recall)), "near-meets")
+    checked = verified(meets, sets, base, text, n, threshold, target_recall)
+    links = checked.filter(F.col("kind") == COPIES).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    classes = components(checked.filter(F.col("kind") == EDGE).select("a", "b"), "near-classes").select(F.col("node").alias("rep"), "label")
     grouped = stored(
         sets.select("rep", "copies", "low", "high", "grams").join(links, "rep", "left").join(classes, "rep", "left")
         .select("rep", "copies", "low", "high", "grams", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "rep").alias("label")),
@@ -224,16 +313,17 @@ def near_duplicates(
     )
     member = stored(
         keyed.select("rid", "chunk", "low", "high", "grams").join(grouped, ["low", "high", "grams"])
-        .select("rid", "chunk", "label", (F.col("copies") - 1 + F.col("links")).alias("n_links")),
+        .select("rid", "chunk", "low", "high", "label", (F.col("copies") - 1 + F.col("links")).alias("n_links")),
         "near-members",
     )
     with joins_by_part_of_key(spark):
         named = stored(
             base.select("chunk", "rid", "id").join(member, ["chunk", "rid"], "left")
-            .select("chunk", "rid", "id", F.coalesce("label", "rid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+            .select("chunk", "rid", "id", "low", "high", F.coalesce("label", "rid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
             "near-named",
         )
-    heads = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    found = named.join(heads, "label").withColumn("kept", F.col("rid") == F.col("label"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "low", "high", "rid"))
+    heads = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), first["rid"].alias("first"))
+    found = named.join(heads, "label").withColumn("kept", F.col("rid") == F.col("first"))
     rows = with_found(base.select("chunk", "rid", "row"), found, ["class_id", "n_links", "class_size", "kept"])
     return rows.select("row", "found.class_id", "found.n_links", "found.class_size", "found.kept")
