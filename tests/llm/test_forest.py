@@ -10,8 +10,10 @@ from tractloom.llm import ngram_join
 from tractloom.llm.ngram_join import DEPTH, TREES, chance, matches, near_duplicates, next_depth
 
 
-def test_matches_are_longest_shared_prefixes(spark):
+@pytest.mark.parametrize("rows_in_batch", ["10000", "7"])
+def test_matches_are_longest_shared_prefixes(spark, rows_in_batch):
     """At every length, the pairs connect exactly the rows that share a prefix of that length in some tree."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_in_batch)
     r = np.random.default_rng(1)
     sig = r.integers(0, 3, (300, TREES * DEPTH)).astype(np.uint16)
     sig[50:90] = sig[50]
@@ -19,6 +21,7 @@ def test_matches_are_longest_shared_prefixes(spark):
     rows = [(i, x.byteswap().tobytes()) for i, x in enumerate(sig)]
     sets = spark.createDataFrame(rows, "rep long, sig binary").repartition(5)
     pairs = [(x.a, x.b, x.depth) for x in matches(sets, 4).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     trees = sig.reshape(len(sig), TREES, DEPTH)
     for depth in range(4, DEPTH + 1):
         assert sorted(_classes(len(sig), [(a, b) for a, b, d in pairs if d >= depth])) == sorted(

@@ -145,14 +145,16 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _matches(floor: int):
-    """Rows sorted by tree and signature: each row with the first row of its run, the rows that share its longest prefix.
+    """Rows sorted by tree and signature: (a, b, depth) if a shares a prefix of `depth` values with b, the least of its run.
 
-    Yields (a, b, depth) if that prefix has at least `floor` values. At any length these pairs connect all rows of a run. Only
-    one row and the heads of its open runs are kept between batches.
+    A run holds the rows that share a prefix; runs of at least `floor` values count. At each depth the first row of a run, and the
+    first of each longer run inside it, is paired with the run's least row, so at any depth the pairs connect exactly its runs. The
+    least row is mostly the same in all trees, so a large group has few different pairs. If a run goes on in the next batch and has
+    a lesser row there, the two are paired. Only one row and the least rows of its runs are kept between batches.
     """
 
     def run(batches):
-        before, heads = np.full((1, DEPTH + 1), -1, np.int64), np.zeros(DEPTH + 1, np.int64)
+        before, least = np.full((1, DEPTH + 1), -1, np.int64), np.zeros(DEPTH + 1, np.int64)
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -161,16 +163,22 @@ def _matches(floor: int):
             rows = np.column_stack([b.column("tree").to_numpy(), values]).astype(np.int64)
             same = rows == np.concatenate([before, rows[:-1]])
             shared = np.cumprod(same, 1).sum(1) - 1  # the tree is the first column; -1 if even that differs
-            place, out = np.arange(len(rows)), []
+            out = []
             for depth in range(floor, DEPTH + 1):
-                last = np.maximum.accumulate(np.where(shared < depth, place, -1))
-                head = np.where(last < 0, heads[depth], rep[last])
-                heads[depth] = head[-1]
-                here = shared == depth
-                out.append((rep[here], head[here], np.full(here.sum(), depth, np.int32)))
+                starts = shared < depth
+                firsts = np.flatnonzero(np.concatenate([[True], starts[1:]]))
+                lows = np.minimum.reduceat(rep, firsts)
+                if not starts[0]:  # goes on from the batch before
+                    out.append((least[depth : depth + 1].copy(), lows[:1].copy(), np.array([depth], np.int32)))
+                    lows[0] = min(lows[0], least[depth])
+                least[depth] = lows[-1]
+                here = np.flatnonzero(shared <= depth)
+                low = lows[np.searchsorted(firsts, here, "right") - 1]
+                other = low != rep[here]
+                out.append((rep[here][other], low[other], np.full(int(other.sum()), depth, np.int32)))
             before = rows[-1:]
-            a, other, depth = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64()), pa.array(depth, pa.int32())], names=["a", "b", "depth"])
+            a, low, depth = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(low, pa.int64()), pa.array(depth, pa.int32())], names=["a", "b", "depth"])
 
     return run
 
@@ -253,12 +261,26 @@ def _spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[
     return a, np.array([e[1] for e in edges], np.int64)
 
 
+def joined(meets: DataFrame, former: DataFrame) -> DataFrame:
+    """Areas (rep, area) after more meetings; former areas count as one node each, so their inner meetings cost nothing."""
+    sides = [former.select(F.col("rep").alias(side), F.col("area").alias(f"{side}_area")) for side in "ab"]
+    new = meets.join(sides[0], "a", "left").join(sides[1], "b", "left").select(F.coalesce("a_area", "a").alias("a"), F.coalesce("b_area", "b").alias("b"))
+    merged = components(new.filter("a <> b").distinct(), "near-areas")
+    first_met = merged.select(F.col("node").alias("rep"), F.col("node").alias("area")).join(former.select("rep"), "rep", "left_anti")
+    every = former.unionByName(first_met).join(merged, F.col("area") == F.col("node"), "left")
+    return every.select("rep", F.coalesce("label", "area").alias("area"))
+
+
 def verified(meets: DataFrame, sets: DataFrame, base: DataFrame, text, n: int, threshold: float, target: float) -> DataFrame:
     """Links among representatives: prefixes are shortened until the target recall, and areas that grew are compared again."""
     spark = meets.sparkSession
-    depth, former, checked = DEPTH, None, None
+    depth, before, former, checked = DEPTH, DEPTH + 1, None, None
     while True:
-        areas = stored(components(meets.filter(F.col("depth") >= depth), "near-areas").select(F.col("node").alias("rep"), F.col("label").alias("area")), "near-areas")
+        met = meets.filter((F.col("depth") >= depth) & (F.col("depth") < before))
+        if former is None:
+            areas = components(met, "near-areas").select(F.col("node").alias("rep"), F.col("label").alias("area"))
+        else:
+            areas = stored(joined(met, former), "near-areas")
         chosen = areas
         if former is not None:  # what was one area before and still is has been compared
             grown = (
@@ -281,7 +303,7 @@ def verified(meets: DataFrame, sets: DataFrame, base: DataFrame, text, n: int, t
         further = next_depth(found, depth, threshold, target)  # at most one number per bin came to the driver
         if further == depth:
             return checked.filter(F.col("kind") != PAIRS)
-        depth, former = further, areas
+        depth, before, former = further, depth, areas
 
 
 def near_duplicates(
