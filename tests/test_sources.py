@@ -110,6 +110,12 @@ def test_headers_with_a_pipe(spark, tmp_path):
     assert drift.headers(spark, f"{tmp_path}/zip_2020.txt", sep="|").first()["columns"] == ["geoid", "name"]
 
 
+def test_headers_with_quoted_separators(spark, tmp_path):
+    (tmp_path / "loans_2021.csv").write_text('\ufeff"Name, legal",Amount,"He said ""no""", "State",""\n"a, b",1,2,3,4\n', encoding="utf-8")
+    got = drift.headers(spark, f"{tmp_path}/loans_2021.csv").first()
+    assert got["columns"] == ["name, legal", "amount", 'he said "no"', "state", ""] and got["n_rows"] == 1
+
+
 def test_schema_drift(spark, tmp_path):
     (tmp_path / "sod_2019.csv").write_text("A,B,Old\n1,2,3\n1,2,3\n")
     (tmp_path / "sod_2020.csv").write_text("A,B,New\n1,2,3\n")

@@ -22,7 +22,10 @@ def summarize_headers(lines: DataFrame, sep: str = ",") -> DataFrame:
     per = lines.groupBy("file").agg(F.min_by("value", "first").alias("header"), (F.count(F.lit(1)) - 1).alias("n_rows"))
     year = F.regexp_extract("file", r"([0-9]{4})(?!.*[0-9]{4})", 1).try_cast("int")
     source = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"[0-9]{4}|\.[^.]*$", "")
-    columns = F.transform(F.split("header", re.escape(sep)), lambda c: F.lower(F.trim(F.regexp_replace(c, '^﻿|"', ""))))
+    # A separator counts if an even number of quotes follows it: the others stand inside a quoted name.
+    names = F.split(F.regexp_replace("header", "^﻿", ""), re.escape(sep) + '(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')
+    columns = F.transform(names, lambda c: F.lower(F.trim(bare(c))))
     return per.select(F.rtrim(F.regexp_replace(source, "[_-]+$", "")).alias("source"), year.alias("year"), columns.alias("columns"), "n_rows")
 
 
