@@ -7,20 +7,37 @@ applications. Each has an equal definition in SQL in ``tractloom.catalog.oracle`
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Loans to a part where lending facts are built: a few hundred MB of a task's memory, whatever the size of the table.
+LOANS_IN_PART = 150_000
+MERGED_PART = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 class Domain:
     """Lazy domain tables over one directory of parquet tables."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory.rstrip("/")
+        self._n_loans: int | None = None
+        # the default merges parts up to 64 compressed MB, which are gigabytes in the hash tables of a task
+        if spark.conf.get(MERGED_PART, None) is None:
+            spark.conf.set(MERGED_PART, "16m")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
+    def parts(self, loans: int = LOANS_IN_PART) -> int:
+        """Parts of about ``loans`` loans each; counting rows reads only the footers of the files."""
+        if self._n_loans is None:
+            self._n_loans = self.table("lineitem").count()
+        return max(1, math.ceil(self._n_loans / loans))
+
     def places(self) -> DataFrame:
         """One row per tract with its county, state, rurality, population and coordinates."""
         k = F.col("c_custkey")
@@ -42,18 +59,28 @@ class Domain:
         """Tract x lender x year: loan counts and amounts by size bucket."""
         return self._lender_years().join(self.places().select("tract_fips", "county_fips", "state_fips"), "tract_fips")
 
-    def _lender_years(self) -> DataFrame:
-        price = F.col("l_extendedprice")
-        buckets = {
-            "lt_100": price < 25000, "100_250": (price >= 25000) & (price < 60000), "250_1m": price >= 60000,
-        }
-        loans = (
+    def _loans(self) -> DataFrame:
+        return (
             self.table("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
             .join(
                 self.table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year")),
                 F.col("l_orderkey") == F.col("o_orderkey"),
             )
         )
+
+    def lender_totals(self) -> DataFrame:
+        """Lender x year: amount of all loans to known tracts. It needs no rows per tract."""
+        amounts = self._loans().join(self.places().select("tract_fips"), F.col("o_custkey") == F.col("tract_fips"))
+        return amounts.groupBy(F.col("l_suppkey").alias("lender_id"), "year").agg(F.sum("l_extendedprice").alias("amount_k"))
+
+    def _lender_years(self) -> DataFrame:
+        price = F.col("l_extendedprice")
+        buckets = {
+            "lt_100": price < 25000, "100_250": (price >= 25000) & (price < 60000), "250_1m": price >= 60000,
+        }
+        # Dealt once by tract in parts of bounded size, which all groupings by tract, and tract and year, go on with: shuffles
+        # that follow their bytes alone merge parts until the hash tables of one task hold gigabytes.
+        loans = self._loans().repartition(self.parts(), "o_custkey")
         # aggregate before attaching place attributes: they depend on the tract only
         return loans.groupBy(
             F.col("o_custkey").alias("tract_fips"), F.col("l_suppkey").alias("lender_id"), "year"
