@@ -30,7 +30,9 @@ def study_panel(d: Domain):
     p = d.panel().withColumn("is_low", (F.col("n_lenders") <= 2).cast("int"))
     ahead = temporal.forward_labels(p, "tract_fips", "year", ["is_low"], list(HORIZONS))
     names = {LABEL: F.col("becomes_is_low_h1")} | {LABELS[h]: F.col(f"becomes_is_low_h{h}") for h in HORIZONS}
-    return stored(ahead.withColumns(names).drop(*[f"{kind}_is_low_h{h}" for kind in ("state", "becomes") for h in HORIZONS]), "study")
+    labelled = ahead.withColumns(names).drop(*[f"{kind}_is_low_h{h}" for kind in ("state", "becomes") for h in HORIZONS])
+    # every round of a fit is a few jobs over these files: few tasks for small panels, bounded ones for large
+    return stored(labelled.repartition(d.parts(1_000_000), "tract_fips"), "study")
 
 
 _FITTED: dict[tuple, object] = {}

@@ -51,16 +51,17 @@ def assign_folds(df: DataFrame, folds: list[Fold], year: str = "year") -> DataFr
     return df.withColumn("__r", F.explode(roles)).select(*df.columns, "__r.fold", "__r.role")
 
 
-def scores(df: DataFrame, by: list[str], label: str = "y_true", score: str = "y_prob") -> DataFrame:
+def scores(df: DataFrame, by: list[str], label: str = "y_true", score: str = "y_prob", weight: str | None = None) -> DataFrame:
     """AUC (average ranks on ties), average precision, lift, Brier score and counts per group.
 
     All metrics are sums over distinct scores, so tied rows are merged before anything is ordered. AUC, precision and
-    lift are NULL when only one class is present.
+    lift are NULL when only one class is present. With ``weight`` a row stands for that many rows with the same score, of
+    which ``label`` are positive.
     """
     labelled = df.where(F.col(label).isNotNull()).select(
-        *by, F.col(score).cast("double").alias("s"), F.col(label).cast("long").alias("pos")
+        *by, F.col(score).cast("double").alias("s"), F.col(label).cast("long").alias("pos"), *([F.col(weight).alias("__w")] if weight else [])
     )
-    r = ranked_values(labelled, by, "s", ["pos"], unit_interval=True)
+    r = ranked_values(labelled, by, "s", ["pos"], unit_interval=True, weight="__w" if weight else None)
     neg = F.col("n") - F.col("pos")
     neg_before = F.col("n_before") - F.col("pos_before")
     precision = (F.col("pos_total") - F.col("pos_before")) / (F.col("n_total") - F.col("n_before"))

@@ -69,6 +69,15 @@ def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select("*", *doubles, *[F.col(c).isNull().cast("double").alias(f"na_{c}") for c in features])
 
 
+#: Training rows that fits running side by side may hold in memory together (MLlib keeps some 200 bytes of each).
+ROWS_AT_ONCE = 16_000_000
+
+
+def room(rows: int, most: int) -> int:
+    """How many fits of ``rows`` training rows run side by side: ``most`` while they are small, one when each fills the cluster."""
+    return max(1, min(most, ROWS_AT_ONCE // max(1, rows)))
+
+
 def side_by_side(tasks: dict[str, Callable], at_once: int = 4) -> dict:
     """Results of independent driver tasks, each of which submits Spark jobs of its own.
 
@@ -104,10 +113,40 @@ def node_table(model: GBTClassificationModel, spark: SparkSession) -> list:
     return spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
 
 
-def prefix_probabilities(model: GBTClassificationModel, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Each row's probability after every round: ``keep``, prefix (from 1), y_prob. One pass finds the leaves of all trees."""
+def alike(model: GBTClassificationModel, rows: DataFrame, inputs: list[str], by: list[str], sums: list[str], nodes: list | None = None) -> DataFrame:
+    """One row for all rows of ``by`` that no tree can tell apart: ``by``, ``inputs``, ``sums`` and their number ``__n``.
+
+    Trees only ask on which side of a threshold an input lies, so rows between the same thresholds get the same leaves from
+    every prefix of the model. There are at most 31 thresholds to an input, so the groups stop growing where the rows go on. The
+    least values of a group's inputs lie between the same thresholds and stand for it.
+    """
+    cuts: dict[int, set[float]] = {}
+    for n in nodes or node_table(model, rows.sparkSession):
+        if n["leftChild"] >= 0:
+            cuts.setdefault(n["split"]["featureIndex"], set()).add(n["split"]["leftCategoriesOrThreshold"][0])
+
+    def side(i: int) -> Column:
+        x, (first, *rest) = F.col(inputs[i]), sorted(cuts[i])
+        out = F.when(x <= first, 0)
+        for at, cut in enumerate(rest, 1):
+            out = out.when(x <= cut, at)
+        return out.otherwise(len(rest) + 1).alias(f"__side{i}")
+
+    grouped = rows.groupBy(*by, *[side(i) for i in sorted(cuts)]).agg(
+        *[F.min(c).alias(c) for c in inputs], *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("__n")
+    )
+    return grouped.select(*by, *inputs, *sums, "__n")
+
+
+def prefix_probabilities(
+    model: GBTClassificationModel, rows: DataFrame, keep: list[str], after: int = 0, nodes: list | None = None
+) -> DataFrame:
+    """Each row's probability after every round but the first ``after``: ``keep``, prefix (from 1), y_prob.
+
+    One pass finds the leaves of all trees.
+    """
     leaves: dict[int, list[tuple[int, float]]] = {}
-    for n in node_table(model, rows.sparkSession):
+    for n in nodes or node_table(model, rows.sparkSession):
         if n["leftChild"] < 0:
             leaves.setdefault(n["treeID"], []).append((n["id"], n["prediction"]))
     # nodes are numbered from left to right, as leaves are
@@ -120,10 +159,10 @@ def prefix_probabilities(model: GBTClassificationModel, rows: DataFrame, keep: l
         if not len(leaf):
             return pd.Series([], dtype=object)
         margins = np.cumsum(flat[np.stack(leaf.to_numpy()).astype(np.int64) + starts], axis=1)
-        return pd.Series(list(1.0 / (1.0 + np.exp(-2.0 * margins))))
+        return pd.Series(list(1.0 / (1.0 + np.exp(-2.0 * margins[:, after:]))))
 
     found = model.copy({model.leafCol: "__leaf"}).transform(rows).select(*keep, along(vector_to_array("__leaf")).alias("__p"))
-    return found.select(*keep, F.posexplode("__p").alias("__at", "y_prob")).select(*keep, (F.col("__at") + 1).alias("prefix"), "y_prob")
+    return found.select(*keep, F.posexplode("__p").alias("__at", "y_prob")).select(*keep, (F.col("__at") + 1 + after).alias("prefix"), "y_prob")
 
 
 def best_prefix(quality: list[float | None], patience: int) -> tuple[int, bool]:
@@ -144,17 +183,17 @@ def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str,
     """Median imputation (learned on the training rows), missing flags, boosted trees up to the best average precision on ``val``.
 
     Rounds are grown in steps: a longer run with the same seed starts with the same trees, so the number of rounds doubles
-    until the best one lies ``patience`` back or all are used. Each step scores all its prefixes in one pass.
+    until the best one lies ``patience`` back or all are used. Each step scores its new prefixes in one pass, over groups of
+    validation rows that the trees cannot tell apart.
     """
-    rows = train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)))
-    rows = with_inputs(rows, features).withColumn("__y", F.col(label).cast("double")).select(
-        *[f"in_{c}" for c in features], *[f"na_{c}" for c in features], "__y", "__val"
-    ).persist()
+    given = [f"{kind}_{c}" for kind in ("in", "na") for c in features] + ["__y"]
+    rows, held_out = (with_inputs(df, features).withColumn("__y", F.col(label).cast("double")).select(*given).persist() for df in (train, val))
     try:
         imputer = Imputer(strategy="median", inputCols=[f"in_{c}" for c in features], outputCols=[f"im_{c}" for c in features])
-        prepared = imputer.fit(rows.where(~F.col("__val")))
+        prepared = imputer.fit(rows)
         assembler = VectorAssembler(inputCols=[f"im_{c}" for c in features] + [f"na_{c}" for c in features], outputCol="__x")
-        ready = assembler.transform(prepared.transform(rows)).select("__x", "__y", "__val")
+        ready, asked = assembler.transform(prepared.transform(rows)).select("__x", "__y"), prepared.transform(held_out)
+        found: dict[int, float | None] = {}
         rounds = min(settings.rounds, max(settings.first_rounds, settings.patience + 1))
         while True:
             trees = GBTClassifier(
@@ -162,16 +201,19 @@ def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str,
                 subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share, minInstancesPerNode=settings.min_rows,
                 seed=settings.seed, cacheNodeIds=False,
             )
-            model = trees.fit(ready.where(~F.col("__val")))
+            model = trees.fit(ready)
             grown = len(model.treeWeights)
-            probabilities = prefix_probabilities(model, ready.where("__val"), ["__y"])
-            found = {r["prefix"]: r["ap"] for r in scores(probabilities, ["prefix"], "__y").select("prefix", "ap").collect()}
+            nodes = node_table(model, rows.sparkSession)
+            groups = assembler.transform(alike(model, asked, assembler.getInputCols(), [], ["__y"], nodes))
+            probabilities = prefix_probabilities(model, groups, ["__y", "__n"], len(found), nodes)
+            found |= {r["prefix"]: r["ap"] for r in scores(probabilities, ["prefix"], "__y", weight="__n").select("prefix", "ap").collect()}
             best, stopped = best_prefix([found.get(i) for i in range(1, grown + 1)], settings.patience)
             if stopped or rounds >= settings.rounds:
                 return PipelineModel([prepared, assembler, first_trees(model, best)])
             rounds = min(settings.rounds, 2 * rounds)
     finally:
         rows.unpersist()
+        held_out.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], output: str = "y_prob") -> DataFrame:
@@ -219,11 +261,12 @@ def fold_roles(folds: list[Fold], year: str = "year") -> Roles:
 
 def walk_forward(
     panel: DataFrame, features: list[str], label: str, folds: list[Fold] | Roles, settings: Settings = Settings(),
-    keys: tuple[str, ...] = ("tract_fips", "year"), at_once: int = 4,
+    keys: tuple[str, ...] = ("tract_fips", "year"), at_once: int = 8, beside: int = 1,
 ) -> Study:
     """Fit, calibrate and score every fold; a fold with an empty split is skipped.
 
-    ``folds`` are year ranges, or conditions per fold and role (``spatial_splits``).
+    ``folds`` are year ranges, or conditions per fold and role (``spatial_splits``). ``beside`` is the number of such runs
+    that go on at the same time.
     """
     roles = folds if isinstance(folds, dict) else fold_roles(folds)
     labelled = panel.where(F.col(label).isNotNull())
@@ -241,7 +284,8 @@ def walk_forward(
         scored.select(*keys, "fold", F.col(label).cast("int").alias("y_true"), "y_prob", "y_prob_calibrated").write.parquet(f"{path}/{fold}")
         return model, iso
 
-    fitted = side_by_side({fold: lambda fold=fold: run(fold) for fold in usable}, at_once)
+    abreast = room(beside * max(counts[f"{fold}/train"] for fold in usable), at_once)
+    fitted = side_by_side({fold: lambda fold=fold: run(fold) for fold in usable}, abreast)
     spark = panel.sparkSession
     return Study(
         spark.read.parquet(*[f"{path}/{fold}" for fold in usable]),
@@ -272,7 +316,8 @@ def ablate(
     """Refit without each feature group and compare with the full model."""
     left = {"baseline": features} | {name: [f for f in features if f not in members] for name, members in groups.items()}
     kept = {name: fs for name, fs in left.items() if fs and (name == "baseline" or len(fs) < len(features))}
-    runs = side_by_side({name: lambda fs=fs: walk_forward(panel, fs, label, folds, settings, at_once=2) for name, fs in kept.items()})
+    beside = room(panel.where(F.col(label).isNotNull()).count(), 4)
+    runs = side_by_side({name: lambda fs=fs: walk_forward(panel, fs, label, folds, settings, at_once=2, beside=beside) for name, fs in kept.items()}, beside)
     return ablation_deltas(stored(study_metrics(runs, score), "ablation"), "run", "baseline")
 
 
@@ -283,8 +328,9 @@ def prune(
     full = walk_forward(panel, features, label, folds, settings)
     order = full.importance.groupBy("feature").agg(F.avg("importance").alias("i")).orderBy(F.desc("i"), "feature")
     ranked = [r["feature"] for r in order.collect()]  # one row per feature
-    shorter = {str(k): lambda k=k: walk_forward(panel, ranked[:k], label, folds, settings, at_once=2) for k in ks if k < len(features)}
-    runs = {str(len(features)): full} | side_by_side(shorter)
+    beside = room(panel.where(F.col(label).isNotNull()).count(), 4)
+    shorter = {str(k): lambda k=k: walk_forward(panel, ranked[:k], label, folds, settings, at_once=2, beside=beside) for k in ks if k < len(features)}
+    runs = {str(len(features)): full} | side_by_side(shorter, beside)
     return study_metrics(runs).withColumn("k", F.col("run").cast("int")).drop("run")
 
 
@@ -360,7 +406,8 @@ def tune(
         given = {"trial": F.lit(t), "depth": F.lit(s.depth), "rate": F.lit(s.rate), "subsample": F.lit(s.subsample), "min_rows": F.lit(s.min_rows)}
         return stored(out.withColumns(given | {"rounds": F.lit(len(model.stages[-1].treeWeights))}), "trial")
 
-    both = reduce(DataFrame.unionByName, side_by_side({str(t): lambda t=t, s=s: run(t, s) for t, s in enumerate(drawn)}).values())
+    fits = {str(t): lambda t=t, s=s: run(t, s) for t, s in enumerate(drawn)}
+    both = reduce(DataFrame.unionByName, side_by_side(fits, room(train.count(), 8)).values())
     names = ["trial", "depth", "rate", "subsample", "min_rows", "rounds"]
     return scores(both, names).select(*names, "auc", "ap")
 
@@ -371,17 +418,24 @@ def partial_dependence(
     """Average prediction of all rows over a grid per feature, and whether its slope has the expected sign.
 
     The grid runs from the 5th to the 95th percentile of the non-null values. A caller who wants fewer rows draws them first.
+    Rows are counted in the groups that the trees cannot tell apart, and each point of a grid is put to every group once.
     """
     kept = stored(rows.select(*features), "dependence")
+    prepare, assembler, trees = model.stages
+    merged = alike(trees, prepare.transform(with_inputs(kept, features)), assembler.getInputCols(), [], [])
+    groups = stored(merged.withColumnsRenamed({f"im_{f}": f"in_{f}" for f in features}), "dependence-groups")
     variants = []
     for f in expected:
         cuts = quantile_columns(kept, [], f, {"lo": 0.05, "hi": 0.95})
         grid = cuts.select(F.explode(F.transform(
             F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1))).alias("__g"))
         values = grid.agg(F.collect_list("__g")).scalar()
-        moved = kept.withColumn("__g", F.explode(values)).withColumn(f, F.col("__g"))
-        variants.append(predict(model, moved, features).select(F.lit(f).alias("feature"), F.col("__g").alias("at"), "y_prob"))
-    curve = reduce(DataFrame.unionByName, variants).groupBy("feature", "at").agg(F.avg("y_prob").alias("mean_prob"))
+        # a value from the grid is a known one
+        moved = groups.withColumn("__g", F.explode(values)).withColumns({f"in_{f}": F.col("__g"), f"na_{f}": F.lit(0.0)})
+        scored = model.transform(moved)
+        variants.append(scored.select(F.lit(f).alias("feature"), F.col("__g").alias("at"), vector_to_array("probability")[1].alias("y_prob"), "__n"))
+    mean = F.sum(F.col("y_prob") * F.col("__n")) / F.sum("__n")
+    curve = reduce(DataFrame.unionByName, variants).groupBy("feature", "at").agg(mean.alias("mean_prob"))
     slopes = curve.groupBy("feature").agg(F.count(F.lit(1)).alias("n_points"), F.regr_slope("mean_prob", "at").alias("slope"))
     want = F.lit(None).cast("string")
     for f, direction in expected.items():
@@ -412,7 +466,7 @@ def final_models(
         (name, h): lambda fs=fs, label=label, h=h: final_model(panel, fs, label, data_end, h, settings)
         for name, fs in models.items() for h, label in labels.items()
     }
-    return side_by_side(tasks)
+    return side_by_side(tasks, room(panel.count(), 4))
 
 
 def save_models(fitted: Deployed, path: str) -> None:
