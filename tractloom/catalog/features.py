@@ -260,12 +260,13 @@ def _(d: Domain):
 
 def _lender_flags(d: Domain):
     s = d.table("supplier")
-    grid = d.fact().select("lender_id", "year").distinct()
+    totals = stored(d.lender_totals(), "lender-totals")
+    grid = totals.select("lender_id", "year")
     assets = grid.join(s, F.col("lender_id") == F.col("s_suppkey")).select(
         "lender_id", "year", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") + F.col("year")).alias("assets"))
     cu = s.where(F.col("s_nationkey") == 4).select(F.col("s_suppkey").alias("lender_id"))
     mission = s.where(F.col("s_nationkey") > 20).select(F.col("s_suppkey").alias("lender_id"))
-    national = d.fact().groupBy("lender_id", "year").agg(F.round(F.sum("amount_k"), 2).alias("amount"))
+    national = totals.select("lender_id", "year", F.round("amount_k", 2).alias("amount"))
     return concentration.lender_flags(grid, assets, national, {"is_credit_union": cu, "is_mission": mission}, 6000.0)
 
 
