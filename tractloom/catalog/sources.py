@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import pad_left
 from ..operators import rollups, serving
 from ..plans.dashboard import county_documents
 from ..plans.domain import Domain
-from ..session import fresh_path
+from ..session import fresh_path, stored
 from ..sources import disclosure, programs, roster, sinks, tables
 from .registry import query, rounded
 
@@ -19,16 +20,20 @@ def _pad(c, width: int):
     return F.lpad(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), width, "0")
 
 
-def _presence_lines(d: Domain):
-    f = d.fact()
+def _stored_fact(d: Domain):
+    """Both kinds of lines are made from the fact, which is built once for them."""
+    return stored(d.fact().select("tract_fips", "county_fips", "state_fips", "lender_id", "year", *rollups.BUCKETS), "fact")
+
+
+def _presence_lines(f: DataFrame):
     tract = F.concat(F.substring(_pad("tract_fips", 6), 1, 4), F.lit("."), F.substring(_pad("tract_fips", 6), 5, 2))
     return f.select(F.concat(
         F.lit("D6-0 "), _pad("lender_id", 10), F.col("lender_id") % 5, F.col("year"), _pad("state_fips", 2), _pad("county_fips", 3),
         F.lit("     "), tract, F.lit(" " * 10), F.when(F.col("count_lt_100") > 0, "Y").otherwise("N")).alias("line"), "year")
 
 
-def _totals_lines(d: Domain):
-    f = rollups.bucket_totals(d.fact(), ["state_fips", "county_fips", "lender_id", "year"])
+def _totals_lines(fact: DataFrame):
+    f = rollups.bucket_totals(fact, ["state_fips", "county_fips", "lender_id", "year"])
     measures = [F.lpad(F.format_string("%.0f", F.col(m).cast("double")), 10, " ") for m in rollups.BUCKETS]
     level = F.when(F.col("lender_id") % 3 == 0, "060").otherwise("040")
     body = F.concat(F.lit("D1-1 "), _pad("lender_id", 10), F.col("lender_id") % 5, F.lit("202400"), _pad("state_fips", 2), _pad("county_fips", 3),
@@ -40,7 +45,8 @@ def _totals_lines(d: Domain):
     SELECT DISTINCT lpad(CAST(state_fips AS VARCHAR), 2, '0') || lpad(CAST(county_fips AS VARCHAR), 3, '0') AS county_fips, (lender_id % 5) || '_' || lpad(CAST(lender_id AS VARCHAR), 10, '0') AS lender_id, year,
       lpad(CAST(state_fips AS VARCHAR), 2, '0') || lpad(CAST(county_fips AS VARCHAR), 3, '0') || lpad(CAST(tract_fips AS VARCHAR), 6, '0') AS tract_fips FROM d_fact WHERE count_lt_100 > 0""")
 def _(d: Domain):
-    return disclosure.parse_presence(_presence_lines(d).unionByName(_totals_lines(d)))
+    fact = _stored_fact(d)
+    return disclosure.parse_presence(_presence_lines(fact).unionByName(_totals_lines(fact)))
 
 
 @query("s01_disclosure_totals", """
@@ -48,7 +54,8 @@ def _(d: Domain):
       CAST(sum(count_lt_100) AS BIGINT) AS count_lt_100, CAST(sum(count_100_250) AS BIGINT) AS count_100_250, CAST(sum(count_250_1m) AS BIGINT) AS count_250_1m
     FROM d_fact WHERE lender_id % 3 <> 0 GROUP BY ALL""")
 def _(d: Domain):
-    parsed = disclosure.parse_totals(_totals_lines(d).unionByName(_presence_lines(d)))
+    fact = _stored_fact(d)
+    parsed = disclosure.parse_totals(_totals_lines(fact).unionByName(_presence_lines(fact)))
     return parsed.drop("amount_lt_100", "amount_100_250", "amount_250_1m")
 
 
@@ -66,7 +73,7 @@ def _(d: Domain):
     SELECT y AS year, CAST(p.kind = 'discl' AS BOOLEAN) AS wanted, count(*) AS n_lines FROM d_fact, (VALUES ('discl')) p(kind), (VALUES (2019), (2020)) g(y) GROUP BY ALL""")
 def _(d: Domain):
     root = fresh_path(d.spark, "landing")
-    lines = _presence_lines(d).select("line")
+    lines = _presence_lines(d.fact()).select("line")
     for year in (2019, 2020):
         lines.write.text(f"{root}/{year}/discl")
         d.table("nation").select("n_name").write.text(f"{root}/{year}/trans")

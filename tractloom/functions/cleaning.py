@@ -39,7 +39,7 @@ def county_of(fips: Column | str) -> Column:
 
 def normalize_tract(raw: Column | str) -> Column:
     """Six-digit tract code from ``'12.03'``-style text; NULL for blanks, ``NA`` and anything else."""
-    stripped = F.regexp_replace(F.trim(col(raw)), r"[. ]", "")
+    stripped = F.translate(F.trim(col(raw)), ". ", "")  # no pattern: the expression is repeated below, once per use
     padded = pad_left(stripped, 6)
     usable = (stripped != "") & (F.upper(stripped) != "NA") & padded.rlike(r"^[0-9]{6}$")
     return F.when(usable, padded)
