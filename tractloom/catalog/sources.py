@@ -20,9 +20,13 @@ def _pad(c, width: int):
     return F.lpad(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), width, "0")
 
 
-def _stored_fact(d: Domain):
-    """Both kinds of lines are made from the fact, which is built once for them."""
-    return stored(d.fact().select("tract_fips", "county_fips", "state_fips", "lender_id", "year", *rollups.BUCKETS), "fact")
+def _stored_lines(d: Domain):
+    """Both kinds of lines in one table, as a reader meets them.
+
+    They are made from one build of the fact and written down: each field of a parser would else build its line again.
+    """
+    fact = stored(d.fact().select("tract_fips", "county_fips", "state_fips", "lender_id", "year", *rollups.BUCKETS), "fact")
+    return stored(_presence_lines(fact).unionByName(_totals_lines(fact)), "lines")
 
 
 def _presence_lines(f: DataFrame):
@@ -45,8 +49,7 @@ def _totals_lines(fact: DataFrame):
     SELECT DISTINCT lpad(CAST(state_fips AS VARCHAR), 2, '0') || lpad(CAST(county_fips AS VARCHAR), 3, '0') AS county_fips, (lender_id % 5) || '_' || lpad(CAST(lender_id AS VARCHAR), 10, '0') AS lender_id, year,
       lpad(CAST(state_fips AS VARCHAR), 2, '0') || lpad(CAST(county_fips AS VARCHAR), 3, '0') || lpad(CAST(tract_fips AS VARCHAR), 6, '0') AS tract_fips FROM d_fact WHERE count_lt_100 > 0""")
 def _(d: Domain):
-    fact = _stored_fact(d)
-    return disclosure.parse_presence(_presence_lines(fact).unionByName(_totals_lines(fact)))
+    return disclosure.parse_presence(_stored_lines(d))
 
 
 @query("s01_disclosure_totals", """
@@ -54,8 +57,7 @@ def _(d: Domain):
       CAST(sum(count_lt_100) AS BIGINT) AS count_lt_100, CAST(sum(count_100_250) AS BIGINT) AS count_100_250, CAST(sum(count_250_1m) AS BIGINT) AS count_250_1m
     FROM d_fact WHERE lender_id % 3 <> 0 GROUP BY ALL""")
 def _(d: Domain):
-    fact = _stored_fact(d)
-    parsed = disclosure.parse_totals(_totals_lines(fact).unionByName(_presence_lines(fact)))
+    parsed = disclosure.parse_totals(_stored_lines(d))
     return parsed.drop("amount_lt_100", "amount_100_250", "amount_250_1m")
 
 
