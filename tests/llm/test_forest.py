@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tractloom.llm import components as C
 from tractloom.llm import ngram_join
 from tractloom.llm.ngram_join import DEPTH, TREES, chance, matches, near_duplicates, next_depth
 
@@ -79,6 +80,31 @@ def test_links_equal_all_pairs(spark, monkeypatch, spread):
         assert [x.doc_id for x in mine if x.kept] == [min(x.doc_id for x in mine)]
 
 
+def test_rounds_move_about_one_edge_a_node(spark, monkeypatch):
+    """Members of a large group meet the same few least rows in many trees."""
+    r = random.Random(4)
+    edges = [(i, r.randrange(20)) for i in range(20, 420) for _ in range(24)] + [(500, 501), (502, 501), (7, 7)]
+    written = {}
+
+    def noted(df, name, *more):
+        written[name] = df.count()
+        return real(df, name, *more)
+
+    real = C.stored
+    monkeypatch.setattr(C, "stored", noted)
+    got = {x.node: x.label for x in C.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    nodes = sorted({x for e in edges for x in e})
+    label = dict(zip(range(503), _classes(503, edges), strict=True))
+    assert got == {x: label[x] for x in nodes}
+    assert written["t-edges"] <= 2 * 1.3 * len(nodes)
+
+
+def test_a_block_links_each_set_to_the_least():
+    linked = np.ones((5, 4), bool)
+    a, b = ngram_join._spanning(np.array([9, 3, 5, 7, 11]), np.array([8, 4, 6, 10]), linked)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(x, 3) for x in range(4, 12)]
+
+
 def test_the_kept_row_does_not_depend_on_partitions(spark):
     """Rows of one class that share the least id."""
     body = " ".join(f"w{i}" for i in range(100))

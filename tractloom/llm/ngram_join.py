@@ -236,7 +236,7 @@ def _check(threshold: float):
 
 
 def _spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As few edges as connect what the link matrix connects: for each new node of a search, the edge that reached it."""
+    """As few edges as connect what the link matrix connects: from each node of a search to the least, where it began."""
     nodes = {int(x): i for i, x in enumerate(np.unique(np.concatenate([left, right])))}
     reach: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for k, x in enumerate(left.tolist()):
@@ -255,7 +255,7 @@ def _spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[
                 for y in others[hit].tolist():
                     if y not in seen:
                         seen.add(y)
-                        edges.append((x, y))
+                        edges.append((y, root))
                         todo.append(y)
     a = np.array([e[0] for e in edges], np.int64)
     return a, np.array([e[1] for e in edges], np.int64)
