@@ -82,3 +82,21 @@ def test_dependence_equals_the_mean_over_all_rows(spark, model):
 
 def test_large_fits_run_one_after_another():
     assert L.room(1000, 8) == 8 and L.room(L.ROWS_AT_ONCE, 8) == 1 and L.room(10 * L.ROWS_AT_ONCE, 8) == 1 and L.room(0, 4) == 4
+
+
+def test_trials_share_their_inputs(spark, monkeypatch):
+    """All trials of a search read the same rows: medians are learned once, and each trial equals a fit of its own."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 1995 + i % 2, float(a) if i % 7 else None, float(b), int(a + b > 1)) for i, (a, b) in enumerate(rng.random((400, 2)))]
+    panel = spark.createDataFrame(rows, "id long, year int, a double, b double, y int").coalesce(1)
+    fits, real = [], L.Imputer.fit
+    monkeypatch.setattr(L.Imputer, "fit", lambda self, *x: fits.append(1) or real(self, *x))
+    base = L.Settings(rounds=3, depth=3, first_rounds=3, patience=2, feature_share="all")
+    found = sorted(L.tune(panel, ["a", "b"], "y", ("f", 1995, 1995, 1996, 1996, 1996), trials=3, base=base).collect(), key=lambda r: r["trial"])
+    assert len(found) == 3 and len(fits) == 1
+    one = found[0]
+    alone = L.replace(base, depth=one["depth"], rate=one["rate"], subsample=one["subsample"], min_rows=one["min_rows"])
+    train, val = panel.where("year = 1995"), panel.where("year = 1996")
+    model = L.fit_trees(train, val, ["a", "b"], "y", alone)
+    again = E.scores(L.predict(model, val, ["a", "b"]), [], "y").first()
+    assert len(model.stages[-1].treeWeights) == one["rounds"] and again["ap"] == pytest.approx(one["ap"], abs=1e-12)

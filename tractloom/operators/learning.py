@@ -13,6 +13,7 @@ import math
 import random
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -179,43 +180,71 @@ def best_prefix(quality: list[float | None], patience: int) -> tuple[int, bool]:
     return best or len(quality), False
 
 
-def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str, settings: Settings) -> PipelineModel:
-    """Median imputation (learned on the training rows), missing flags, boosted trees up to the best average precision on ``val``.
+@dataclass
+class Prepared:
+    """Training and validation rows as fits read them: imputed with the training medians."""
 
-    Rounds are grown in steps: a longer run with the same seed starts with the same trees, so the number of rounds doubles
-    until the best one lies ``patience`` back or all are used. Each step scores its new prefixes in one pass, over groups of
-    validation rows that the trees cannot tell apart.
+    prepare: PipelineModel
+    assembler: VectorAssembler
+    train: DataFrame
+    val: DataFrame
+
+
+@contextmanager
+def prepared_inputs(train: DataFrame, val: DataFrame, features: list[str], label: str) -> Iterator[Prepared]:
+    """Median imputation (learned on the training rows) and missing flags, once for all fits on these rows.
+
+    Training vectors are written once and read from there: every job of a fit carries the plan of its input along, which for
+    cached rows goes back to the panel. Validation rows are kept in memory while the fits go on.
     """
     given = [f"{kind}_{c}" for kind in ("in", "na") for c in features] + ["__y"]
     rows, held_out = (with_inputs(df, features).withColumn("__y", F.col(label).cast("double")).select(*given).persist() for df in (train, val))
     try:
         imputer = Imputer(strategy="median", inputCols=[f"in_{c}" for c in features], outputCols=[f"im_{c}" for c in features])
-        prepared = imputer.fit(rows)
+        prepare = imputer.fit(rows)
         assembler = VectorAssembler(inputCols=[f"im_{c}" for c in features] + [f"na_{c}" for c in features], outputCol="__x")
-        ready, asked = assembler.transform(prepared.transform(rows)).select("__x", "__y"), prepared.transform(held_out)
-        found: dict[int, float | None] = {}
-        rounds = min(settings.rounds, max(settings.first_rounds, settings.patience + 1))
-        while True:
-            trees = GBTClassifier(
-                labelCol="__y", featuresCol="__x", maxIter=rounds, maxDepth=settings.depth, stepSize=settings.rate,
-                subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share, minInstancesPerNode=settings.min_rows,
-                seed=settings.seed, cacheNodeIds=False,
-            )
-            model = trees.fit(ready)
-            grown = len(model.treeWeights)
-            nodes = node_table(model, rows.sparkSession)
-            groups = assembler.transform(alike(model, asked, assembler.getInputCols(), [], ["__y"], nodes))
-            probabilities = prefix_probabilities(model, groups, ["__y", "__n"], len(found), nodes)
-            found |= {r["prefix"]: r["ap"] for r in scores(probabilities, ["prefix"], "__y", weight="__n").select("prefix", "ap").collect()}
-            best, stopped = best_prefix([found.get(i) for i in range(1, grown + 1)], settings.patience)
-            if stopped or rounds >= settings.rounds:
-                return PipelineModel([prepared, assembler, first_trees(model, best)])
-            rounds = min(settings.rounds, 2 * rounds)
+        ready = stored(assembler.transform(prepare.transform(rows)).select("__x", "__y"), "inputs")
+        rows.unpersist()
+        yield Prepared(prepare, assembler, ready, prepare.transform(held_out))
     finally:
         rows.unpersist()
         held_out.unpersist()
 
 
+def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str, settings: Settings) -> PipelineModel:
+    """Median imputation (learned on the training rows), missing flags, boosted trees up to the best average precision on ``val``."""
+    with prepared_inputs(train, val, features, label) as inputs:
+        return fit_prepared(inputs, settings)
+
+
+def fit_prepared(inputs: Prepared, settings: Settings) -> PipelineModel:
+    """Boosted trees up to the best average precision on the validation rows.
+
+    Rounds are grown in steps: a longer run with the same seed starts with the same trees, so the number of rounds doubles
+    until the best one lies ``patience`` back or all are used. Each step scores its new prefixes in one pass, over groups of
+    validation rows that the trees cannot tell apart.
+    """
+    assembler, spark = inputs.assembler, inputs.train.sparkSession
+    found: dict[int, float | None] = {}
+    rounds = min(settings.rounds, max(settings.first_rounds, settings.patience + 1))
+    while True:
+        trees = GBTClassifier(
+            labelCol="__y", featuresCol="__x", maxIter=rounds, maxDepth=settings.depth, stepSize=settings.rate,
+            subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share, minInstancesPerNode=settings.min_rows,
+            seed=settings.seed, cacheNodeIds=False,
+        )
+        model = trees.fit(inputs.train)
+        grown = len(model.treeWeights)
+        nodes = node_table(model, spark)
+        groups = assembler.transform(alike(model, inputs.val, assembler.getInputCols(), [], ["__y"], nodes))
+        probabilities = prefix_probabilities(model, groups, ["__y", "__n"], len(found), nodes)
+        found |= {r["prefix"]: r["ap"] for r in scores(probabilities, ["prefix"], "__y", weight="__n").select("prefix", "ap").collect()}
+        best, stopped = best_prefix([found.get(i) for i in range(1, grown + 1)], settings.patience)
+        if stopped or rounds >= settings.rounds:
+            return PipelineModel([inputs.prepare, assembler, first_trees(model, best)])
+        rounds = min(settings.rounds, 2 * rounds)
+
+
 def predict(model: PipelineModel, df: DataFrame, features: list[str], output: str = "y_prob") -> DataFrame:
     scored = model.transform(with_inputs(df, features))
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(output))
@@ -401,13 +430,14 @@ def tune(
     ]
 
     def run(t: int, s: Settings) -> DataFrame:
-        model = fit_trees(train, val, features, label, s)
+        model = fit_prepared(inputs, s)
         out = predict(model, val, features).select(F.col(label).alias("y_true"), "y_prob")
         given = {"trial": F.lit(t), "depth": F.lit(s.depth), "rate": F.lit(s.rate), "subsample": F.lit(s.subsample), "min_rows": F.lit(s.min_rows)}
         return stored(out.withColumns(given | {"rounds": F.lit(len(model.stages[-1].treeWeights))}), "trial")
 
     fits = {str(t): lambda t=t, s=s: run(t, s) for t, s in enumerate(drawn)}
-    both = reduce(DataFrame.unionByName, side_by_side(fits, room(train.count(), 8)).values())
+    with prepared_inputs(train, val, features, label) as inputs:
+        both = reduce(DataFrame.unionByName, side_by_side(fits, room(train.count(), 8)).values())
     names = ["trial", "depth", "rate", "subsample", "min_rows", "rounds"]
     return scores(both, names).select(*names, "auc", "ap")
 
