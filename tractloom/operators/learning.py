@@ -194,8 +194,7 @@ class Prepared:
 def prepared_inputs(train: DataFrame, val: DataFrame, features: list[str], label: str) -> Iterator[Prepared]:
     """Median imputation (learned on the training rows) and missing flags, once for all fits on these rows.
 
-    Training vectors are written once and read from there: every job of a fit carries the plan of its input along, which for
-    cached rows goes back to the panel. Validation rows are kept in memory while the fits go on.
+    The rows are kept in memory, once, while the fits go on, and in their own parts: bagging draws by part.
     """
     given = [f"{kind}_{c}" for kind in ("in", "na") for c in features] + ["__y"]
     rows, held_out = (with_inputs(df, features).withColumn("__y", F.col(label).cast("double")).select(*given).persist() for df in (train, val))
@@ -203,9 +202,7 @@ def prepared_inputs(train: DataFrame, val: DataFrame, features: list[str], label
         imputer = Imputer(strategy="median", inputCols=[f"in_{c}" for c in features], outputCols=[f"im_{c}" for c in features])
         prepare = imputer.fit(rows)
         assembler = VectorAssembler(inputCols=[f"im_{c}" for c in features] + [f"na_{c}" for c in features], outputCol="__x")
-        ready = stored(assembler.transform(prepare.transform(rows)).select("__x", "__y"), "inputs")
-        rows.unpersist()
-        yield Prepared(prepare, assembler, ready, prepare.transform(held_out))
+        yield Prepared(prepare, assembler, assembler.transform(prepare.transform(rows)).select("__x", "__y"), prepare.transform(held_out))
     finally:
         rows.unpersist()
         held_out.unpersist()
