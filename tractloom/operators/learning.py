@@ -20,9 +20,9 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,6 +79,18 @@ def room(rows: int, most: int) -> int:
     return max(1, min(most, ROWS_AT_ONCE // max(1, rows)))
 
 
+#: Training rows up to which a fit reads each by itself; of more rows those in the same bins are merged.
+ROWS_APART = 200_000
+#: Blocks that merged rows are dealt into, besides one for each kind of row, and their number in a part.
+BLOCKS = 50_000
+BLOCKS_IN_PART = 15_000
+
+
+def held(rows: int) -> int:
+    """How many rows or blocks a fit of ``rows`` training rows holds, as far as it is known before it begins."""
+    return min(rows, ROWS_APART)
+
+
 def side_by_side(tasks: dict[str, Callable], at_once: int = 4) -> dict:
     """Results of independent driver tasks, each of which submits Spark jobs of its own.
 
@@ -114,13 +126,17 @@ def node_table(model: GBTClassificationModel, spark: SparkSession) -> list:
     return spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
 
 
-def alike(model: GBTClassificationModel, rows: DataFrame, inputs: list[str], by: list[str], sums: list[str], nodes: list | None = None) -> DataFrame:
-    """One row for all rows of ``by`` that no tree can tell apart: ``by``, ``inputs``, ``sums`` and their number ``__n``.
+def alike(
+    model: GBTClassificationModel, rows: DataFrame, inputs: list[str], by: list[str], sums: list[str], nodes: list | None = None,
+    least: list[str] | None = None,
+) -> DataFrame:
+    """One row for all rows of ``by`` that no tree can tell apart: ``by``, ``least`` (``inputs`` by default), ``sums`` and their number ``__n``.
 
     Trees only ask on which side of a threshold an input lies, so rows between the same thresholds get the same leaves from
     every prefix of the model. There are at most 31 thresholds to an input, so the groups stop growing where the rows go on. The
-    least values of a group's inputs lie between the same thresholds and stand for it.
+    least values of a group's inputs (or of ``least``, which they are binned from) lie between the same thresholds and stand for it.
     """
+    least = least or inputs
     cuts: dict[int, set[float]] = {}
     for n in nodes or node_table(model, rows.sparkSession):
         if n["leftChild"] >= 0:
@@ -134,9 +150,9 @@ def alike(model: GBTClassificationModel, rows: DataFrame, inputs: list[str], by:
         return out.otherwise(len(rest) + 1).alias(f"__side{i}")
 
     grouped = rows.groupBy(*by, *[side(i) for i in sorted(cuts)]).agg(
-        *[F.min(c).alias(c) for c in inputs], *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("__n")
+        *[F.min(c).alias(c) for c in least], *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("__n")
     )
-    return grouped.select(*by, *inputs, *sums, "__n")
+    return grouped.select(*by, *least, *sums, "__n")
 
 
 def prefix_probabilities(
@@ -180,32 +196,85 @@ def best_prefix(quality: list[float | None], patience: int) -> tuple[int, bool]:
     return best or len(quality), False
 
 
+def bins(rows: DataFrame, columns: list[str], most: int = 32) -> Bucketizer:
+    """Bins ``bin_`` of the columns ``im_``: one to a value where these are few, else ``most`` of equal shares of all rows.
+
+    MLlib's trees put their thresholds between as many bins, which they set on a draw of 10,000 rows.
+    """
+    shares = [i / most for i in range(1, most)]
+    seen = rows.agg(*[
+        F.struct(F.approx_count_distinct(c).alias("n"), F.percentile_approx(c, shares, 10_000).alias("cuts")).alias(c) for c in columns
+    ]).first()
+    few = [c for c in columns if seen[c]["n"] <= most]
+    values = rows.agg(*[F.collect_set(c).alias(c) for c in few]).first() if few else {}
+    splits = []
+    for c in columns:
+        known = sorted(set(values[c])) if c in few else []
+        cuts = [(a + b) / 2 for a, b in zip(known, known[1:])] if 0 < len(known) <= most else seen[c]["cuts"]
+        splits.append([-math.inf, *(sorted({x for x in cuts if math.isfinite(x)}) or [0.0]), math.inf])
+    return Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[c.replace("im_", "bin_", 1) for c in columns])
+
+
+def blocks(rows: DataFrame, kind: list[str], n: int) -> DataFrame:
+    """The ``n`` rows, merged where they agree in ``kind``: its columns and the number of rows ``__w`` of each block.
+
+    A kind of many rows is dealt into equal blocks, so that bagging, which takes or leaves a block, thins it about evenly. There
+    are at most ``BLOCKS`` more blocks than kinds, and these are bounded by the bins, not by the rows.
+    """
+    kinds = stored(rows.groupBy(*kind).agg(F.count(F.lit(1)).alias("__n")), "kinds")
+    parts = math.ceil((kinds.count() + BLOCKS) / BLOCKS_IN_PART)
+    dealt = F.ceil(F.col("__n") * BLOCKS / n)
+    each = kinds.select(*kind, (F.col("__n") / dealt).alias("__w"), F.explode(F.sequence(F.lit(1).cast("long"), dealt)).alias("__k"))
+    return each.repartition(parts, *kind, "__k").sortWithinPartitions(*kind, "__k").drop("__k")
+
+
 @dataclass
 class Prepared:
-    """Training and validation rows as fits read them: imputed with the training medians."""
+    """Training and validation rows as fits read them: imputed with the training medians.
 
-    prepare: PipelineModel
+    Where training rows are merged, ``__w`` is a block's number of rows and ``merged`` the number of all.
+    """
+
+    prepare: Model
     assembler: VectorAssembler
     train: DataFrame
     val: DataFrame
+    merged: int = 0
 
 
 @contextmanager
 def prepared_inputs(train: DataFrame, val: DataFrame, features: list[str], label: str) -> Iterator[Prepared]:
     """Median imputation (learned on the training rows) and missing flags, once for all fits on these rows.
 
-    The rows are kept in memory, once, while the fits go on, and in their own parts: bagging draws by part.
+    The rows are kept in memory, once, while the fits go on, and in their own parts: bagging draws by part. Above ``ROWS_APART``
+    the inputs are binned as finely as the trees can split them; rows of the same bins and label have the same share in every
+    round, so they are merged, and a round costs what the kinds of rows cost, however many rows there are.
     """
-    given = [f"{kind}_{c}" for kind in ("in", "na") for c in features] + ["__y"]
-    rows, held_out = (with_inputs(df, features).withColumn("__y", F.col(label).cast("double")).select(*given).persist() for df in (train, val))
+    flags = [f"na_{c}" for c in features]
+    given = [f"in_{c}" for c in features] + flags + ["__y"]
+    rows, held_out = (with_inputs(df, features).withColumn("__y", F.col(label).cast("double")).select(*given) for df in (train, val))
+    imputer = Imputer(strategy="median", inputCols=[f"in_{c}" for c in features], outputCols=[f"im_{c}" for c in features])
+    n, kept = rows.count(), [held_out.persist()]
     try:
-        imputer = Imputer(strategy="median", inputCols=[f"in_{c}" for c in features], outputCols=[f"im_{c}" for c in features])
-        prepare = imputer.fit(rows)
-        assembler = VectorAssembler(inputCols=[f"im_{c}" for c in features] + [f"na_{c}" for c in features], outputCol="__x")
-        yield Prepared(prepare, assembler, assembler.transform(prepare.transform(rows)).select("__x", "__y"), prepare.transform(held_out))
+        if n <= ROWS_APART:
+            kept.append(rows.persist())
+            prepare = imputer.fit(rows)
+            assembler = VectorAssembler(inputCols=[f"im_{c}" for c in features] + flags, outputCol="__x")
+            fitted = assembler.transform(prepare.transform(rows)).select("__x", "__y")
+        else:
+            medians = imputer.fit(rows)
+            cut = bins(medians.transform(rows), [f"im_{c}" for c in features])
+            prepare = PipelineModel([medians, cut])
+            assembler = VectorAssembler(inputCols=cut.getOutputCols() + flags, outputCol="__x")
+            # bins are numbers in their order; the Bucketizer notes them as categories, which trees would split in any order
+            ordered = reduce(lambda df, c: df.withMetadata(c, {}), cut.getOutputCols(), prepare.transform(rows))
+            merged = blocks(ordered, [*assembler.getInputCols(), "__y"], n).persist()
+            kept.append(merged)
+            fitted = assembler.transform(merged).select("__x", "__y", "__w")
+        yield Prepared(prepare, assembler, fitted, prepare.transform(held_out), n if n > ROWS_APART else 0)
     finally:
-        rows.unpersist()
-        held_out.unpersist()
+        for df in kept:
+            df.unpersist()
 
 
 def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str, settings: Settings) -> PipelineModel:
@@ -217,18 +286,22 @@ def fit_trees(train: DataFrame, val: DataFrame, features: list[str], label: str,
 def fit_prepared(inputs: Prepared, settings: Settings) -> PipelineModel:
     """Boosted trees up to the best average precision on the validation rows.
 
-    Rounds are grown in steps: a longer run with the same seed starts with the same trees, so the number of rounds doubles
-    until the best one lies ``patience`` back or all are used. Each step scores its new prefixes in one pass, over groups of
+    Rounds are grown in steps: a longer run with the same seed starts with the same trees, so the number of rounds is taken
+    four times as large (40, 160, 400: 600 rounds at most) until the best one lies ``patience`` back or all are used. Each step scores its new prefixes in one pass, over groups of
     validation rows that the trees cannot tell apart.
     """
     assembler, spark = inputs.assembler, inputs.train.sparkSession
+    # a leaf of merged rows is as heavy as one of so many rows
+    leaf = {"minInstancesPerNode": settings.min_rows} if not inputs.merged else {
+        "weightCol": "__w", "minWeightFractionPerNode": max(0.0, settings.min_rows - 0.5) / inputs.merged
+    }
     found: dict[int, float | None] = {}
     rounds = min(settings.rounds, max(settings.first_rounds, settings.patience + 1))
     while True:
         trees = GBTClassifier(
             labelCol="__y", featuresCol="__x", maxIter=rounds, maxDepth=settings.depth, stepSize=settings.rate,
-            subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share, minInstancesPerNode=settings.min_rows,
-            seed=settings.seed, cacheNodeIds=False,
+            subsamplingRate=settings.subsample, featureSubsetStrategy=settings.feature_share,
+            seed=settings.seed, cacheNodeIds=False, **leaf,
         )
         model = trees.fit(inputs.train)
         grown = len(model.treeWeights)
@@ -239,7 +312,7 @@ def fit_prepared(inputs: Prepared, settings: Settings) -> PipelineModel:
         best, stopped = best_prefix([found.get(i) for i in range(1, grown + 1)], settings.patience)
         if stopped or rounds >= settings.rounds:
             return PipelineModel([inputs.prepare, assembler, first_trees(model, best)])
-        rounds = min(settings.rounds, 2 * rounds)
+        rounds = min(settings.rounds, 4 * rounds)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], output: str = "y_prob") -> DataFrame:
@@ -310,7 +383,7 @@ def walk_forward(
         scored.select(*keys, "fold", F.col(label).cast("int").alias("y_true"), "y_prob", "y_prob_calibrated").write.parquet(f"{path}/{fold}")
         return model, iso
 
-    abreast = room(beside * max(counts[f"{fold}/train"] for fold in usable), at_once)
+    abreast = room(beside * max(held(counts[f"{fold}/train"]) for fold in usable), at_once)
     fitted = side_by_side({fold: lambda fold=fold: run(fold) for fold in usable}, abreast)
     spark = panel.sparkSession
     return Study(
@@ -342,7 +415,7 @@ def ablate(
     """Refit without each feature group and compare with the full model."""
     left = {"baseline": features} | {name: [f for f in features if f not in members] for name, members in groups.items()}
     kept = {name: fs for name, fs in left.items() if fs and (name == "baseline" or len(fs) < len(features))}
-    beside = room(panel.where(F.col(label).isNotNull()).count(), 4)
+    beside = room(held(panel.where(F.col(label).isNotNull()).count()), 4)
     runs = side_by_side({name: lambda fs=fs: walk_forward(panel, fs, label, folds, settings, at_once=2, beside=beside) for name, fs in kept.items()}, beside)
     return ablation_deltas(stored(study_metrics(runs, score), "ablation"), "run", "baseline")
 
@@ -354,7 +427,7 @@ def prune(
     full = walk_forward(panel, features, label, folds, settings)
     order = full.importance.groupBy("feature").agg(F.avg("importance").alias("i")).orderBy(F.desc("i"), "feature")
     ranked = [r["feature"] for r in order.collect()]  # one row per feature
-    beside = room(panel.where(F.col(label).isNotNull()).count(), 4)
+    beside = room(held(panel.where(F.col(label).isNotNull()).count()), 4)
     shorter = {str(k): lambda k=k: walk_forward(panel, ranked[:k], label, folds, settings, at_once=2, beside=beside) for k in ks if k < len(features)}
     runs = {str(len(features)): full} | side_by_side(shorter, beside)
     return study_metrics(runs).withColumn("k", F.col("run").cast("int")).drop("run")
@@ -434,7 +507,7 @@ def tune(
 
     fits = {str(t): lambda t=t, s=s: run(t, s) for t, s in enumerate(drawn)}
     with prepared_inputs(train, val, features, label) as inputs:
-        both = reduce(DataFrame.unionByName, side_by_side(fits, room(train.count(), 8)).values())
+        both = reduce(DataFrame.unionByName, side_by_side(fits, room(held(train.count()), 8)).values())
     names = ["trial", "depth", "rate", "subsample", "min_rows", "rounds"]
     return scores(both, names).select(*names, "auc", "ap")
 
@@ -449,7 +522,8 @@ def partial_dependence(
     """
     kept = stored(rows.select(*features), "dependence")
     prepare, assembler, trees = model.stages
-    merged = alike(trees, prepare.transform(with_inputs(kept, features)), assembler.getInputCols(), [], [])
+    raw = [f"{kind}_{f}" for kind in ("im", "na") for f in features]
+    merged = alike(trees, prepare.transform(with_inputs(kept, features)), assembler.getInputCols(), [], [], least=raw)
     groups = stored(merged.withColumnsRenamed({f"im_{f}": f"in_{f}" for f in features}), "dependence-groups")
     variants = []
     for f in expected:
@@ -493,7 +567,7 @@ def final_models(
         (name, h): lambda fs=fs, label=label, h=h: final_model(panel, fs, label, data_end, h, settings)
         for name, fs in models.items() for h, label in labels.items()
     }
-    return side_by_side(tasks, room(panel.count(), 4))
+    return side_by_side(tasks, room(held(panel.count()), 4))
 
 
 def save_models(fitted: Deployed, path: str) -> None:
@@ -558,7 +632,7 @@ def tree_paths(model: PipelineModel, spark) -> list[tuple[float, list[tuple[int,
             i, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
             for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
                 low, high, share = limits.get(i, (-math.inf, math.inf, 1.0))
-                share *= table[child]["rawCount"] / node["rawCount"]
+                share *= table[child]["impurityStats"][0] / node["impurityStats"][0]  # rows, also where they are merged
                 bounds = (low, min(high, cut), share) if left else (max(low, cut), high, share)
                 stack.append((child, {**limits, i: bounds}))
     return leaves
