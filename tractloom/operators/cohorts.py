@@ -37,7 +37,8 @@ def residualize(
             ).alias(f"__f_{t}")
         )
     fits = work.groupBy(*cohort).agg(*moments)
-    fitted = _match(work, fits, cohort)
+    # one row per cohort: the rows stay where they are
+    fitted = _match(work, F.broadcast(fits), cohort)
     out = []
     for t in targets:
         f = F.col(f"__f_{t}")
@@ -83,7 +84,8 @@ def service_desert(
 ) -> DataFrame:
     """Bottom-decile flag (at or below the cohort threshold) and distance below the cohort median."""
     cuts = quantile_columns(df, cohort, lenders, {"service_threshold": probability, "service_median": 0.5})
-    return _match(df, cuts, cohort, "left").select(
+    # one row per cohort: the rows stay where they are
+    return _match(df, F.broadcast(cuts), cohort, "left").select(
         *df.columns,
         "service_threshold",
         F.coalesce(flag(F.col(lenders) <= F.col("service_threshold")), F.lit(0)).alias("is_service_desert"),

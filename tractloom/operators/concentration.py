@@ -134,13 +134,13 @@ def entity_churn(
 ) -> DataFrame:
     """Entries, exits, churn and retention of a place's entity set against the calendar years ``year - lag``.
 
-    A place's entity set is never built. Each (place, entity) gathers its own years, at most one per calendar year, so
-    "was also here n years ago" is a lookup in that small array and one shuffle suffices; set sizes then follow from
-    counts. entries = now - kept, exits = before - kept.
+    A place's entity set is never built. Each (place, entity) has at most one row per calendar year, so "was also here n
+    years ago" counts the one row that lies n years back; set sizes then follow from counts. entries = now - kept,
+    exits = before - kept.
     """
-    own = fact.groupBy(place, entity).agg(F.collect_set(year).alias("__years"))
-    seen = own.select(place, "__years", F.explode("__years").alias(year))
-    kept = [F.array_contains("__years", F.col(year) - lag).cast("bigint").alias(f"__k{lag}") for lag in lags]
+    seen = fact.where(F.col(year).isNotNull()).select(place, entity, year).distinct()
+    own = Window.partitionBy(place, entity).orderBy(year)
+    kept = [F.count(F.lit(1)).over(own.rangeBetween(-lag, -lag)).alias(f"__k{lag}") for lag in lags]
     counts = (
         seen.select(place, year, *kept)
         .groupBy(place, year)

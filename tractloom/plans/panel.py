@@ -1,7 +1,7 @@
 """The whole feature build as one plan: fact -> features -> merged panel -> labels -> residuals.
 
-The merged panel is stored once; labels and residuals read it and are joined back on its key, so no merge step has to
-run twice.
+The fact is stored once, dealt by tract: its features are grouped and merged where it lies. The merged panel is stored once;
+labels and residuals read it and are joined back on its key, so no merge step has to run twice.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cohorts, concentration, rollups, spatial, temporal
 from ..operators.checks import left_attach
-from ..session import stored
+from ..session import joined_in_parts, stored, stored_by
 from ..sources.programs import program_panel
 from .domain import Domain
 
@@ -20,8 +20,8 @@ RESIDUAL_TARGETS = ["top1_lender_share_tract", "lender_hhi_tract", "pct_loans_un
 
 def merged_features(d: Domain) -> DataFrame:
     """All feature families on the (tract, year) spine; every right side has one row per join key."""
-    fact = stored(d.fact(), "fact", partition_by="year")
-    keys = ["tract_fips", "year"]
+    keys, parts = ["tract_fips", "year"], d.parts()
+    fact = stored_by(d.fact().select(*keys, "lender_id", "n_loans", "count_lt_100", "count_100_250"), "fact", "tract_fips", parts)
     places = d.places()
     branches = stored(d.branches().select("branch_id", "bank_id", "county_fips", "deposits", "year", "lat", "lon"), "branches")
 
@@ -36,15 +36,18 @@ def merged_features(d: Domain) -> DataFrame:
     panel = churn
     panel = left_attach(panel, places.drop("lat", "lon"), ["tract_fips"], "places", unique=True)
     panel = left_attach(panel, shares, keys, "concentration", unique=True)
-    panel = left_attach(panel, market, ["county_fips", "year"], "branch market", unique=True)
-    panel = left_attach(panel, near, keys, "branch proximity", unique=True)
-    panel = left_attach(panel, programs, ["state_fips", "year"], "programs", unique=True)
-    return temporal.asof_vintage(panel, d.demographics())
+    # a row per county or state and year: a join that deals the panel by these would pile it up in a few tasks
+    panel = left_attach(panel, F.broadcast(market), ["county_fips", "year"], "branch market", unique=True)
+    panel = left_attach(panel, near.repartition(parts, "tract_fips"), keys, "branch proximity", unique=True)
+    panel = left_attach(panel, F.broadcast(programs), ["state_fips", "year"], "programs", unique=True)
+    return temporal.asof_vintage(panel, d.demographics().repartition(parts, "tract_fips"))
 
 
 def build_panel(d: Domain, horizons: tuple[int, ...] = (1, 3)) -> DataFrame:
     """Merged features with peer-relative labels, forward labels and residualised concentration."""
-    panel = stored(merged_features(d), "panel", partition_by="year")
+    features = merged_features(d)
+    with joined_in_parts(d.spark):
+        panel = stored(features, "panel")
     cohort = ["year", "is_rural"]
     keys = ["tract_fips", "year"]
     labelled = cohorts.service_desert(panel.select(*keys, "is_rural", "n_lenders"), cohort)

@@ -113,3 +113,32 @@ def stored(df, name: str, partition_by: str | None = None):
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df, name: str, key: str, parts: int):
+    """Write an intermediate table once, all rows of one key in one of ``parts`` buckets with a file each.
+
+    Groupings, windows and joins that have the key among their own go on with these buckets: each reads its columns and
+    moves no row. Rows that are already dealt by the key in as many parts are not dealt again.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    token = os.path.basename(path).replace("-", "_")
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(token)
+    note_table(token)
+    return spark.table(token)
+
+
+@contextmanager
+def joined_in_parts(spark: SparkSession) -> Iterator[None]:
+    """Jobs run within join tables that are dealt alike by some of the join's keys where they lie.
+
+    Spark deals both sides anew by all keys otherwise, as a few of them alone may be skewed.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
